@@ -253,7 +253,7 @@ with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws
   from documents where doc_id is not null),
 g as (select doc_id, case when len(ws) = 0 then [] when len(ws) = 1 then [ws[1]]
-        else list_distinct(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1])) end gs from w),
+        else list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) end gs from w),
 x as (select doc_id, len(gs) n, unnest(gs) s from g),
 p as (select a.doc_id a, b.doc_id b, any_value(a.n) na, any_value(b.n) nb, count(*) c
       from x a join x b on a.s = b.s and a.doc_id <> b.doc_id and 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n) group by 1, 2),
