@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -68,3 +70,10 @@ def batches(it: Iterator, most_bytes: int = 1 << 20) -> Iterator[tuple]:
             hi = min(hi, len(text))
             yield batch, lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             lo = hi
+
+
+def process_cache(name: str) -> dict:
+    """A dictionary that lives as long as this Python process, so that the tasks of a reused worker share it.  Whoever
+    fills it bounds its size."""
+    home = sys.modules.setdefault("_siltstone_process_cache", types.ModuleType("_siltstone_process_cache"))
+    return home.__dict__.setdefault(name, {})

@@ -13,6 +13,7 @@ MODULES = {
     "op6_quality_rules": "quality_rules",
     "op7_toxicity": "toxicity",
     "op8_quality_classifier": "quality_crf",
+    "op10_token_store": "token_store",
 }
 
 
