@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import docs_of, process_cache, table, written
 
 #: Unicode White_Space.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space with the run after it: byte-level BPE never merges across the start of such a chunk.
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
