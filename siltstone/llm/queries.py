@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name: module with ``query(spark, sf_dir)`` and, where SQL can say it, ``ORACLE``.
 MODULES = {
+    "op3_sentencepiece": "sentencepiece_codec",
     "op4_near_dedup": "near_dedup",
     "op6_quality_rules": "quality_rules",
     "op7_toxicity": "toxicity",
