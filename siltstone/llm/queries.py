@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name: module with ``query(spark, sf_dir)`` and, where SQL can say it, ``ORACLE``.
 MODULES = {
+    "op1_decontaminate": "decontaminate",
     "op3_sentencepiece": "sentencepiece_codec",
     "op4_near_dedup": "near_dedup",
+    "op5_license_scan": "license_scan",
     "op6_quality_rules": "quality_rules",
     "op7_toxicity": "toxicity",
     "op8_quality_classifier": "quality_crf",
