@@ -77,3 +77,11 @@ def process_cache(name: str) -> dict:
     fills it bounds its size."""
     home = sys.modules.setdefault("_siltstone_process_cache", types.ModuleType("_siltstone_process_cache"))
     return home.__dict__.setdefault(name, {})
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished stages now: they go when the driver's garbage is collected."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -16,6 +16,7 @@ MODULES = {
     "op6_quality_rules": "quality_rules",
     "op7_toxicity": "toxicity",
     "op8_quality_classifier": "quality_crf",
+    "op9_suffix_dedup": "suffix_dedup",
     "op10_token_store": "token_store",
 }
 
