@@ -155,18 +155,20 @@ def decision_column(rules: list, names: list[str]) -> Column:
     return F.expr(f"case{text} else true end") if rules else F.lit(True)
 
 
-def fit(statistics: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list, list[str]]:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list, list[str]]:
     """Fit on at most ``sample`` labelled rows.  Null labels don't count; no usable label gives an empty list."""
     import numpy as np
 
-    known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = (
+        labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    )
     rows = (
-        statistics.join(known, "doc_id")
-        .select(F.xxhash64("doc_id").alias("h"), "doc_id", "quality", *(F.expr(e).alias(n) for n, e in FEATURES.items()))
-        .orderBy("h", "doc_id")
-        .limit(sample)
-        .drop("h", "doc_id")
+        text_statistics(documents.join(F.broadcast(known), "doc_id", "left_semi"))
+        .join(F.broadcast(known), "doc_id")
+        .select("doc_id", "quality", *(F.expr(e).alias(n) for n, e in FEATURES.items()))
         .toPandas()
+        .sort_values("doc_id", kind="stable")
     )
     names = list(FEATURES)
     if not len(rows):
@@ -179,8 +181,7 @@ def quality_rules(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     three) and kept (not base_failed, and no learned rule says bad).  Null and empty texts have no words and fail.
     Labels may be missing, null or empty: then only the base rules hold.  Repeated rows are judged one by one.
     """
-    known = labels.filter("quality is not null").select("doc_id").distinct()
-    rules, names = fit(text_statistics(documents.join(known, "doc_id", "left_semi")), labels, sample)
+    rules, names = fit(documents, labels, sample)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return text_statistics(documents).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
