@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name: module with ``query(spark, sf_dir)`` and, where SQL can say it, ``ORACLE``.
 MODULES = {
     "op1_decontaminate": "decontaminate",
+    "op2_line_dedup": "line_dedup",
     "op3_sentencepiece": "sentencepiece_codec",
     "op4_near_dedup": "near_dedup",
     "op5_license_scan": "license_scan",
