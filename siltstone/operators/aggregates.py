@@ -65,7 +65,8 @@ def last_wins(df: DataFrame, key: list[str], order: list[str], values: list[str]
 def scale_factor(target: Column, sample: Column, target_files: Column, sample_files: Column) -> Column:
     """target / sample of functions, else of files, else 1; clamped to 0.1 .. 10."""
     by = lambda a, b: F.when((a > 0) & (b > 0), a / b)
-    return F.coalesce(F.least(F.lit(10.0), F.greatest(F.lit(0.1), F.coalesce(by(target, sample), by(target_files, sample_files)))), F.lit(1.0))
+    ratio = F.coalesce(by(target, sample), by(target_files, sample_files))
+    return F.when(ratio.isNotNull(), F.least(F.lit(10.0), F.greatest(F.lit(0.1), ratio))).otherwise(1.0)
 
 
 def historical_range(df: DataFrame, group: list[str], value: str, whole: bool = False) -> DataFrame:
