@@ -5,22 +5,21 @@
 2. The retained values form inverted lists.  A pair above the threshold shares at least ``needed`` retained values,
    so it shares one among the rarest ``retained - needed + 1`` of each side; only these are listed, and values that
    only one class has are dropped.
-3. Each list links its members to its least member alone.  These pairs pass a filter (the estimate from the sketch of
+3. Each list links its members to one alone, that with the fewest values that nobody shares.  These pairs pass a filter (the estimate from the sketch of
    the union) and are then compared on their full sets.  Linked classes form first components, as stars.
 4. Lists that still hold several components are searched again, star centre against star centre.  Jaccard distance is
    a metric, so members of two stars can only be linked if the centres' distance is at most 1 - t plus their own
-   distances to their centres; only such members are compared.  No list is expanded into all its pairs.
+   distances to their centres; only such members are compared, first with the other centre, and only while the two
+   components are apart.  No list is expanded into all its pairs.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.bytescan import WORD, Hasher, byte_table, lowered, mix, per_doc, runs, shingles
-from siltstone.llm.common import batches, broadcast_if_small, docs_of, table, written
+from siltstone.llm.common import batches, broadcast_if_small, docs_of, release, table, written
 from siltstone.llm.components import components
 
 #: Retained values of a sketch, and how many of them two sketches share at least at a similarity of 0.8 (a binomial
@@ -78,28 +77,23 @@ def _sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, p long, q long, sketch array<long>")
 
 
-def _ratio(a: str, b: str, num: int, den: int) -> str:
-    """The smaller of two sizes is at least num/den of the larger."""
-    return f"{den} * least({a}, {b}) >= {num} * greatest({a}, {b})"
-
-
-def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """pairs (a, b) whose union sketch allows a similarity of ``least``, with the exact one: (a, b, both, either).
+def _compared(pairs: DataFrame, made: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """pairs (a, b, least) whose union sketch allows a similarity of ``least``, with the exact one: (a, b, both, either).
 
-    nodes: (node, n, sketch).  For two sets held whole the estimate is exact; else five standard deviations are left.
+    made: (doc_id, n_shingles, sketch).  For two sets held whole the estimate is exact; else at least five standard
+    deviations are left.
     """
-    slack = least - (5 * math.sqrt(least * (1 - least) / SKETCH) if least < 0.8 else least - SHARED / SKETCH)
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
+    side = lambda s: made.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
     near = (
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
         .withColumn("u", F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH))
         .withColumn("both", F.size(F.array_intersect("u", F.array_intersect("s_a", "s_b"))))
-        .filter(
-            (F.col("both") >= F.size("u") * F.lit(slack))
-            & ((F.greatest("n_a", "n_b") > SKETCH) | (F.col("both") >= F.size("u") * F.lit(least - 1e-9)) | (F.size("u") >= SKETCH))
-        )
+        .withColumn("slack", F.expr(f"case when least >= 0.8 then {SHARED / SKETCH} else least - 5 * sqrt(greatest(least, 0.05) * (1 - least) / {SKETCH}) end"))
+        .filter("both >= size(u) * slack")
+        .filter(f"n_a > {SKETCH} or n_b > {SKETCH} or size(u) >= {SKETCH} or both >= size(u) * (least - 1e-9)")
         .select("a", "b")
+        .distinct()
     )
     near = written(near, "pairs")
     ids = written(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "pair-ids")
@@ -134,7 +128,9 @@ def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, l
                 names=["a", "b", "both", "either"],
             )
 
-    return written(both.mapInArrow(run, "a long, b long, both long, either long").filter("either > 0"), "compared")
+    out = written(both.mapInArrow(run, "a long, b long, both long, either long").filter("either > 0"), "compared")
+    release(docs.sparkSession)
+    return out
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -151,14 +147,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     docs = docs_of(documents).filter("doc_id is not null")
     made = written(_sketches(docs, width, SKETCH), "sketches")
     classes = written(made.filter("n_shingles > 0").groupBy("p", "q").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
-    nodes = written(
-        made.join(classes.select("p", "q", F.col("node").alias("doc_id")), ["p", "q", "doc_id"], "left_semi")
-        .dropDuplicates(["doc_id", "p", "q"])
-        .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch"),
-        "nodes",
-    )
+    firsts = made.join(classes.select("p", "q", F.col("node").alias("doc_id")), ["p", "q", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch")
+    nodes = written(firsts.select("node", "n").distinct(), "nodes")
     # The prefix of each sketch in the order (number of classes with the value, value).
-    listed = nodes.select("node", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+    listed = firsts.select("node", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     common = listed.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     needed = f"case when 5 * n <= 4 * {SKETCH} then ceil(n * {percent} / 100) else {SHARED} end"
     lists = (
@@ -167,20 +159,23 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         .agg(F.min("k").alias("k"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
         .withColumn("take", F.expr(f"cast(k - ({needed}) + 1 - (k - size(vs)) as int)"))
         .filter("take > 0")
-        .select("node", "n", F.explode(F.expr("slice(vs, 1, take)")).alias("e"))
-        .select("node", "n", F.col("e.v").alias("v"))
+        .select("node", "n", (F.col("k") - F.size("vs")).alias("own"), F.explode(F.expr("slice(vs, 1, take)")).alias("e"))
+        .select("node", "n", "own", F.col("e.v").alias("v"))
     )
     lists = written(lists, "lists")
-    hubs = lists.groupBy("v").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("df")).filter("df > 1")
+    release(documents.sparkSession)
+    # The member with the fewest values of its own: among edited copies of a text, the text itself.
+    hubs = lists.groupBy("v").agg(F.min(F.struct("own", "node", "n")).alias("hub"), F.count("*").alias("df")).filter("df > 1")
+    t = percent / 100
     first = (
         lists.join(hubs.select("v", F.col("hub.node").alias("b"), F.col("hub.n").alias("m")), "v")
         .filter("node <> b")
-        .filter(_ratio("n", "m", percent, 100))
+        .filter(f"100 * least(n, m) >= {percent} * greatest(n, m)")
         .select(F.col("node").alias("a"), "b")
         .distinct()
+        .withColumn("least", F.lit(t))
     )
-    compared = _compared(first, nodes, docs, width, percent / 100)
-    linked = compared.filter(f"100 * both >= {percent} * either")
+    linked = _compared(first, made, docs, width).filter(f"100 * both >= {percent} * either")
     groups = components(linked.select("a", "b"))
     # Stars: each class hangs on the centre it is most like; a centre on itself.
     centres = linked.select(F.col("b").alias("node")).distinct()
@@ -197,38 +192,52 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         .select("node", "n", F.coalesce("centre", "node").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "node").alias("component")),
         "stars",
     )
+    centre = stars.groupBy(F.col("centre").alias("node")).agg(F.max("d").alias("r"))
     placed = lists.select("v", "node").join(stars.select("node", "centre", "component"), "node")
     mixed = placed.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("v")
-    ends = placed.join(mixed, "v").select("v", "centre", "component").distinct()
-    ends = written(ends.join(stars.select(F.col("node").alias("centre"), F.col("n")), "centre"), "ends")
-    # Centres may differ in size more than the linked members do: by the triangle, 1 - 3 * (1 - t) of the larger at least.
-    far = max(0, 100 - 3 * (100 - percent))
+    ends = written(placed.join(mixed, "v").select("v", "centre", "component").distinct(), "ends")
+    # A pair is met once, in the least list that it shares; centres of many lists carry none and may be met more often.
+    shares = ends.groupBy(F.col("centre").alias("node")).agg(F.count("*").alias("m"), F.min("component").alias("component"))
+    few = ends.join(shares.filter(f"m <= {SKETCH}").select(F.col("node").alias("centre")), "centre", "left_semi").groupBy(F.col("centre").alias("node")).agg(F.collect_list("v").alias("vs"))
+    facts = written(shares.select("node").join(nodes, "node").join(centre, "node").join(few, "node", "left"), "facts")
+    ends = ends.select("v", F.col("centre").alias("node"), "component").join(facts, "node")
+    end = lambda x: ends.select("v", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n", "r", "vs")))
     met = (
-        ends.select("v", F.col("centre").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
-        .join(ends.select("v", F.col("centre").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b")), "v")
-        .filter("a > b and c_a <> c_b")
-        .filter(_ratio("n_a", "n_b", far, 100))
-        .select("a", "b")
-        .distinct()
-    )
-    between = _compared(met, nodes, docs, width, far / 100)
-    member = lambda s: stars.filter("d > 0 or node = centre").select(F.col("centre").alias(s), F.col("node").alias(f"x_{s}"), F.col("n").alias(f"n_{s}"), F.col("d").alias(f"d_{s}"))
-    rest = (
-        between.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
-        .join(member("a"), "a")
-        .join(member("b"), "b")
-        .filter(f"d - d_a - d_b <= {1 - percent / 100} + 1e-9 and not (x_a = a and x_b = b)")
-        .filter(_ratio("n_a", "n_b", percent, 100))
-        .select(F.col("x_a").alias("a"), F.col("x_b").alias("b"))
+        end("a")
+        .join(end("b"), "v")
+        .filter("a > b and component_a <> component_b")
+        .filter(f"least(n_a, n_b) >= ({t} - r_a - r_b - 1e-9) * greatest(n_a, n_b)")
+        .filter("vs_a is null or vs_b is null or array_min(array_intersect(vs_a, vs_b)) = v")
+        .select("a", "b", F.expr(f"greatest(0.0D, {t} - r_a - r_b)").alias("least"))
         .distinct()
     )
-    rest = written(rest, "rest")
-    more = between.filter(f"100 * both >= {percent} * either").select("a", "b")
-    if not rest.isEmpty():
-        more = more.unionByName(_compared(rest, nodes, docs, width, percent / 100).filter(f"100 * both >= {percent} * either").select("a", "b"))
-    more = written(more, "more")
-    if not more.isEmpty():
-        groups = components(linked.select("a", "b").unionByName(more))
+    # Centres with a distance d, and then their members: only while their components are apart, and only as far as the
+    # triangle leaves room for a link.
+    between = _compared(met, made, docs, width).withColumn("d", 1 - F.col("both") / F.col("either"))
+    more = written(between.filter(f"100 * both >= {percent} * either").select("a", "b"), "more")
+    edges = linked.select("a", "b")
+    for members in (None, ("a",), ("b",), ("a", "b")):
+        if members is not None:
+            own = lambda x: stars.filter("d > 0" if x in members else "node = centre").select(F.col("centre").alias(x), F.col("node").alias(f"x_{x}"), F.col("n").alias(f"n_{x}"), F.col("d").alias(f"d_{x}"))  # noqa: B023, E731
+            radius = centre.select(F.col("node").alias("b"), (F.col("r") if "b" in members else F.lit(0.0)).alias("r_b"))
+            of = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))  # noqa: B023, E731
+            apart = between.select("a", "b", "d").join(of("a"), "a", "left").join(of("b"), "b", "left").filter("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b", "d")
+            rest = (
+                apart.join(radius, "b")
+                .join(own("a"), "a")
+                .filter(f"d - d_a - r_b <= {1 - t} + 1e-9")
+                .join(own("b"), "b")
+                .filter(f"d - d_a - d_b <= {1 - t} + 1e-9 and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+                .select(F.col("x_a").alias("a"), F.col("x_b").alias("b"), F.lit(t).alias("least"))
+                .distinct()
+            )
+            rest = written(rest, "rest")
+            if rest.isEmpty():
+                continue
+            more = _compared(rest, made, docs, width).filter(f"100 * both >= {percent} * either").select("a", "b")
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            groups = components(edges)
     named = (
         classes.join(groups.select("node", F.col("component").alias("c")), "node", "left")
         .filter("copies > 1 or c is not null")
