@@ -28,10 +28,12 @@ V = 16
 
 #: Anchors held by a task before it sends them on; anchors in a bucket of step 1 on average; strips of a block (a bucket
 #: is not cut); strips from which an anchor is split by window.
-HELD = 2_000_000
+HELD = 1_000_000
 BUCKET = 400_000
-BLOCK = 60_000
+BLOCK = 25_000
 HOT = 50_000
+#: Ranges of anchors whose strips are shuffled and sorted one after the other: disk holds one range's strips at a time.
+PASSES = 3
 
 
 def difference_cover(v: int) -> list[int]:
@@ -176,7 +178,7 @@ def _repeated(packed: DataFrame) -> DataFrame:
 _FLOW = "key long, kind int, doc_id long, x long, first int, size int, strip binary"
 
 
-def _strips(docs: DataFrame, length: int, hot) -> DataFrame:
+def _strips(docs: DataFrame, length: int, hot, turn: int) -> DataFrame:
     """docs: (doc_id, x, text, ats).  Rows of _FLOW: kind 0 a strip of the task's first document with it, kind 1 a strip
     that an earlier document of this task has as well (no bytes)."""
 
@@ -215,7 +217,7 @@ def _strips(docs: DataFrame, length: int, hot) -> DataFrame:
             doc, window, count, anchor, h = strips(data, offsets, hasher, length)
             ats = batch.column("ats").slice(lo, hi - lo)
             where = np.repeat(offsets[:-1], np.asarray(ats.value_lengths())) + np.asarray(ats.flatten())
-            take = np.isin(anchor, where)
+            take = np.isin(anchor, where) & (h % np.uint64(PASSES) == turn)
             doc, window, count, h = doc[take], window[take], count[take], h[take].view(np.int64)
             if not len(doc):
                 continue
@@ -400,11 +402,14 @@ def repeated_spans(documents: DataFrame, length: int = 50, hot: int = HOT) -> tu
     crowded = [r["h"] for r in found.groupBy("h").count().filter(F.col("count") > hot).select("h").collect()]  # at most rows / hot
     hashes = spark.sparkContext.broadcast(crowded)
     ats = found.groupBy("doc_id", "x").agg(F.collect_list("at").alias("ats"))
-    rich = docs.filter("not copy").select("doc_id", "x", "text").join(ats, ["doc_id", "x"])
-    flow = _strips(rich, length, hashes).repartition("key").sortWithinPartitions("key")
-    ranges = written(_sorted_blocks(flow, length), "ranges")
-    del flow, rich, ats
-    release(spark)
+    ranges = None
+    for turn in range(PASSES):
+        rich = docs.filter("not copy").select("doc_id", "x", "text").join(ats, ["doc_id", "x"])
+        flow = _strips(rich, length, hashes, turn).repartition("key").sortWithinPartitions("key")
+        part = written(_sorted_blocks(flow, length), "ranges")
+        ranges = part if ranges is None else ranges.unionByName(part)
+        del flow, rich
+        release(spark)
     spans = ranges.groupBy("doc_id", "x").agg(F.array_sort(F.collect_list(F.struct("first", (F.col("first") + F.col("size")).alias("end")))).alias("ranges"))
     return docs, spans
 
