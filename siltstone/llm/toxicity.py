@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.bytescan import Hasher, byte_table, class_of, lowered, mix, per_doc, runs
-from siltstone.llm.common import batches, docs_of, table, written
+from siltstone.llm.common import batches, broadcast_if_small, docs_of, table, written
 
 #: Parameters of the model, all bounds documented: tokens kept (by certainty), rows that calibrate, prior weight, least
 #: signed root of the likelihood ratio of a scoring token, score of any other token, significance level.
@@ -193,7 +193,8 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column) -> dict:
     import numpy as np
 
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    labelled = docs_of(documents).join(known, "doc_id").filter(training)
+    # Texts stay where they are while the labels are small enough to be sent to them.
+    labelled = docs_of(documents).filter(training).join(broadcast_if_small(written(known, "labels"), 24), "doc_id")
     holds = F.pmod(F.xxhash64("doc_id"), F.lit(9)) == 0
     best = (
         token_log_odds(labelled.filter(~holds).select("text", "y"))
