@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +19,22 @@ from siltstone.llm.common import docs_of, process_cache, table, written
 
 #: Unicode White_Space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: White space with the run after it: byte-level BPE never merges across the start of such a chunk.
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Latin letters and digits, and punctuation that is part of no contraction or special token.
+PLAIN = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+STOPS = ".,;:!?%&#@()$*+=/~-"
+#: Chunks that byte-level BPE never merges with their neighbours: white space with a run of plain characters before
+#: punctuation or space, such punctuation before plain characters or space, else all up to the next white space.
+CHUNK = re.compile(f"[{SPACE}]*[{PLAIN}]+(?=[{SPACE}{STOPS}]|\\Z)|[{SPACE}]*[{STOPS}]+(?=[{PLAIN}{SPACE}]|\\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+", re.S)
+
+#: Chunks that are one word for the merges: the pre-tokeniser would not cut them.
+WORD = re.compile("[ ]?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[" + STOPS + "]+)").fullmatch
 
 MAGIC = b"WMTX1\0\0\0"
 BLOCK = 512
 
 #: Ids a shard has at least, unless its partition ends; entries of the cache of encoded chunks at most.
 SHARD_TOKENS = 1 << 20
-CACHE = 400_000
+CACHE = 1_200_000
 
 
 class WaveletMatrix:
@@ -179,11 +187,24 @@ class ChunkEncoder:
             self.cache["tokenizer"] = Tokenizer.from_str(tokenizer_json)
             self.cache["known"] = {}
         self.tokenizer, self.known = self.cache["tokenizer"], self.cache["known"]
+        self.merge = self.tokenizer.model.tokenize
+        # Byte-level BPE shows bytes as characters: printable ones of Latin-1 as they are, the others from U+0100 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember the ids of chunks: words go straight to the library's merges, others through its pre-tokeniser."""
+        known, rest = self.known, []
+        for c in chunks:
+            if WORD(c):
+                known[c] = array("I", [t.id for t in self.merge(c.encode().decode("latin-1").translate(self.shown))]).tobytes()
+            else:
+                rest.append(c)
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[c] = array("I", e.ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        import numpy as np
-
         chunks = CHUNK.findall(text)
         try:
             return b"".join(map(self.known.__getitem__, chunks))
@@ -192,8 +213,7 @@ class ChunkEncoder:
             if len(self.known) + len(missing) > CACHE:
                 self.known.clear()
                 missing = list(dict.fromkeys(chunks))
-            for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+            self._learn(missing)
             return b"".join(map(self.known.__getitem__, chunks))
 
 
