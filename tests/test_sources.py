@@ -96,8 +96,12 @@ def test_tail(spark, tmp_path):
     put(f, '{"a": 4}\n')
     assert tail.read(str(f)) == [{"a": 4}]
     traces.tail_source(spark)
-    got = telemetry.drain(spark.readStream.format("jsonl_tail").option("path", str(f)).load(), "tail")
-    assert [r.value for r in got.collect()] == ['{"a": 4}']
+    stream = spark.readStream.format("jsonl_tail").option("path", str(f)).load().writeStream.format("memory").queryName("tailed").start()
+    try:
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    assert [r.value for r in spark.table("tailed").collect()] == ['{"a": 4}']
 
 
 def test_traces(spark, tmp_path):
