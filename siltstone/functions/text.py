@@ -44,7 +44,7 @@ def _brace_functions(source: str, language: str) -> Iterator[tuple[str, int, int
     elif language == "rust":
         head = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+(?:\"[^\"]*\"\s*)?)*fn\s+(?P<name>\w+)[^{};]*\{", re.M)
     elif language in ("javascript", "typescript", "arkts"):
-        head = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:static\s+|public\s+|private\s+|protected\s+|async\s+)*(?:function\s*\*?\s*(?P<name>[\w$]+)|(?P<method>[\w$]+)(?=\s*\())\s*(?:<[^>]*>)?\s*\([^{}]*\)[^{};=]*\{", re.M)
+        head = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:static\s+|public\s+|private\s+|protected\s+|async\s+)*(?:function\s*\*?\s*(?P<name>[\w$]+)|(?P<method>[\w$]+)(?=\s*[(<]))\s*(?:<[^>(]*>)?\s*\([^{}]*?\)[^{}();=]*\{", re.M)
     else:
         head = re.compile(r"^[ \t]*(?:[\w:<>,*&\[\]~@\s]+?[\s*&])?(?P<name>[~\w:]+)\s*\([^{};]*\)[^{};()=]*\{", re.M)
     at = 0

@@ -11,9 +11,9 @@ from siltstone.functions import expressions as X
 from siltstone.functions import text as T
 
 #: Directories that a scan leaves out, besides hidden ones.
-PRUNED = ["node_modules", "__pycache__", "venv", ".venv", "fm_agent"]
+PRUNED = ["node_modules", "__pycache__", "venv", ".venv"]
 #: What the wider scan of entry runs leaves out.
-PRUNED_ENTRY = ["fm_agent", ".git"]
+PRUNED_ENTRY = [".git"]
 
 
 def _walk(root: str, pruned: list[str], hidden: bool):
@@ -35,9 +35,10 @@ def files(spark: SparkSession, root: str, pruned: list[str] = PRUNED, hidden: bo
     return spark.createDataFrame([(p,) for p, reason in _walk(root, pruned, hidden) if reason is None], "path string")
 
 
-def source_files(spark: SparkSession, root: str, submodules: list[str] | None = None, entry: bool = False) -> DataFrame:
-    """path, ext, lang, included and reason of every file with a known extension outside pruned directories."""
-    f = files(spark, root, PRUNED_ENTRY if entry else PRUNED, not entry).withColumn("ext", X.extension(F.col("path")))
+def source_files(spark: SparkSession, root: str, submodules: list[str] | None = None, entry: bool = False, workspace: tuple[str, ...] = ()) -> DataFrame:
+    """path, ext, lang, included and reason of every file with a known extension outside pruned directories and outside
+    directories named as an analysis ``workspace``."""
+    f = files(spark, root, [*(PRUNED_ENTRY if entry else PRUNED), *workspace], not entry).withColumn("ext", X.extension(F.col("path")))
     p = F.col("path")
     kept = f.filter(F.col("ext").isin(list(X.LANGUAGES)))
     reason = F.when(X.is_test_file(p), "test file") if entry else X.exclusion_reason(p, submodules or [])
