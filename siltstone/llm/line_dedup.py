@@ -17,8 +17,9 @@ from siltstone.llm.common import broadcast_if_small, docs_of, table, written
 REGISTERS = 8
 NEAR = 0.3
 
-#: Distinct sites from which a line is boilerplate; largest share of a text's characters that removal may take, in percent.
+#: Distinct sites from which a line is boilerplate.
 SITES = 8
+#: Only ``ORACLE`` still has this: it leaves a text whole if removal would take more than so many percent of its characters.
 SHARE = 50
 
 _BLANK = " \t\r\f\x0b"
@@ -46,27 +47,26 @@ def boilerplate_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return sure.unionByName(exact.filter(F.col("count") >= sites).select("h", "g"))
 
 
-def remove_boilerplate(documents: DataFrame, sites: int = SITES, share: int = SHARE, site: str = "source", keep: list[str] | None = None) -> DataFrame:
+def remove_boilerplate(documents: DataFrame, sites: int = SITES, site: str = "source", keep: list[str] | None = None) -> DataFrame:
     """Return doc_id, text (without boilerplate lines), n_lines (with anything but blanks), n_removed and the columns that
     ``keep`` names, for every row.
 
-    Lines are compared trimmed of blanks; a null site is a site of its own; null and empty texts have no lines.  A text of
-    whose characters more than ``share`` percent would go stays as it is: that is no page around boilerplate but a copy of a
-    document, which document dedup settles.  Rows that repeat doc_id and text are treated alike.
+    Lines are compared trimmed of blanks; a null site is a site of its own; null and empty texts have no lines.  Boilerplate
+    lines go whatever their share of the text; only a text of nothing but boilerplate and blank lines, of which nothing would
+    remain, stays as it is and is left to document dedup.  Rows that repeat doc_id and text are treated alike.
     """
     docs = docs_of(documents, F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), *(keep or ())).withColumn("x", F.xxhash64("text"))
     lines = _lines(docs)
     bad = written(boilerplate_lines(lines.select("h", "g", "site"), sites), "boilerplate")
     hits = lines.join(broadcast_if_small(bad, 20), ["h", "g"], "left_semi")
-    gone = written(hits.groupBy(F.xxhash64("doc_id", "x").alias("k")).agg(F.collect_set(F.struct("at", "chars")).alias("hits")), "gone")
-    gone = gone.select("k", F.col("hits.at").alias("gone"), F.aggregate(F.col("hits.chars"), F.lit(0).cast("long"), lambda a, c: a + c).alias("chars"))
+    gone = written(hits.groupBy(F.xxhash64("doc_id", "x").alias("k")).agg(F.collect_set("at").alias("gone")), "gone")
     parts = docs.withColumn("k", F.xxhash64("doc_id", "x")).join(broadcast_if_small(gone, 128), "k", "left")
     split = F.split("text", "\n")
-    touched = F.col("gone").isNotNull() & (100 * F.col("chars") <= share * F.char_length("text"))
+    n_lines = F.size(F.filter(split, lambda line: F.trim(line, F.lit(_BLANK)) != ""))
+    touched = F.col("gone").isNotNull() & (F.size("gone") < n_lines)
     kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains("gone", i)), "\n")
     return parts.select(
-        "doc_id", F.when(touched, kept).otherwise(F.col("text")).alias("text"),
-        F.size(F.filter(split, lambda line: F.trim(line, F.lit(_BLANK)) != "")).cast("long").alias("n_lines"),
+        "doc_id", F.when(touched, kept).otherwise(F.col("text")).alias("text"), n_lines.cast("long").alias("n_lines"),
         F.when(touched, F.size("gone")).otherwise(0).cast("long").alias("n_removed"), *(keep or ()),
     )
 

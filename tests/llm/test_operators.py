@@ -81,6 +81,14 @@ def test_lines(spark):
     assert {r.text for r in line_dedup.remove_boilerplate(same, sites=9).collect()} == {"Buy now"}
 
 
+def test_boilerplate_goes_whatever_its_share(spark):
+    passage = "a long passage that every site shows " * 9
+    page = [(i, f"own {i}\n{passage}", f"s{i}") for i in range(9)] + [(9, f"{passage}\n \n{passage}", "s9")]
+    got = {r.doc_id: r for r in line_dedup.remove_boilerplate(docs(spark, page), sites=9).collect()}
+    assert [(got[i].text, got[i].n_lines, got[i].n_removed) for i in range(9)] == [(f"own {i}", 2, 1) for i in range(9)]
+    assert (got[9].text, got[9].n_lines, got[9].n_removed) == (page[9][1], 2, 0)
+
+
 def test_round_trip(spark):
     model = sentencepiece_codec.default_model()
     texts = [(i, t, "") for i, t in enumerate(["", "Hello world", "a  b\n\tc", "日本 𓀀 é", "x" * 5000, None])]
