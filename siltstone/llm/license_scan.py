@@ -3,7 +3,8 @@
 All rolling k-gram hashes of a text's words are joined with the positions they have in license templates.  A copy of a
 template shows as many hits with one offset (text position - template position): hits are counted by this diagonal,
 neighbouring diagonals (words put in or left out) are merged to spans, and a span is verified by the share of the
-template's k-grams it has and by its length.  Every hit is confirmed on its words.
+template's k-grams it has and by its length.  A span with enough hits that is too long holds several copies or parts of
+them and is split.  Every hit is confirmed on its words.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import docs_of, table
+from siltstone.llm.common import docs_of, table, written
 from siltstone.llm.wordarrays import rolling, with_words
 
 #: The base phrases and their labels.
@@ -52,6 +53,37 @@ def template_grams(spark, templates=None) -> DataFrame:
     )
 
 
+def _fits(first: str, end: str) -> str:
+    """The condition that words first..end are no more than a span may have."""
+    return f"100 * ({end} - {first}) <= {STRETCH} * (grams + {GRAM - 1})"
+
+
+def _split(loose: DataFrame) -> DataFrame:
+    """Spans within merged diagonals that are too long for one; loose: a row for each diagonal, ``at`` has its positions.
+
+    A diagonal with enough of the grams is a span of its own.  The other hits, one for each position, are cut where the
+    place in the template falls back and at spans already found; a piece's best stretch of a span's length is verified.
+    """
+    key = ["doc_id", "label", "template", "grams", "span"]
+    loose = loose.withColumn("alone", F.expr(f"100 * size(at) >= {COVERED} * grams"))
+    alone = loose.filter("alone").select(*key, F.size("at").alias("votes"), F.col("lo").alias("first_word"), (F.col("hi") + GRAM).alias("end_word"))
+    hits = loose.select(*key, "diagonal", "votes", "alone", "hi", F.explode("at").alias("pos"))
+    before = Window.partitionBy(*key).orderBy("pos", F.desc("alone"), "diagonal").rowsBetween(Window.unboundedPreceding, 0)
+    hits = hits.withColumn("found", F.sum(F.col("alone").cast("int")).over(before)).withColumn("until", F.max(F.when(F.col("alone"), F.col("hi"))).over(before))
+    hits = hits.filter("not alone and (until is null or pos > until)")
+    best = Window.partitionBy(*key, "pos").orderBy(F.desc("votes"), "diagonal")
+    hits = hits.withColumn("best", F.row_number().over(best)).filter("best = 1").withColumn("place", F.col("pos") - F.col("diagonal"))
+    order = Window.partitionBy(*key).orderBy("pos")
+    goes_on = (F.col("place") > F.lag("place").over(order)) & (F.col("found") == F.lag("found").over(order))
+    hits = hits.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("piece", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # Places rise within a piece, so it has at most as many hits as the template has grams.
+    pieces = hits.groupBy(*key, "piece").agg(F.array_sort(F.collect_list("pos")).alias("at")).filter(f"100 * size(at) >= {COVERED} * grams")
+    stretches = pieces.withColumn("stretch", F.expr(f"transform(at, p -> filter(at, q -> q >= p and {_fits('p', f'q + {GRAM}')}))"))
+    longest = stretches.withColumn("stretch", F.expr("array_max(transform(stretch, x -> struct(size(x) as votes, -x[0] as near, element_at(x, -1) as last)))"))
+    parts = longest.select(*key, F.col("stretch.votes"), (-F.col("stretch.near")).alias("first_word"), (F.col("stretch.last") + GRAM).alias("end_word"))
+    return alone.unionByName(parts.filter(f"100 * votes >= {COVERED} * grams"))
+
+
 def license_spans(documents: DataFrame, templates=None) -> DataFrame:
     """(doc_id, label, template, first_word, end_word, covered): verified spans of templates, covered from 0 to 1."""
     docs = with_words(docs_of(documents).filter("doc_id is not null")).select("doc_id", "w")
@@ -61,18 +93,21 @@ def license_spans(documents: DataFrame, templates=None) -> DataFrame:
     voted = (
         hits.select("doc_id", "template", "label", "grams", "pos", (F.col("pos") - F.col("at")).alias("diagonal"))
         .groupBy("doc_id", "template", "label", "grams", "diagonal")
-        .agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+        .agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("pos").alias("at"))
     )
     near = Window.partitionBy("doc_id", "template").orderBy("diagonal")
-    spans = (
+    run = Window.partitionBy("doc_id", "template", "span")
+    merged = (
         voted.withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(near) <= DRIFT, 0).otherwise(1))
         .withColumn("span", F.sum("new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc_id", "label", "template", "grams", "span")
-        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("first_word"), (F.max("hi") + GRAM).alias("end_word"))
-    )
-    return spans.filter(f"100 * votes >= {COVERED} * grams and 100 * (end_word - first_word) <= {STRETCH} * (grams + {GRAM - 1})").select(
-        "doc_id", "label", "template", "first_word", "end_word", F.least(F.lit(1.0), F.col("votes") / F.col("grams")).alias("covered")
+        .withColumns({"all": F.sum("votes").over(run), "first_word": F.min("lo").over(run), "end_word": F.max("hi").over(run) + GRAM})
+        .filter(f"100 * all >= {COVERED} * grams")
     )
+    merged = written(merged.drop("new"), "diagonals")
+    key = ["doc_id", "label", "template", "grams", "span"]
+    whole = merged.filter(_fits("first_word", "end_word")).select(*key, F.col("all").alias("votes"), "first_word", "end_word").distinct()
+    spans = whole.unionByName(_split(merged.filter(f"not ({_fits('first_word', 'end_word')})").drop("all", "first_word", "end_word")))
+    return spans.select("doc_id", "label", "template", "first_word", "end_word", F.least(F.lit(1.0), F.col("votes") / F.col("grams")).alias("covered"))
 
 
 def license_scan(documents: DataFrame, templates=None) -> DataFrame:

@@ -128,6 +128,23 @@ def test_license_spans(spark):
     assert got[4].labels == "" and got[4].first_word is None and got[5].score == 0.0
 
 
+def test_repeated_short_licenses(spark):
+    nc, apache, mit = "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
+    gap = apache.replace("the Apache", "the well known Apache")
+    texts = {
+        1: nc, 2: f"{nc} {nc}", 3: " ".join([nc] * 40), 4: f"{nc} and {nc}", 5: f"{apache} {apache} {apache}", 6: f"{mit} {mit}",
+        7: f"Licensed under CC BY 4.0. {nc}", 8: f"{gap} {gap} {gap}", 9: f"{apache} {gap} {apache}", 10: f"Licensed under the old terms {gap}",
+        11: "Licensed under CC BY. " * 9,
+    }
+    got = {r.doc_id: (r.labels, r.score, r.n_spans) for r in license_scan.license_scan(docs(spark, [(i, t, "a") for i, t in texts.items()])).collect()}
+    assert [got[i] for i in (1, 2, 3, 4, 7)] == [("cc-by-nc", 1.0, n) for n in (1, 2, 40, 2, 1)]
+    assert got[5] == ("apache", 1.0, 3) and got[6] == ("mit", 1.0, 2)
+    assert got[8] == ("apache", 4 / 6, 3) and got[9] == ("apache", 1.0, 3) and got[10] == ("apache", 4 / 6, 1)
+    assert got[11] == ("", 0.0, 0)
+    places = license_scan.license_spans(docs(spark, [(2, texts[2], "a"), (7, texts[7], "a")])).orderBy("doc_id", "first_word").collect()
+    assert [(r.doc_id, r.first_word, r.end_word) for r in places] == [(2, 0, 7), (2, 7, 14), (7, 6, 13)]
+
+
 def test_statistics(spark):
     rows = [(1, "a b c a b c x", ""), (2, "héé #$\nl\nl\n\nl", ""), (3, "a a a a", "")]
     got = {r.doc_id: r for r in quality_rules.text_statistics(docs(spark, rows)).collect()}
