@@ -31,9 +31,23 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return line_dedup.remove_boilerplate(docs, keep=["lang", "source"]).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+def _one_of_repeated_rows(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id and text, that with the least other columns; rows without a doc_id stay.  Only the texts of
+    doc_ids that occur more than once are grouped."""
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    ids = written(ids, "repeated-ids")
+    if ids.isEmpty():
+        return docs
+    ids = broadcast_if_small(ids, 16)
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("row"))
+    return docs.join(ids, "doc_id", "left_anti").select(*COLUMNS).unionByName(one.select("doc_id", "text", "row.*"))
+
+
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five words, 0.8): that with the smallest doc_id."""
-    return _without(docs, near_dedup.near_duplicates(docs).filter("not kept").select("doc_id"), "duplicate-ids")
+    """One document of each group of near duplicates stays (five words, 0.8): that with the smallest doc_id.  Of rows that
+    repeat its doc_id and text one stays; rows with its doc_id and another text are the same document and stay as well."""
+    return _one_of_repeated_rows(_without(docs, near_dedup.near_duplicates(docs).filter("not kept").select("doc_id"), "duplicate-ids"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -311,3 +311,13 @@ def test_pipeline(spark, tmp_path):
     cleaned = corpus_pipeline.drop_boilerplate(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
     kept = {r.doc_id for r in near_dedup.near_duplicates(cleaned).filter("kept").collect()}
     assert 1001 in ids and 1003 not in ids and ids == kept - {1003}
+
+
+def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{c}{i}" for i in range(20)) for c in "abc")
+    rows = [(1, one, "s"), (1, one, "s"), (1, one, "r"), (1, two, "s"), (2, one, "s"), (3, three, "s"), (4, "", "s"), (4, "", "s"), (None, three, "s"), (None, three, "s")]
+    got = corpus_pipeline.keep_one_of_near_duplicates(spark, docs(spark, rows), "").collect()
+    want = [(1, one, "r"), (1, two, "s"), (3, three, "s"), (4, "", "s"), (None, three, "s"), (None, three, "s")]
+    assert got[0].asDict().keys() == set(corpus_pipeline.COLUMNS) and sorted(map(repr, ((r.doc_id, r.text, r.source) for r in got))) == sorted(map(repr, want))
