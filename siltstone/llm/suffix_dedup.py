@@ -4,7 +4,7 @@ Only suffixes that can matter are sorted.  Every window of ``length`` bytes has
 leftmost of equals); windows in a row with one anchor form a strip.  Equal windows have equal anchors at equal places, so
 
 1. one scan finds the anchors, and a shuffle of their hashes those that several documents have;
-2. the strips of these are bucketed by anchor; equal strips are merged, the first document's is kept;
+2. the strips of these are bucketed by anchor; equal strips (by hash, then by bytes) are merged, the first document's is kept;
 3. buckets are sorted one block at a time.  A block's text is its distinct strips, each laid out with its anchor at a
    multiple of V.  Ranks of the suffixes at a difference cover modulo V are computed first; then each suffix at which a
    window starts is sorted by its first V bytes, and longer ties by the rank of the cover position that follows at the
@@ -178,6 +178,13 @@ def _repeated(packed: DataFrame) -> DataFrame:
 _FLOW = "key long, kind int, doc_id long, x long, first int, size int, strip binary"
 
 
+def part_unequal(new, order, strip) -> None:
+    """Set ``new`` for each strip in ``order`` that has other bytes than the one before it, though their hashes are equal."""
+    for k in (~new).nonzero()[0]:
+        if strip(order[k]) != strip(order[k - 1]):
+            new[k] = True
+
+
 def _strips(docs: DataFrame, length: int, hot, turn: int) -> DataFrame:
     """docs: (doc_id, x, text, ats).  Rows of _FLOW: kind 0 a strip of the task's first document with it, kind 1 a strip
     that an earlier document of this task has as well (no bytes)."""
@@ -199,6 +206,7 @@ def _strips(docs: DataFrame, length: int, hot, turn: int) -> DataFrame:
             order = np.lexsort((doc, mark, key))
             new = np.ones(len(order), bool)
             new[1:] = (key[order][1:] != key[order][:-1]) | (mark[order][1:] != mark[order][:-1])
+            part_unequal(new, order, lambda i: texts[source[i]][start[i] : start[i] + size[i]])
             least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
             later = doc[order] > least
             kept = order[~later]  # of the first document with it, wherever it has it
@@ -329,6 +337,7 @@ def _sorted_blocks(flow: DataFrame, length: int) -> DataFrame:
             order = np.lexsort((doc, mark, key))
             new = np.ones(len(order), bool)
             new[1:] = (key[order][1:] != key[order][:-1]) | (mark[order][1:] != mark[order][:-1])
+            part_unequal(new, order, body.__getitem__)
             group = np.cumsum(new) - 1
             least = doc[order][np.flatnonzero(new)][group]
             later = order[doc[order] > least]

@@ -221,6 +221,18 @@ def test_repeated_strings(spark, hot):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(rows)
 
 
+def test_strips_with_equal_hashes_but_other_bytes_stay(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2 ** 64."""
+    rnd = random.Random(8)
+    word = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    rows = []
+    for i in range(6):
+        edge, end = ("".join(rnd.choice("cdefghijkl") for _ in range(200)) for _ in range(2))
+        rows += [(2 * i, edge + word + end, ""), (2 * i + 1, edge + word.translate({97: "b", 98: "a"}) + end, "")]
+    for d in (docs(spark, rows), docs(spark, rows).coalesce(1)):  # merged in a block, and in a task
+        assert [r.n_removed for r in suffix_dedup.remove_repeats(d, 2300).collect()] == [0] * 12
+
+
 def test_difference_cover():
     cover = suffix_dedup.difference_cover(16)
     assert {(a - b) % 16 for a in cover for b in cover} == set(range(16))
