@@ -56,7 +56,7 @@ class Hasher:
     def _grow(self, n: int) -> None:
         if len(self.power) < n:
             for name, by in (("power", _MULTIPLIER), ("inverse", _INVERSE)):
-                x = np.full(max(n, 1 << 20), by, np.uint64)
+                x = np.full(max(n, 1 << 18), by, np.uint64)
                 x[0] = 1
                 setattr(self, name, np.multiply.accumulate(x))
 

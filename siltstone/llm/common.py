@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -21,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (local runs, tests), a new temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a new temporary one on a local master (one
+    machine, as in tests) and an error on any other."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -34,7 +38,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def broadcast_if_small(df: DataFrame, bytes_per_row: int) -> DataFrame:
@@ -42,12 +55,21 @@ def broadcast_if_small(df: DataFrame, bytes_per_row: int) -> DataFrame:
     return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df
 
 
+#: Rows of an Arrow batch at most: texts of some kilobytes make Spark's default of 10,000 rows a large buffer, of which a
+#: task holds several, in the JVM and in Python.
+ARROW_ROWS = 1000
+
+
 def docs_of(df: DataFrame, *columns: str) -> DataFrame:
-    """``doc_id``, the whole text with null as the empty text, and ``columns``; any other column is dropped."""
+    """``doc_id``, the whole text with null as the empty text, and ``columns``; any other column is dropped.  The session's
+    Arrow batches are held to ``ARROW_ROWS`` rows from here on."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *columns)
 
 
-def batches(it: Iterator, most_bytes: int = 1 << 20) -> Iterator[tuple]:
+def batches(it: Iterator, most_bytes: int = 1 << 18) -> Iterator[tuple]:
     """Arrow batches as (batch, lo, hi, data, offsets): rows lo..hi of about ``most_bytes`` of text, or one long row.
 
     data: the UTF-8 bytes of these rows as uint8, offsets: hi - lo + 1 positions in it.
