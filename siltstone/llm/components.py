@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import written
+from siltstone.llm.common import discard, written
 
 
 def _distinct_edges(df: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
-        now = written(_distinct_edges(small), "edges")
+        before, now = now, written(_distinct_edges(small), "edges")
+        discard(before)
         if seen == (seen := _stats(now)):
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

@@ -5,12 +5,13 @@
 2. The retained values form inverted lists.  A pair above the threshold shares at least ``needed`` retained values,
    so it shares one among the rarest ``retained - needed + 1`` of each side; only these are listed, and values that
    only one class has are dropped.
-3. Each list links its members to one alone, that with the fewest values that nobody shares.  These pairs pass a filter (the estimate from the sketch of
-   the union) and are then compared on their full sets.  Linked classes form first components, as stars.
-4. Lists that still hold several components are searched again, star centre against star centre.  Jaccard distance is
-   a metric, so members of two stars can only be linked if the centres' distance is at most 1 - t plus their own
-   distances to their centres; only such members are compared, first with the other centre, and only while the two
-   components are apart.  No list is expanded into all its pairs.
+3. Each list links its members to one alone, its hub: that with the fewest values that nobody shares.  These pairs pass
+   a filter (the estimate from the sketch of the union) and are then compared on their full sets.  Linked classes form
+   first components.
+4. Lists that still hold several components are searched again.  Up to ``SHORT`` members meet member against member.
+   In longer ones every member is laid over the hub, and only what tells it from the hub is listed: two members that
+   aren't both linked with the hub can only be linked if they share enough of that.  So a large group of near copies, in
+   which all share nearly all, is searched by its rare edits and never expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -19,13 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.bytescan import WORD, Hasher, byte_table, lowered, mix, per_doc, runs, shingles
-from siltstone.llm.common import batches, broadcast_if_small, docs_of, release, table, written
+from siltstone.llm.common import batches, broadcast_if_small, discard, docs_of, release, table, written
 from siltstone.llm.components import components
 
 #: Retained values of a sketch, and how many of them two sketches share at least at a similarity of 0.8 (a binomial
 #: with 64 draws falls below 34 with a chance of about 1e-7).
 SKETCH = 64
 SHARED = 34
+#: Lists of at most so many members meet member against member.
+SHORT = 16
+#: A hub's text is sent once for so many of its pairs.
+DEALT = 256
 
 
 def shingle_sets(width: int):
@@ -77,11 +82,65 @@ def _sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, p long, q long, sketch array<long>")
 
 
-def _compared(pairs: DataFrame, made: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """pairs (a, b, least) whose union sketch allows a similarity of ``least``, with the exact one: (a, b, both, either).
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs (a, b) with text_a and text_b.  b may be the hub of very many pairs: its text is sent once for every
+    ``DEALT`` of them, under a salt."""
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
+    texts = docs.join(broadcast_if_small(ids, 16), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    salts = pairs.groupBy("b").agg(F.count("*").alias("k")).select("b", F.ceil(F.col("k") / DEALT).alias("salts"))
+    hubs = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).join(salts, "b").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    dealt = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
+    return dealt.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(hubs, ["b", "salt"]).select("a", "b", "text_a", "text_b")
 
-    made: (doc_id, n_shingles, sketch).  For two sets held whole the estimate is exact; else at least five standard
-    deviations are left.
+
+def _overlaps(pairs: DataFrame, docs: DataFrame, width: int, name: str, rests: bool = False) -> DataFrame:
+    """The full sets of each pair (a, b) laid over each other: (a, b, both, n, m), and with ``rests`` what only a and
+    only b have, as arrays of hashes."""
+
+    def run(it):
+        import numpy as np
+        import pyarrow as pa
+
+        sets = shingle_sets(width)
+
+        def one(text):
+            data = np.frombuffer(text.as_buffer(), np.uint8)
+            return sets(data, np.array([0, len(data)]))[0]
+
+        def arrays(parts):
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)), pa.array(np.concatenate(parts), pa.int64()))
+
+        for whole in it:
+            for batch in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256)):
+                left, right = (batch.column(batch.schema.get_field_index(c)).cast(pa.large_binary()) for c in ("text_a", "text_b"))
+                ids_b = batch.column(batch.schema.get_field_index("b")).to_pylist()
+                both, n, m, only, lacks, last, hub = [], [], [], [], [], None, None
+                for i in range(batch.num_rows):
+                    if ids_b[i] != last:
+                        last, hub = ids_b[i], one(right[i])
+                    x = one(left[i])
+                    common = np.intersect1d(x, hub, assume_unique=True)
+                    both.append(len(common))
+                    n.append(len(x))
+                    m.append(len(hub))
+                    if rests:
+                        only.append(np.setdiff1d(x, common, assume_unique=True))
+                        lacks.append(np.setdiff1d(hub, common, assume_unique=True))
+                out = [batch.column(batch.schema.get_field_index("a")), batch.column(batch.schema.get_field_index("b")), *(pa.array(c, pa.int64()) for c in (both, n, m))]
+                if rests:
+                    out += [arrays(only), arrays(lacks)]
+                yield pa.RecordBatch.from_arrays(out, names=["a", "b", "both", "n", "m", "only", "lacks"][: len(out)])
+
+    shape = "a long, b long, both long, n long, m long" + (", only array<long>, lacks array<long>" if rests else "")
+    out = written(_with_texts(pairs, docs).mapInArrow(run, shape), name)
+    release(docs.sparkSession)
+    return out
+
+
+def _compared(pairs: DataFrame, made: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose union sketch allows a link, with their full sets compared: (a, b, both, n, m, linked).
+
+    made: (doc_id, n_shingles, sketch).  For two sets held whole the estimate is exact.
     """
     side = lambda s: made.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
     near = (
@@ -89,48 +148,76 @@ def _compared(pairs: DataFrame, made: DataFrame, docs: DataFrame, width: int) ->
         .join(side("b"), "b")
         .withColumn("u", F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH))
         .withColumn("both", F.size(F.array_intersect("u", F.array_intersect("s_a", "s_b"))))
-        .withColumn("slack", F.expr(f"case when least >= 0.8 then {SHARED / SKETCH} else least - 5 * sqrt(greatest(least, 0.05) * (1 - least) / {SKETCH}) end"))
-        .filter("both >= size(u) * slack")
-        .filter(f"n_a > {SKETCH} or n_b > {SKETCH} or size(u) >= {SKETCH} or both >= size(u) * (least - 1e-9)")
+        .filter(f"both * {SKETCH} >= size(u) * {SHARED}")
+        .filter(f"n_a > {SKETCH} or n_b > {SKETCH} or size(u) >= {SKETCH} or 100 * both >= size(u) * {percent}")
         .select("a", "b")
         .distinct()
     )
-    near = written(near, "pairs")
-    ids = written(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "pair-ids")
-    texts = docs.join(broadcast_if_small(ids, 16), "doc_id", "left_semi")
-    both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
-    )
+    return _overlaps(written(near, "pairs"), docs, width, "compared").withColumn("linked", F.expr(f"100 * both >= {percent} * (n + m - both)"))
 
-    def run(it):
-        import numpy as np
-        import pyarrow as pa
 
-        sets = shingle_sets(width)
+def _search_by_hub(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """All links between texts that hang on one hub and are not in one component yet: (a, b).
 
-        def one(text):
-            data = np.frombuffer(text.as_buffer(), np.uint8)
-            return sets(data, np.array([0, len(data)]))[0]
+    members: (a, b, component), b being the hub.  Every member is laid over its hub: ``only`` is what the hub lacks,
+    ``lacks`` is what the member lacks, and two members differ in exactly the difference of these two differences.  With
+    w = |only| + |lacks| - g * size and g = (100 - percent) / (100 + percent), members x and y are linked if and only if
+    2 * |what they share of only and of lacks| >= w(x) + w(y).  The hub's own w is the least, -g * |hub|, and a member that
+    is ``far``, not linked with the hub, has more than g * |hub|.  So two members of two components share values:
 
-        for batch in it:
-            left, right = (batch.column(c).cast(pa.large_binary()) for c in ("text_a", "text_b"))
-            ids_b = batch.column("b").to_pylist()
-            inter, union, last, hub = [], [], None, None
-            for i in range(batch.num_rows):
-                if ids_b[i] != last:
-                    last, hub = ids_b[i], one(right[i])
-                x = one(left[i])
-                n = len(np.intersect1d(x, hub, assume_unique=True))
-                inter.append(n)
-                union.append(len(x) + len(hub) - n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(inter, pa.int64()), pa.array(union, pa.int64())],
-                names=["a", "b", "both", "either"],
-            )
+    * at least t / (1 + t) * (|x| + |y|) - (what the one with less shares with the hub) of ``only``;
+    * or, if they share none of ``only``, all that they need of ``lacks``.
 
-    out = written(both.mapInArrow(run, "a long, b long, both long, either long").filter("either > 0"), "compared")
-    release(docs.sparkSession)
-    return out
+    These lists are searched with a prefix filter: a pair meets in a value only if in both members' orders, rarest first,
+    enough values come after it.  What a shared shingle of the hub would bring together, the mass of a group of near
+    copies, never meets.
+    """
+    g, t = (100 - percent) / (100 + percent), percent / 100
+    laid = _overlaps(members.select("a", "b"), docs, width, "laid", rests=True)
+    facts = laid.join(members, ["a", "b"]).select(
+        F.col("b").alias("hub"), F.col("a").alias("x"), "component", "both", "n", "m", "only", "lacks",
+        F.expr(f"n + m - 2 * both - {g} * n").alias("w"), F.size("only").alias("na"), F.size("lacks").alias("nr"),
+        F.expr(f"100 * both < {percent} * (n + m - both)").alias("far"),
+    )
+    facts = written(facts, "facts")
+    plain = ["x", "component", "both", "n", "w", "far", "na", "nr"]
+
+    def lists(of: DataFrame, values: str, needed: str) -> DataFrame:
+        """One row for each member and shared value of its prefix; at: the value's place in the member's order, from 1."""
+        some = of.select("hub", *plain, F.expr(needed).alias("needed"), F.explode(values).alias("v"))
+        shared = some.groupBy("hub", "v").agg(F.count("*").alias("df"), F.max("far").alias("any_far"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        shared = shared.filter("df > 1 and any_far and lo <> hi").select("hub", "v", "df")
+        ranked = some.join(shared, ["hub", "v"]).groupBy("hub", "x").agg(F.first(F.struct(*plain[1:], "needed")).alias("f"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+        # Values that bring nobody together come first in the order, so the shared ones give way at the end only.
+        alone = f"f.{'na' if values == 'only' else 'nr'} - size(vs)"
+        placed = ranked.select("hub", "x", "f.*", F.expr(alone).alias("alone"), F.posexplode("vs").alias("at", "e")).withColumn("at", F.expr("alone + at + 1"))
+        size = "na" if values == "only" else "nr"
+        return placed.filter(f"at <= {size} - needed + 1").select("hub", *plain, "at", F.col("e.v").alias("v"))
+
+    def meet(of: DataFrame, size: str, needed: str, condition: str) -> DataFrame:
+        of = written(of, "hub-lists")
+        left = of.filter("far").select("hub", "v", *(F.col(c).alias(f"{c}_a") for c in (*plain, "at")))
+        right = of.select("hub", "v", *(F.col(c).alias(f"{c}_b") for c in (*plain, "at")))
+        return (
+            left.join(right, ["hub", "v"])
+            .filter("component_a <> component_b and (x_a > x_b or not far_b)")
+            .filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and w_a + w_b <= 2 * (least(na_a, na_b) + least(nr_a, nr_b)) + 1e-6")
+            .filter(f"{condition} and {needed} <= least({size}_a - at_a, {size}_b - at_b) + 1 + 1e-6")
+            .select("hub", F.col("x_a").alias("x"), F.col("x_b").alias("y"))
+        )
+
+    by_only = meet(lists(facts, "only", f"greatest(1, cast(ceil({t} * n - both - 1e-6) as int))"), "na", f"{t / (1 + t)} * (n_a + n_b) - least(both_a, both_b)", "true")
+    # Without a shared value in ``only`` the whole need has to come from ``lacks``: from members that lack more than they have.
+    poor = facts.filter(f"na - nr - {g} * n <= case when far then {g} else -{g} end * m + 1e-6")
+    by_lacks = meet(
+        lists(poor, "lacks", f"greatest(1, cast(ceil(case when far then greatest((w - {g} * m) / 2, w - {g} * n / {t}) else (w + {g} * m) / 2 end - 1e-6) as int))"),
+        "nr", "(w_a + w_b) / 2", "w_a + w_b <= 2 * least(nr_a, nr_b) + 1e-6",
+    )
+    met = written(by_only.unionByName(by_lacks).distinct(), "hub-pairs")
+    one = lambda x: facts.select("hub", F.col(x[0]).alias(x[1]), *(F.col(c).alias(f"{c}_{x[1]}") for c in ("n", "only", "lacks")), *(["m"] if x[1] == "x" else []))
+    both = "size(array_intersect(only_x, only_y)) + m - size(lacks_x) - size(lacks_y) + size(array_intersect(lacks_x, lacks_y))"
+    found = met.join(one(("x", "x")), ["hub", "x"]).join(one(("x", "y")), ["hub", "y"]).withColumn("both", F.expr(both)).filter(f"100 * both >= {percent} * (n_x + n_y - both)")
+    return found.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(facts.filter("not far and x <> hub").select(F.col("x").alias("a"), F.col("hub").alias("b")))
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -148,7 +235,6 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     made = written(_sketches(docs, width, SKETCH), "sketches")
     classes = written(made.filter("n_shingles > 0").groupBy("p", "q").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
     firsts = made.join(classes.select("p", "q", F.col("node").alias("doc_id")), ["p", "q", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch")
-    nodes = written(firsts.select("node", "n").distinct(), "nodes")
     # The prefix of each sketch in the order (number of classes with the value, value).
     listed = firsts.select("node", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     common = listed.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
@@ -159,85 +245,44 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         .agg(F.min("k").alias("k"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
         .withColumn("take", F.expr(f"cast(k - ({needed}) + 1 - (k - size(vs)) as int)"))
         .filter("take > 0")
-        .select("node", "n", (F.col("k") - F.size("vs")).alias("own"), F.explode(F.expr("slice(vs, 1, take)")).alias("e"))
-        .select("node", "n", "own", F.col("e.v").alias("v"))
+        .withColumn("rank", F.struct((F.col("k") - F.size("vs")).alias("own"), F.expr("-aggregate(vs, 0L, (s, e) -> s + e.df) / k").alias("met")))
+        .select("node", "n", "rank", F.explode(F.expr("slice(vs, 1, take)")).alias("e"))
+        .select("node", "n", "rank", F.col("e.v").alias("v"))
     )
     lists = written(lists, "lists")
     release(documents.sparkSession)
-    # The member with the fewest values of its own: among edited copies of a text, the text itself.
-    hubs = lists.groupBy("v").agg(F.min(F.struct("own", "node", "n")).alias("hub"), F.count("*").alias("df")).filter("df > 1")
-    t = percent / 100
-    first = (
-        lists.join(hubs.select("v", F.col("hub.node").alias("b"), F.col("hub.n").alias("m")), "v")
-        .filter("node <> b")
-        .filter(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-        .select(F.col("node").alias("a"), "b")
-        .distinct()
-        .withColumn("least", F.lit(t))
-    )
-    linked = _compared(first, made, docs, width).filter(f"100 * both >= {percent} * either")
-    groups = components(linked.select("a", "b"))
-    # Stars: each class hangs on the centre it is most like; a centre on itself.
-    centres = linked.select(F.col("b").alias("node")).distinct()
-    hung = (
-        linked.join(centres.withColumnRenamed("node", "a"), "a", "left_anti")
-        .groupBy(F.col("a").alias("node"))
-        .agg(F.min(F.struct((1 - F.col("both") / F.col("either")).alias("d"), F.col("b").alias("c"))).alias("s"))
-        .select("node", F.col("s.c").alias("centre"), F.col("s.d").alias("d"))
-    )
-    stars = written(
-        nodes.select("node", "n")
-        .join(hung, "node", "left")
-        .join(groups, "node", "left")
-        .select("node", "n", F.coalesce("centre", "node").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "node").alias("component")),
-        "stars",
-    )
-    centre = stars.groupBy(F.col("centre").alias("node")).agg(F.max("d").alias("r"))
-    placed = lists.select("v", "node").join(stars.select("node", "centre", "component"), "node")
-    mixed = placed.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("v")
-    ends = written(placed.join(mixed, "v").select("v", "centre", "component").distinct(), "ends")
-    # A pair is met once, in the least list that it shares; centres of many lists carry none and may be met more often.
-    shares = ends.groupBy(F.col("centre").alias("node")).agg(F.count("*").alias("m"), F.min("component").alias("component"))
-    few = ends.join(shares.filter(f"m <= {SKETCH}").select(F.col("node").alias("centre")), "centre", "left_semi").groupBy(F.col("centre").alias("node")).agg(F.collect_list("v").alias("vs"))
-    facts = written(shares.select("node").join(nodes, "node").join(centre, "node").join(few, "node", "left"), "facts")
-    ends = ends.select("v", F.col("centre").alias("node"), "component").join(facts, "node")
-    end = lambda x: ends.select("v", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n", "r", "vs")))
-    met = (
-        end("a")
-        .join(end("b"), "v")
-        .filter("a > b and component_a <> component_b")
-        .filter(f"least(n_a, n_b) >= ({t} - r_a - r_b - 1e-9) * greatest(n_a, n_b)")
-        .filter("vs_a is null or vs_b is null or array_min(array_intersect(vs_a, vs_b)) = v")
-        .select("a", "b", F.expr(f"greatest(0.0D, {t} - r_a - r_b)").alias("least"))
-        .distinct()
-    )
-    # Centres with a distance d, and then their members: only while their components are apart, and only as far as the
-    # triangle leaves room for a link.
-    between = _compared(met, made, docs, width).withColumn("d", 1 - F.col("both") / F.col("either"))
-    more = written(between.filter(f"100 * both >= {percent} * either").select("a", "b"), "more")
-    edges = linked.select("a", "b")
-    for members in (None, ("a",), ("b",), ("a", "b")):
-        if members is not None:
-            own = lambda x: stars.filter("d > 0" if x in members else "node = centre").select(F.col("centre").alias(x), F.col("node").alias(f"x_{x}"), F.col("n").alias(f"n_{x}"), F.col("d").alias(f"d_{x}"))  # noqa: B023, E731
-            radius = centre.select(F.col("node").alias("b"), (F.col("r") if "b" in members else F.lit(0.0)).alias("r_b"))
-            of = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))  # noqa: B023, E731
-            apart = between.select("a", "b", "d").join(of("a"), "a", "left").join(of("b"), "b", "left").filter("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b", "d")
-            rest = (
-                apart.join(radius, "b")
-                .join(own("a"), "a")
-                .filter(f"d - d_a - r_b <= {1 - t} + 1e-9")
-                .join(own("b"), "b")
-                .filter(f"d - d_a - d_b <= {1 - t} + 1e-9 and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-                .select(F.col("x_a").alias("a"), F.col("x_b").alias("b"), F.lit(t).alias("least"))
-                .distinct()
-            )
-            rest = written(rest, "rest")
-            if rest.isEmpty():
-                continue
-            more = _compared(rest, made, docs, width).filter(f"100 * both >= {percent} * either").select("a", "b")
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            groups = components(edges)
+    # The member with the fewest values of its own, and among these the one whose values most others have: among edited
+    # copies of a text, the text itself.
+    hubs = lists.groupBy("v").agg(F.min(F.struct("rank", "node", "n")).alias("hub"), F.count("*").alias("df")).filter("df > 1")
+    hubs = written(hubs.select("v", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), "df"), "hubs")
+    sized = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    first = lists.join(hubs, "v").filter("node <> b").filter(sized).select(F.col("node").alias("a"), "b").distinct()
+    seen = _compared(first, made, docs, width, percent)
+    edges = seen.filter("linked").select("a", "b")
+    groups = components(edges)
+    # Lists whose members are not yet in one component.
+    placed = lists.join(hubs, "v").join(groups, "node", "left").select("v", "node", "n", "b", "df", F.coalesce("component", "node").alias("component"))
+    placed = written(placed, "placed")
+    mixed = placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("v")
+    open_lists = written(placed.join(mixed, "v"), "open")
+    # Short ones: member against member.
+    short = open_lists.filter(F.col("df") <= SHORT)
+    end = lambda x: short.select("v", F.col("node").alias(x), F.col("n").alias("n" if x == "a" else "m"), F.col("component").alias(f"c_{x}"), F.col("b" if x == "a" else "v").alias(f"hub_{x}"))
+    met = end("a").join(end("b"), "v").filter("a > b and c_a <> c_b and a <> hub_a and b <> hub_a").filter(sized).select("a", "b").distinct()
+    more = _compared(met, made, docs, width, percent).filter("linked").select("a", "b")
+    # Long ones: by the hub that most of their members are most like; it needn't be in the list.
+    long = open_lists.filter(F.col("df") > SHORT)
+    best = seen.groupBy(F.col("a").alias("node")).agg(F.max_by("b", F.struct(F.expr("both / (n + m - both)"), F.expr("-b"))).alias("h"))
+    votes = long.join(best, "node").groupBy("v", "h").agg(F.count("*").alias("k"))
+    chosen = votes.groupBy("v").agg(F.max(F.struct("k", F.expr("-h").alias("h"))).alias("c")).select("v", F.expr("-c.h").alias("h"))
+    members = long.join(chosen, "v", "left").select(F.col("node").alias("a"), F.coalesce("h", "b").alias("b"), "component").distinct()
+    members = written(members, "members")
+    if not members.isEmpty():
+        more = more.unionByName(_search_by_hub(members, docs, width, percent))
+    more = written(more, "more")
+    if not more.isEmpty():
+        groups = components(edges.unionByName(more))
+    discard(lists, hubs, placed, open_lists, members, more)
     named = (
         classes.join(groups.select("node", F.col("component").alias("c")), "node", "left")
         .filter("copies > 1 or c is not null")
