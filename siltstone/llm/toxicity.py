@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.bytescan import Hasher, byte_table, class_of, lowered, mix, per_doc, runs
 from siltstone.llm.common import batches, broadcast_if_small, docs_of, table, written
 
-#: Parameters of the model, all bounds documented: tokens kept (by certainty), rows that calibrate, prior weight, least
-#: signed root of the likelihood ratio of a scoring token, score of any other token, significance level.
-VOCABULARY = 65_536
+#: Parameters of the model: rows that calibrate (a bounded sample of the labelled ones), prior weight, least signed root
+#: of the likelihood ratio of a scoring token, score of any other token, significance level.
 SAMPLE = 20_000
 PRIOR = 500.0
 LEAST_Z = 4.8
@@ -188,27 +187,33 @@ def evidence(segments: list) -> float:
     return sum(s[3] for s in segments if s[3] >= floor)
 
 
+def _labelled_texts(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """(text, y) of the documents among known (doc_id, y).  Texts stay where they are while the labels are small enough to
+    be sent to them; else labelled texts are shuffled, once: only one pass reads them."""
+    docs = docs_of(documents).filter("doc_id is not null")
+    return docs.join(broadcast_if_small(known, 24), "doc_id").select("text", "y")
+
+
 def fit(documents: DataFrame, labels: DataFrame, training: Column) -> dict:
-    """Learn from labelled rows where ``training`` (a condition on doc_id) holds; a ninth of their hash range calibrates."""
+    """Learn from labelled rows where ``training`` (a condition on doc_id) holds; a ninth of their hash range calibrates.
+
+    Repeated labels of a doc_id count as their greatest; rows of documents that repeat a doc_id all get its label.  Null
+    labels and ids are left out.  Without any token that passes, or without labels, every text gets the same low score."""
     import numpy as np
 
-    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    # Texts stay where they are while the labels are small enough to be sent to them.
-    labelled = docs_of(documents).filter(training).join(broadcast_if_small(written(known, "labels"), 24), "doc_id")
+    known = labels.filter("toxic is not null and doc_id is not null").filter(training).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    known = written(known, "labels")
     holds = F.pmod(F.xxhash64("doc_id"), F.lit(9)) == 0
-    best = (
-        token_log_odds(labelled.filter(~holds).select("text", "y"))
-        .filter(f"z >= {LEAST_Z} and odds > 0")
-        .orderBy(F.desc("z"), "token")
-        .limit(VOCABULARY)
-        .toPandas()
-    )
+    # Every token that passes is kept: 16 bytes each for the driver and the executors.
+    best = token_log_odds(_labelled_texts(documents, known.filter(~holds))).filter(f"z >= {LEAST_Z} and odds > 0").select("token", "odds").toPandas()
     tokens = best["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     model = {"tokens": tokens[order], "scores": best["odds"].to_numpy(np.float64)[order], "lam": 1.0, "log_k": 0.0, "a": -6.0, "b": 0.0}
     if not len(tokens):
         return model
-    held = labelled.filter(holds).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(SAMPLE).select("doc_id", "text", "y")
+    # The sample is drawn from the ids, so that texts move for at most SAMPLE of them.
+    held = known.filter(holds).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(SAMPLE)
+    held = docs_of(documents).join(F.broadcast(held), "doc_id").select("doc_id", "text", "y")
 
     def run(it):
         import pyarrow as pa
@@ -256,8 +261,9 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column) -> dict:
 
 def toxic_passages(documents: DataFrame, model: dict) -> DataFrame:
     """Return doc_id, score (0 to 1), n_tokens and passages (first byte, end byte, normalised score; significant ones) for
-    every row.  Null and empty texts have no passage and get the score of a text without evidence."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY tokens: 1 MB
+    every row.  Null and empty texts have no passage and get the score of a text without evidence.  Repeated rows get the same
+    score; of segments that tie all are given; passages never span two rows."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)  # the tokens that passed the likelihood ratio test, 16 bytes each
     floor = -math.log(-math.log(1 - LEVEL))
 
     def run(it):
