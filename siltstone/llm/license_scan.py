@@ -46,7 +46,7 @@ STRETCH = 150
 def template_grams(spark, templates=None) -> DataFrame:
     """(gram, words, template, label, at, grams): one row for each position in a template."""
     rows = [(i, label, text) for i, (label, text) in enumerate(TEMPLATES if templates is None else templates)]
-    df = with_words(spark.createDataFrame(rows, "template int, label string, text string"))
+    df = with_words(spark.createDataFrame(rows, "template int, label string, text string"), ascii_only=True)
     return (
         df.select("template", "label", "w", F.posexplode(rolling("w", GRAM)).alias("at", "gram"))
         .select("gram", F.expr(f"slice(w, at + 1, {GRAM})").alias("words"), "template", "label", "at", (F.size("w") - (GRAM - 1)).alias("grams"))
@@ -64,7 +64,7 @@ def _split(loose: DataFrame) -> DataFrame:
     A diagonal with enough of the grams is a span of its own.  The other hits, one for each position, are cut where the
     place in the template falls back and at spans already found; a piece's best stretch of a span's length is verified.
     """
-    key = ["doc_id", "label", "template", "grams", "span"]
+    key = ["doc_id", "x", "label", "template", "grams", "span"]
     loose = loose.withColumn("alone", F.expr(f"100 * size(at) >= {COVERED} * grams"))
     alone = loose.filter("alone").select(*key, F.size("at").alias("votes"), F.col("lo").alias("first_word"), (F.col("hi") + GRAM).alias("end_word"))
     hits = loose.select(*key, "diagonal", "votes", "alone", "hi", F.explode("at").alias("pos"))
@@ -85,26 +85,32 @@ def _split(loose: DataFrame) -> DataFrame:
 
 
 def license_spans(documents: DataFrame, templates=None) -> DataFrame:
-    """(doc_id, label, template, first_word, end_word, covered): verified spans of templates, covered from 0 to 1."""
-    docs = with_words(docs_of(documents).filter("doc_id is not null")).select("doc_id", "w")
-    grams = docs.select("doc_id", "w", F.posexplode(rolling("w", GRAM)).alias("pos", "gram"))
+    """(doc_id, label, template, first_word, end_word, covered): verified spans of templates, covered from 0 to 1.
+
+    A span has ``COVERED`` percent of the template's positions, each counted once however often the text repeats it.  Rows
+    that repeat doc_id and words give their spans once; rows with the same doc_id and other words are scanned on their own.
+    """
+    docs = with_words(docs_of(documents).filter("doc_id is not null"), ascii_only=True).select("doc_id", F.xxhash64("w").alias("x"), "w")
+    grams = docs.select("doc_id", "x", "w", F.posexplode(rolling("w", GRAM)).alias("pos", "gram"))
     known = template_grams(documents.sparkSession, templates)  # a fixed list in the code: a few thousand rows at most
     hits = grams.join(F.broadcast(known), "gram").filter(F.expr(f"slice(w, pos + 1, {GRAM})") == F.col("words"))
     voted = (
-        hits.select("doc_id", "template", "label", "grams", "pos", (F.col("pos") - F.col("at")).alias("diagonal"))
-        .groupBy("doc_id", "template", "label", "grams", "diagonal")
-        .agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("pos").alias("at"))
+        hits.select("doc_id", "x", "template", "label", "grams", "pos", (F.col("pos") - F.col("at")).alias("diagonal"))
+        .groupBy("doc_id", "x", "template", "label", "grams", "diagonal")
+        .agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("pos").alias("at"))
+        .withColumn("votes", F.size("at"))
     )
-    near = Window.partitionBy("doc_id", "template").orderBy("diagonal")
-    run = Window.partitionBy("doc_id", "template", "span")
+    near = Window.partitionBy("doc_id", "x", "template").orderBy("diagonal")
+    run = Window.partitionBy("doc_id", "x", "template", "span")
+    places = F.flatten(F.collect_list(F.transform("at", lambda p: p - F.col("diagonal"))).over(run))
     merged = (
         voted.withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(near) <= DRIFT, 0).otherwise(1))
         .withColumn("span", F.sum("new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumns({"all": F.sum("votes").over(run), "first_word": F.min("lo").over(run), "end_word": F.max("hi").over(run) + GRAM})
+        .withColumns({"all": F.size(F.array_distinct(places)), "first_word": F.min("lo").over(run), "end_word": F.max("hi").over(run) + GRAM})
         .filter(f"100 * all >= {COVERED} * grams")
     )
     merged = written(merged.drop("new"), "diagonals")
-    key = ["doc_id", "label", "template", "grams", "span"]
+    key = ["doc_id", "x", "label", "template", "grams", "span"]
     whole = merged.filter(_fits("first_word", "end_word")).select(*key, F.col("all").alias("votes"), "first_word", "end_word").distinct()
     spans = whole.unionByName(_split(merged.filter(f"not ({_fits('first_word', 'end_word')})").drop("all", "first_word", "end_word")))
     return spans.select("doc_id", "label", "template", "first_word", "end_word", F.least(F.lit(1.0), F.col("votes") / F.col("grams")).alias("covered"))
@@ -116,7 +122,7 @@ def license_scan(documents: DataFrame, templates=None) -> DataFrame:
     else 0) and n_spans.  Null, empty and word-less texts have no words and labels ''.  Rows that repeat a doc_id share the
     spans found in any of them.
     """
-    docs = with_words(docs_of(documents).filter("doc_id is not null")).select("doc_id", "w")
+    docs = with_words(docs_of(documents).filter("doc_id is not null"), ascii_only=True).select("doc_id", "w")
 
     def places(phrase: str):
         """Starts of the phrase in w: only texts with all of its words are searched."""
