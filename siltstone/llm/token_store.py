@@ -35,6 +35,8 @@ BLOCK = 512
 #: Ids a shard has at least, unless its partition ends; entries of the cache of encoded chunks at most.
 SHARD_TOKENS = 1 << 20
 CACHE = 1_200_000
+#: Characters of a remembered chunk at most.
+LONG = 64
 
 
 class WaveletMatrix:
@@ -214,7 +216,11 @@ class ChunkEncoder:
                 self.known.clear()
                 missing = list(dict.fromkeys(chunks))
             self._learn(missing)
-            return b"".join(map(self.known.__getitem__, chunks))
+            out = b"".join(map(self.known.__getitem__, chunks))
+            for c in missing:  # a long chunk is rare: what is remembered stays bounded in bytes
+                if len(c) > LONG:
+                    del self.known[c]
+            return out
 
 
 def write_tokens(documents: DataFrame, tokenizer_json: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
