@@ -76,8 +76,8 @@ def intent_signals(t):
 
 @query()
 def fuzzy_names(t):
-    """Names of suppliers' nations and parts' types that match closely; gestalt matching is beyond SQL."""
-    types = t.part.select(F.lower(F.explode(F.split("p_name", " "))).alias("name")).distinct()
+    """Words of parts' names that match closely; gestalt matching is beyond SQL."""
+    types = t.part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).distinct()
     return T.similar_names(types, types, "name").filter("a < b")
 
 

@@ -84,15 +84,16 @@ def last_n_per_batch(stream: DataFrame, order: list[str], n: int, name: str) ->
 
 def match_requests(stream: DataFrame, forget_seconds: int = 3600) -> DataFrame:
     """Responses with the model of the last earlier request of their (file, id).  stream: (file, id, kind, at, model), at in
-    seconds.  A key's request is forgotten after ``forget_seconds`` without records, so state doesn't grow for ever."""
+    seconds.  A key's request is forgotten when the newest records of the stream are ``forget_seconds`` later than the key's
+    last one, and records that come so late are left out: state is bounded by event time, and a drained stream ends."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, frames, state):
-        known = state.get if state.exists else (None, None)
         if state.hasTimedOut:
             state.remove()
             return
+        *known, newest = state.get if state.exists else (None, None, 0.0)
         out = []
         for f in frames:
             for r in f.sort_values(["at", "kind"]).itertuples():
@@ -101,12 +102,14 @@ def match_requests(stream: DataFrame, forget_seconds: int = 3600) -> DataFrame:
                 else:
                     model = r.model if isinstance(r.model, str) else known[1]
                     out.append((key[0], key[1], float(r.at), known[0], model))
-        state.update(known)
-        state.setTimeoutDuration(forget_seconds * 1000)
+            newest = max(newest, float(f["at"].max()))
+        state.update((*known, newest))
+        state.setTimeoutTimestamp(max(int(newest * 1000), state.getCurrentWatermarkMs()) + forget_seconds * 1000)
         yield pd.DataFrame(out, columns=["file", "id", "at", "request_at", "model"])
 
-    return stream.groupBy("file", "id").applyInPandasWithState(
-        step, "file string, id string, at double, request_at double, model string", "request_at double, model string", "append", GroupStateTimeout.ProcessingTimeTimeout
+    timed = stream.withColumn("time", F.timestamp_seconds("at")).withWatermark("time", f"{forget_seconds} seconds")
+    return timed.groupBy("file", "id").applyInPandasWithState(
+        step, "file string, id string, at double, request_at double, model string", "request_at double, model string, newest double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
