@@ -9,8 +9,20 @@ from pyspark.sql import functions as F
 LANGUAGES = {"py": "python", "c": "c", "h": "cpp", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "go": "go", "rs": "rust", "java": "java", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "ets": "arkts", "erl": "erlang"}
 
 #: Directories that hold tests, and names of test files.
-TEST_DIRS = ["test", "tests", "testing", "__tests__", "spec", "specs", "testdata", "fixtures", "e2e"]
-TEST_NAMES = r"^(test_.*\.py|.*_test\.py|.*_test\.go|.*_test\.(c|cc|cpp|cxx)|test_.*\.(c|cc|cpp|cxx)|.*Tests?\.java|Test.*\.java|.*\.(test|spec)\.(js|jsx|ts|tsx)|.*_test\.rs|conftest\.py|.*_SUITE\.erl)$"
+TEST_DIRS = ["test", "tests", "__tests__", "testing", "test_helpers", "testdata", "testutils", "fixtures", "mocks"]
+TEST_NAMES = "|".join([
+    r"^test_.*\.py$",
+    r"^.*_test\.py$",
+    r"^conftest\.py$",
+    r"^.*_test\.go$",
+    r"^.*_test\.(?:cpp|cc|cxx|c|h|hpp)$",
+    r"^test_.*\.(?:cpp|cc|cxx|c|h|hpp)$",
+    r"^.*Test(?:s|Case)?\.java$",
+    r"^.*\.(?:test|spec)\.(?:js|jsx|ts|tsx)$",
+    r"^.*_test\.rs$",
+    r"^.*\.test\.(?:ets)$",
+    r"^.*_(?:SUITE|tests?)\.erl$",
+])
 
 
 def base_name(path: Column) -> Column:
@@ -145,14 +157,23 @@ def _scaled(n: Column, unit: int, places: int) -> Column:
 
 
 def token_label(n: Column) -> Column:
-    """12, 3.4k, 5.67M."""
-    return F.when(n >= 1_000_000, F.concat(_scaled(n, 1_000_000, 2), F.lit("M"))).when(n >= 1000, F.concat(_scaled(n, 1000, 1), F.lit("k"))).otherwise(n.cast("long").cast("string"))
+    """12, 3.4K, 5.67M."""
+    return F.when(n >= 1_000_000, F.concat(_scaled(n, 1_000_000, 2), F.lit("M"))).when(n >= 1000, F.concat(_scaled(n, 1000, 1), F.lit("K"))).otherwise(n.cast("long").cast("string"))
 
 
 def duration_label(seconds: Column) -> Column:
     s = F.floor(seconds).cast("long")
     h, m, r = F.floor(s / 3600).cast("long"), F.floor(s / 60).cast("long"), s % 60
-    return F.when(s >= 3600, F.format_string("%dh%02dm", h, m % 60)).when(s >= 60, F.format_string("%dm%02ds", m, r)).otherwise(F.format_string("%ds", s))
+    return F.when(s >= 3600, F.format_string("%dh %02dm %02ds", h, m % 60, r)).when(s >= 60, F.format_string("%dm %02ds", m, r)).otherwise(F.format_string("%ds", s))
+
+
+def cost_label(usd: Column) -> Column:
+    """Dollars with fewer decimals the more there are: $0.123, $12.34, $123.4, $12346; a dash for null."""
+    places = ((1, 3), (100, 2), (10_000, 1))
+    out = F.lit(None).cast("string")
+    for below, n in places:
+        out = F.coalesce(out, F.when(F.abs(usd) < below, F.format_string(f"$%.{n}f", usd.cast("double"))))
+    return F.when(usd.isNull(), "—").otherwise(F.coalesce(out, F.format_string("$%.0f", usd.cast("double"))))
 
 
 def ascii_only(text: Column) -> Column:

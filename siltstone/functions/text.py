@@ -14,8 +14,33 @@ from pyspark.sql import DataFrame
 #: Words that look like calls but aren't, for all languages.
 KEYWORDS = ["if", "for", "while", "switch", "return", "sizeof", "catch", "elif", "with", "assert", "del", "not", "and", "or", "in", "is", "lambda", "print", "super", "self", "func", "fn", "match", "new", "throw", "typeof", "defer", "go", "select", "case", "else", "do", "try", "except", "raise", "yield", "await", "async"]
 
-#: Statements after which a block ends, by language.
-TERMINATORS = {"python": r"^\s*(return|raise|continue|break|pass)\b", "rust": r"^\s*(return|break|continue|panic!|unreachable!|todo!)", "go": r"^\s*(return|panic\(|break|continue|goto)\b", "default": r"^\s*(return|break|continue|goto|throw)\b"}
+#: Statements that end a block's control flow, by language; DEFAULT_TERMINATOR for any other language.
+TERMINATORS = {
+    "rust": r"\b(return\b|panic!\s*\(|std::process::exit\s*\(|unreachable!\s*\()",
+    "c": r"\b(return\b|exit\s*\(|_Exit\s*\(|abort\s*\(|longjmp\s*\()",
+    "c++": r"\b(return\b|exit\s*\(|_Exit\s*\(|abort\s*\(|throw\s|std::terminate\s*\(|std::exit\s*\()",
+    "python": r"\b(return\b|sys\.exit\s*\(|raise\s|exit\s*\(|quit\s*\()",
+    "cuda": r"\b(return\b|exit\s*\(|_Exit\s*\(|abort\s*\(|__trap\s*\()",
+    "java": r"\b(return\b|throw\s|System\.exit\s*\()",
+    "go": r"\b(return\b|panic\s*\(|log\.Fatal\w*\s*\(|os\.Exit\s*\()",
+    "c#": r"\b(return\b|throw\s|Environment\.Exit\s*\()",
+    "kotlin": r"\b(return\b|throw\s|exitProcess\s*\(|System\.exit\s*\()",
+    "swift": r"\b(return\b|throw\s|fatalError\s*\(|preconditionFailure\s*\(|exit\s*\()",
+    "php": r"\b(return\b|throw\s|die\s*\(|exit\s*\()",
+    "ruby": r"\b(return\b|raise\s|abort\s*\(|exit\s*\(|exit!\s*\()",
+    "scala": r"\b(return\b|throw\s|sys\.exit\s*\(|System\.exit\s*\()",
+    "dart": r"\b(return\b|throw\s|exit\s*\()",
+    "javascript": r"\b(return\b|throw\s|process\.exit\s*\()",
+    "typescript": r"\b(return\b|throw\s|process\.exit\s*\()",
+    "arkts": r"\b(return\b|throw\s|process\.exit\s*\()",
+    "erlang": r"\b(?:throw|exit|error)\s*\(|\berlang:(?:error|exit)\s*\(",
+}
+DEFAULT_TERMINATOR = r"\b(return\b|exit\s*\(|raise\s|throw\s|abort\s*\()"
+
+
+def terminates(block: str, language: str) -> bool:
+    """Whether a block of code has a statement that ends its control flow."""
+    return re.search(TERMINATORS.get(language.lower(), DEFAULT_TERMINATOR), block) is not None
 
 
 def mask(source: str, hashes: bool = False) -> str:
@@ -121,14 +146,14 @@ def similar(a: str, b: str, least: float = 0.75, size: int = 5) -> bool:
 
 
 def blocks(lines: list[str], size: int, braces: bool = True) -> list[tuple[int, int]]:
-    """(first, end) of blocks of at least ``size`` lines that begin at the depth of the first line; a tail that is less
-    than a block joins the last one."""
+    """(first, end) of blocks of at least ``size`` lines that begin at the depth of the first line; two sizes or less that
+    are left are one block."""
     if len(lines) <= size:
         return [(0, len(lines))]
     masked = mask("\n".join(lines)).split("\n") if braces else lines
     cuts, depth, start = [], 0, 0
     for i, line in enumerate(masked):
-        if i - start >= size and len(lines) - i >= size and depth <= 0:
+        if i - start >= size and len(lines) - start > 2 * size and depth <= 0:
             cuts.append(i)
             start = i
         depth += (line.count("{") - line.count("}")) if braces else 0

@@ -49,15 +49,19 @@ def numbered_lines(df: DataFrame, text: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != text], F.posexplode(lines).alias("_i", "line")).withColumn("line_no", F.col("_i") + 1).drop("_i")
 
 
+def _block_count(n: Column, size: int) -> Column:
+    """Up to two sizes are one block; beyond, blocks of ``size`` are cut off while more than two sizes are left."""
+    return F.when(n > 2 * size, F.ceil(n / size) - 1).otherwise(F.lit(1)).cast("int")
+
+
 def block_of(i: Column, n: Column, size: int) -> Column:
-    """Block of item i of n (from 0): blocks of ``size``, a tail of fewer than two sizes is one block."""
-    return F.when(n > size, F.least(F.floor(i / size), F.greatest(F.ceil(n / size) - 2, F.lit(0)))).otherwise(F.lit(0)).cast("int")
+    """Block of item i of n (from 0): blocks of ``size``, the last one with all of a rest of up to two sizes."""
+    return F.least(F.floor(i / size), _block_count(n, size) - 1).cast("int")
 
 
 def block_sizes(n: Column, size: int) -> Column:
-    """Sizes of the blocks of n items, as an array.  n = 2 sizes splits evenly."""
-    blocks = F.when(n > 2 * size, F.ceil(n / size) - 1).when(n > size, F.lit(2)).otherwise(F.lit(1))
-    blocks = F.when(n == 2 * size, F.lit(2)).otherwise(blocks)
+    """Sizes of the blocks of n items, as an array."""
+    blocks = _block_count(n, size)
     return F.transform(F.sequence(F.lit(1), blocks.cast("int")), lambda k: F.when(k < blocks, F.lit(size)).otherwise(n - (blocks - 1) * size).cast("int"))
 
 

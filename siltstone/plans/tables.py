@@ -305,8 +305,8 @@ def fqn_inverse(t):
     return t.customer.select("c_custkey", X.fqn_source(X.fqn(path, F.lit("run"))).alias("source"))
 
 
-@query("""select l_orderkey, l_partkey, l_suppkey, case when v >= 1000000 then (m // 100) || '.' || lpad((m % 100)::varchar, 2, '0') || 'M' when v >= 1000 then (d // 10) || '.' || (d % 10) || 'k' else v::varchar end tokens,
-case when q >= 3600 then (q // 3600) || 'h' || lpad(((q // 60) % 60)::varchar, 2, '0') || 'm' when q >= 60 then (q // 60) || 'm' || lpad((q % 60)::varchar, 2, '0') || 's' else q || 's' end as duration
+@query("""select l_orderkey, l_partkey, l_suppkey, case when v >= 1000000 then (m // 100) || '.' || lpad((m % 100)::varchar, 2, '0') || 'M' when v >= 1000 then (d // 10) || '.' || (d % 10) || 'K' else v::varchar end tokens,
+case when q >= 3600 then (q // 3600) || 'h ' || lpad(((q // 60) % 60)::varchar, 2, '0') || 'm ' || lpad((q % 60)::varchar, 2, '0') || 's' when q >= 60 then (q // 60) || 'm ' || lpad((q % 60)::varchar, 2, '0') || 's' else q || 's' end as duration
 from (select *, v // 100 + case when v % 100 > 50 or (v % 100 = 50 and (v // 100) % 2 = 1) then 1 else 0 end d, v // 10000 + case when v % 10000 > 5000 or (v % 10000 = 5000 and (v // 10000) % 2 = 1) then 1 else 0 end m
 from (select *, (l_orderkey * l_linenumber)::bigint v, (l_partkey * l_linenumber)::bigint q from lineitem))""")
 def format_labels(t):

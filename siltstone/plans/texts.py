@@ -23,7 +23,7 @@ def line_numbers(t):
 
 
 @query("""with n as (select doc_id, len(list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> '')) n from documents),
-b as (select doc_id, n, case when n < 80 then case when n > 40 then 2 else 1 end when n = 80 then 2 else greatest(ceil(n / 40.0) - 1, 1) end::int b from n)
+b as (select doc_id, n, case when n <= 80 then 1 else 1 + (n - 80 + 39) // 40 end::int b from n)
 select doc_id, n words, b blocks, (n - (b - 1) * 40)::int last_block from b""")
 def block_split(t):
     n = F.size(F.filter(F.split("text", "[ \n]+"), lambda x: x != ""))

@@ -12,7 +12,7 @@ def one(spark, column, **values):
     return df.select(column).first()[0]
 
 
-@pytest.mark.parametrize(("path", "want"), [("tests/a.py", True), ("foo_test.go", True), ("FooTest.java", True), ("x.spec.ts", True), ("contest.py", False), ("src/testing/x.c", True)])
+@pytest.mark.parametrize(("path", "want"), [("tests/a.py", True), ("foo_test.go", True), ("FooTest.java", True), ("x.spec.ts", True), ("contest.py", False), ("src/testing/x.c", True), ("mocks/a.go", True), ("spec/a.py", False), ("a_test.hpp", True), ("FooTestCase.java", True), ("TestFoo.java", False), ("x.test.ets", True), ("m_tests.erl", True)])
 def test_test_files(spark, path, want):
     assert one(spark, X.is_test_file(F.lit(path))) is want
 
@@ -53,8 +53,10 @@ def test_spec(spark, raw, want):
 
 
 def test_labels(spark):
-    assert [one(spark, X.token_label(F.lit(n))) for n in (12, 1250, 2_345_678)] == ["12", "1.2k", "2.35M"]
-    assert [one(spark, X.duration_label(F.lit(n))) for n in (5, 65, 3700)] == ["5s", "1m05s", "1h01m"]
+    assert [one(spark, X.token_label(F.lit(n))) for n in (12, 1250, 2_345_678)] == ["12", "1.2K", "2.35M"]
+    assert [one(spark, X.duration_label(F.lit(n))) for n in (5, 65, 3700)] == ["5s", "1m 05s", "1h 01m 40s"]
+    assert [one(spark, X.cost_label(F.lit(n))) for n in (0.1234, 12.345, 123.45, 12345.6)] == ["$0.123", "$12.35", "$123.5", "$12346"]
+    assert T.terminates("if x:\n    raise ValueError", "Python") and not T.terminates("x = 1\nbreak", "rust") and T.terminates("abort()", "fortran")
 
 
 PYTHON = """import x

@@ -61,8 +61,8 @@ def test_renumber_over_ranges(spark):
 
 
 def test_blocks(spark):
-    df = spark.createDataFrame([(n,) for n in (1, 40, 80, 81, 200)], "n int")
-    assert [r[0] for r in df.select(O.block_sizes(F.col("n"), 40)).collect()] == [[1], [40], [40, 40], [40, 41], [40, 40, 40, 80]]
+    df = spark.createDataFrame([(n,) for n in (1, 40, 60, 80, 81, 200)], "n int")
+    assert [r[0] for r in df.select(O.block_sizes(F.col("n"), 40)).collect()] == [[1], [40], [60], [80], [40, 41], [40, 40, 40, 80]]
 
 
 def test_rank_merge(spark):
