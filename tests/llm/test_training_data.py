@@ -28,6 +28,21 @@ def empty(spark):
     return docs(spark, [(0, "", "")]).filter("false")
 
 
+def family(seed=3, n=130):
+    """Copies of one text of 120 words with 0 to 16 edits, some of them shared by several copies."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(400)}" for _ in range(120)]
+    variants = [base, [*base[:60], *(f"v{k}" for k in range(14)), *base[70:]], base[10:]]
+    out = []
+    for i in range(n):
+        words = list(rnd.choice(variants))
+        for _ in range(rnd.randrange(17)):
+            k = rnd.randrange(len(words))
+            words[k : k + 1] = rnd.choice([[f"x{rnd.randrange(10**6)}"], [], [words[k], "y"]])
+        out.append((i, " ".join(words), "s"))
+    return out
+
+
 def corpus(seed=1, n=120):
     rnd = random.Random(seed)
     bases = [[rnd.choice(WORDS) for _ in range(rnd.randrange(3, 90))] for _ in range(25)]
@@ -40,9 +55,9 @@ def corpus(seed=1, n=120):
     return out
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates(spark, width):
-    rows = corpus()
+@pytest.mark.parametrize(("width", "made"), [(2, corpus), (5, corpus), (2, family), (5, family)])
+def test_near_duplicates(spark, width, made):
+    rows = made()
     sets = {}
     for i, t, _ in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
@@ -81,6 +96,21 @@ def test_lines(spark):
     assert {r.text for r in line_dedup.remove_boilerplate(same, sites=9).collect()} == {"Buy now"}
 
 
+def test_lines_by_join_and_in_place_are_the_same(spark):
+    page = [(i // 2, f"own {i}\n\tshared one \nshared {i % 3}\n", f"s{i % 11}") for i in range(60)] + [(None, "shared one\nmine", None), (5, None, "s1"), (5, "", "s2")]
+    d = docs(spark, page).withColumn("site", F.lit(1)).withColumn("h", F.lit("x"))
+    both = [sorted(map(str, line_dedup.remove_boilerplate(d, sites=9, keep=["site", "h", "source"], send=send).collect())) for send in (1 << 20, 0)]
+    assert both[0] == both[1] and len(both[0]) == len(page) and any("n_removed=2" in r for r in both[0])
+
+
+def test_repeated_rows_do_not_add_up_votes(spark):
+    notice = next(t for label, t in license_scan.TEMPLATES if label == "bsd").split()
+    part = " ".join(notice[: len(notice) // 3])
+    rows = [(1, part, "s")] * 4 + [(2, " ".join(notice), "s"), (3, part + " " + part, "s")]
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(docs(spark, rows)).collect()}
+    assert got == {1: "", 2: "bsd", 3: ""}
+
+
 def test_boilerplate_goes_whatever_its_share(spark):
     passage = "a long passage that every site shows " * 9
     page = [(i, f"own {i}\n{passage}", f"s{i}") for i in range(9)] + [(9, f"{passage}\n \n{passage}", "s9")]
