@@ -11,9 +11,20 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import DataFrame
 
+from siltstone.functions.words import STOP
+
 #: Words that look like calls but aren't, for all languages.
 KEYWORDS = ["if", "for", "while", "switch", "return", "sizeof", "catch", "elif", "with", "assert", "del", "not", "and", "or", "in", "is", "lambda", "print", "super", "self", "func", "fn", "match", "new", "throw", "typeof", "defer", "go", "select", "case", "else", "do", "try", "except", "raise", "yield", "await", "async"]
 
+#: Names that are called everywhere and say nothing about a project's own functions.
+COMMON_CALLS = """printf fprintf sprintf snprintf scanf sscanf malloc calloc realloc free memcpy memset memmove memcmp strlen strcmp strncmp
+strcpy strncpy strcat assert static_assert print len range enumerate zip map filter sorted reversed list dict set tuple int float str bool
+type super isinstance issubclass hasattr getattr setattr delattr open close input round abs min max sum any all iter next hash id repr ord
+chr hex oct bin format vars dir help eval exec compile append extend insert remove pop clear copy keys values items get update make new nil
+panic recover delete cap println eprintln write writeln vec box rc arc option result some none ok err console log warn error info debug
+require define module exports Math Object Array String Number Boolean Date RegExp Error Promise JSON setTimeout setInterval clearTimeout
+clearInterval main""".split()
+
 #: Statements that end a block's control flow, by language; DEFAULT_TERMINATOR for any other language.
 TERMINATORS = {
     "rust": r"\b(return\b|panic!\s*\(|std::process::exit\s*\(|unreachable!\s*\()",
@@ -132,10 +143,11 @@ def functions_in(source: str, language: str) -> list[tuple[str, int, int]]:
 
 
 def name_parts(name: str) -> list[str]:
-    """Lower-case parts of a snake or camel name, neighbouring pairs and the whole, without repeats."""
-    parts = [p.lower() for p in re.split(r"_+|(?<=[a-z0-9])(?=[A-Z])", name) if p]
-    pairs = ["_".join(p) for p in zip(parts, parts[1:], strict=False)]
-    return list(dict.fromkeys([*parts, *pairs, name.lower()] if len(parts) > 1 else parts))
+    """Parts of a name in lower case, without repeats: the whole, snake parts of two letters or more and neighbouring pairs of
+    them, camel parts."""
+    snake = [p for p in name.lower().split("_") if len(p) > 1]
+    camel = [p for p in re.split(r"_|(?=[A-Z])", name) if len(p) > 1]
+    return list(dict.fromkeys([name.lower(), *snake, *map("_".join, zip(snake, snake[1:], strict=False)), *(p.lower() for p in camel)]))
 
 
 def similar(a: str, b: str, least: float = 0.75, size: int = 5) -> bool:
@@ -188,39 +200,60 @@ def utf16_offset(text: str, line: int, unit: int) -> int:
     return at
 
 
-def python_signals(source: str) -> list[dict]:
-    """Per function, nested ones too: name, lines from 1, called and used names, words of the docstring, exceptions."""
+def _prose(text: str) -> list[str]:
+    return sorted(set(re.findall(r"\b[a-zA-Z]{4,}\b", text.lower())) - set(STOP))
+
+
+def _type_name(node) -> str:
+    node = node.func if isinstance(node, ast.Call) else node
+    return (node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else "").lower()
+
+
+def _parsed(source: str):
     try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError):
-        return []
+        return ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
+def python_signals(source: str) -> list[dict]:
+    """Per function, nested ones too: name, lines from 1, called names, and in lower case names in use (with parameters,
+    attributes and words of texts), words of the body, exceptions raised or caught.  None of a source that doesn't parse."""
+    tree, lines = _parsed(source), source.splitlines()
     out = []
-    for node in ast.walk(tree):
+    for node in ast.walk(tree) if tree else ():
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
             inner = list(ast.walk(node))
-            calls = [c.func.attr if isinstance(c.func, ast.Attribute) else c.func.id for c in inner if isinstance(c, ast.Call) and isinstance(c.func, ast.Attribute | ast.Name)]
-            raised = [r.exc.func if isinstance(r.exc, ast.Call) else r.exc for r in inner if isinstance(r, ast.Raise) and r.exc]
-            caught = [h.type for h in inner if isinstance(h, ast.ExceptHandler) and h.type]
-            doc = ast.get_docstring(node) or ""
+            calls = {c.func.attr if isinstance(c.func, ast.Attribute) else c.func.id for c in inner if isinstance(c, ast.Call) and isinstance(c.func, ast.Attribute | ast.Name)}
+            idents = {i.id for i in inner if isinstance(i, ast.Name)} | {i.attr for i in inner if isinstance(i, ast.Attribute)} | {i.arg for i in inner if isinstance(i, ast.arg)}
+            idents |= {w for i in inner if isinstance(i, ast.Constant) and isinstance(i.value, str) for w in re.findall(r"[a-zA-Z_][a-zA-Z0-9_]{2,}", i.value)}
+            types = [i.exc if isinstance(i, ast.Raise) else i.type for i in inner if isinstance(i, ast.Raise | ast.ExceptHandler)]
             out.append({
-                "name": node.name, "first": node.lineno, "last": node.end_lineno, "calls": sorted(set(calls)),
-                "idents": sorted({i.id for i in inner if isinstance(i, ast.Name)}), "words": sorted({w.lower() for w in re.findall(r"[A-Za-z]{4,}", doc)}),
-                "exceptions": sorted({x.id for x in [*raised, *caught] if isinstance(x, ast.Name)}), "docstring": doc,
+                "name": node.name, "first": node.lineno, "last": node.end_lineno, "calls": sorted(calls), "idents": sorted({i.lower() for i in idents}),
+                "words": _prose("\n".join(lines[node.lineno - 1 : node.end_lineno])), "exceptions": sorted({t for t in map(_type_name, types) if t}), "docstring": ast.get_docstring(node) or "",
             })
     return sorted(out, key=lambda r: (r["first"], r["name"]))
 
 
+def python_classes(source: str) -> list[dict]:
+    """Per class, nested ones too: name, docstring and the first lines of all functions within."""
+    tree = _parsed(source)
+    return [
+        {"name": c.name, "docstring": ast.get_docstring(c) or "", "method_lines": sorted(m.lineno for m in ast.walk(c) if isinstance(m, ast.FunctionDef | ast.AsyncFunctionDef))}
+        for c in (ast.walk(tree) if tree else ()) if isinstance(c, ast.ClassDef)
+    ]
+
+
 def generic_signals(source: str, language: str) -> list[dict]:
-    """The same by patterns, for other languages."""
+    """The same by patterns, for other languages; calls are read without comments and texts."""
     lines = source.split("\n")
     out = []
     for name, first, last in functions_in(source, language):
         body = "\n".join(lines[first : last + 1])
-        clean = mask(body)
         out.append({
-            "name": name, "first": first + 1, "last": last + 1, "calls": sorted(set(re.findall(r"\b([A-Za-z_]\w*)\s*\(", clean)) - set(KEYWORDS)),
-            "idents": sorted(set(re.findall(r"\b[A-Za-z_]\w*\b", clean)) - set(KEYWORDS)), "words": sorted({w.lower() for w in re.findall(r"[A-Za-z]{4,}", body)}),
-            "exceptions": sorted(set(re.findall(r"\b\w*(?:Error|Exception)\b", clean))), "docstring": "",
+            "name": name, "first": first + 1, "last": last + 1, "calls": sorted(set(re.findall(r"\b([A-Za-z_]\w*)\s*\(", mask(body))) - set(KEYWORDS)),
+            "idents": sorted({i.lower() for i in re.findall(r"[A-Za-z_][A-Za-z0-9_]*", body)}), "words": _prose(body),
+            "exceptions": sorted({e.lower() for e in re.findall(r"\b[A-Z][A-Za-z0-9]*(?:Error|Exception|Warning)\b", body)}), "docstring": "",
         })
     return out
 
@@ -255,13 +288,27 @@ def signals_of(sources: DataFrame) -> DataFrame:
         for pdf in it:
             rows = [
                 {"path": p} | r for p, lang, content in zip(pdf["path"], pdf["lang"], pdf["content"], strict=True) if content
-                for r in (python_signals(content) if lang == "python" else generic_signals(content, lang))
+                for r in ((python_signals(content) or generic_signals(content, lang)) if lang == "python" else generic_signals(content, lang))
             ]
             yield pd.DataFrame(rows, columns=["path", "name", "first", "last", "calls", "idents", "words", "exceptions", "docstring"])
 
     return sources.select("path", "lang", "content").mapInPandas(run, schema)
 
 
+def classes_of(sources: DataFrame) -> DataFrame:
+    """(path, name, docstring, method_lines) of every class of Python sources."""
+
+    def run(it):
+        import pandas as pd
+
+        for pdf in it:
+            rows = [{"path": p} | r for p, content in zip(pdf["path"], pdf["content"], strict=True) if content for r in python_classes(content)]
+            yield pd.DataFrame(rows, columns=["path", "name", "docstring", "method_lines"])
+
+    python = sources.filter("lang = 'python'").select("path", "content")
+    return python.mapInPandas(run, "path string, name string, docstring string, method_lines array<int>")
+
+
 def similar_names(left: DataFrame, right: DataFrame, name: str, least: float = 0.75) -> DataFrame:
     """(a, b): names of two tables that match closely.  Three quarters of matched characters leave a run of two in both, so
     pairs are formed by shared bigrams and lengths, and only these are compared."""

@@ -1,6 +1,6 @@
 """All queries of the catalogue."""
 
-from siltstone.plans import events, graphs, tables, texts  # noqa: F401  they register their queries
+from siltstone.plans import events, graphs, incremental, tables, texts  # noqa: F401  they register their queries
 from siltstone.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

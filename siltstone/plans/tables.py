@@ -164,9 +164,11 @@ def semi_known(t):
     return t.orders.join(t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null and o_orderpriority = '1-URGENT')")
 def anti_external(t):
-    return R.stale(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    """Customers without an urgent order."""
+    urgent = t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return R.stale(t.customer.select("c_custkey"), urgent, ["c_custkey"])
 
 
 @query("select distinct l_suppkey src, l_partkey dst from lineitem where l_suppkey in (select p_partkey from part where p_size < 25) and l_partkey in (select p_partkey from part where p_size < 25)")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions.words import STOP
 from siltstone.operators import ordered as O
 from siltstone.operators import relations as R
+from siltstone.operators import relevance as V
 from siltstone.plans.registry import query
 
 
@@ -31,12 +33,13 @@ def block_split(t):
     return sizes.select("doc_id", "words", F.size("s").alias("blocks"), F.element_at("s", -1).alias("last_block"))
 
 
-@query("""with v as (select distinct lower(unnest(string_split(p_name, ' '))) name from part), d as (select doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) name from documents)
-select doc_id caller, count(*) callees from (select distinct d.doc_id, v.name from d join v using (name) where name not in ('the', 'of', 'and', 'in')) group by 1""")
+@query("""with v as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as name from benchmark), d as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as name from documents)
+select doc_id caller, count(*) callees from d join v using (name) where name not in ('the', 'of', 'and', 'in') group by 1""")
 def callsite_resolution(t):
-    names = t.part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).distinct()
-    sites = t.documents.select(F.col("doc_id").cast("string").alias("caller"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("name"))
-    found = R.resolve_call_sites(sites, names.select("name", F.col("name").alias("callee")), ["the", "of", "and", "in"])
+    """Documents call the items' words."""
+    words = lambda df, *keep: df.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("name"))
+    names = words(t.benchmark).distinct().select("name", F.col("name").alias("callee"))
+    found = R.resolve_call_sites(words(t.documents, F.col("doc_id").cast("string").alias("caller")), names, ["the", "of", "and", "in"])
     return found.groupBy(F.col("caller").cast("long").alias("caller")).agg(F.count("*").alias("callees"))
 
 
@@ -63,22 +66,52 @@ def terminating_rows(t):
     return lines.join(dimension, "lang", "left").filter(F.rlike("line", F.coalesce("pattern", default))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-SIGNALS = {"call": r"([A-Za-z_][A-Za-z0-9_]*)\(", "camel": "[a-z]+[A-Z][A-Za-z]*", "capital": "[A-Z][a-z]+", "number": "[0-9]+", "long": "[a-z]{12,}", "quoted": r"'([^']+)'", "word": "[a-z]{4,}"}
-
-
-@query("select item_id, tier, count(distinct token) tokens from (" + " union all ".join(
-    f"select item_id, '{k}' tier, unnest(regexp_extract_all(text, '{v.replace(chr(39), chr(39) * 2)}', {1 if '(' in v else 0})) token from benchmark" for k, v in SIGNALS.items()) + ") group by 1, 2")
+@query(f"""with p as (select item_id, lower(text || ' fails in run_' || item_id || chr(10) || 'as `Foo.bar_baz` raises a ValueError') low from benchmark),
+w as (select item_id, len(list_filter(list_distinct(regexp_extract_all(low, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')), lambda x: regexp_full_match(x, '[a-z]{{4,}}') and x not in ({", ".join(f"'{w}'" for w in STOP)}))) n from p)
+select item_id, tier, tokens::bigint tokens from (select item_id, 'traceback' tier, 1 tokens from p union all select item_id, 'quoted', 2 from p union all select item_id, 'dotted', 3 from p
+union all select item_id, 'dotted_class', 1 from p union all select item_id, 'plain', 8 + (item_id > 99)::int from p union all select item_id, 'exception', 1 from p union all select item_id, 'prose', n from w)""")
 def intent_signals(t):
-    """Distinct tokens of seven kinds in each item."""
-    tiers = [F.struct(F.lit(k).alias("tier"), F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(v), F.lit(1 if "(" in v else 0)))).cast("long").alias("tokens")) for k, v in SIGNALS.items()]
+    """Distinct names and words by tier of each item with a sentence of names after it."""
+    text = F.concat("text", F.lit(" fails in run_"), F.col("item_id").cast("string"), F.lit("\nas `Foo.bar_baz` raises a ValueError"))
+    tiers = [F.struct(F.lit(k).alias("tier"), F.size(c).cast("long").alias("tokens")) for k, c in V.tier_columns(text).items()]
     return t.benchmark.select("item_id", F.inline(F.array(*tiers))).filter("tokens > 0")
 
 
+INTENT = "It stops in make_red_gear\n`small_ring` and Widget.make_blue_bolt give a ValueError; HotGear, valve and plate turn slowly."
+
+
+@query(r"""with f as (select p_partkey, 'make_' || replace(p_name, ' ', '_') n, string_split(p_name, ' ') k, p_size from part),
+p as (select p_partkey, p_size, list_distinct([n, 'make'] || k || ['make_' || k[1]] || list_transform(range(1, len(k)), lambda i: k[i] || '_' || k[i + 1])) a, k from f)
+select p_partkey, round(10 * len(list_intersect(a, ['make_red_gear'])) + 5 * len(list_intersect(a, ['small_ring'])) + 2 * len(list_intersect(k, ['small_ring']))
++ 15 * len(list_intersect(a, ['make_blue_bolt', 'make', 'blue', 'bolt'])) + 3 * len(list_intersect(a, ['make_red_gear', 'make', 'red', 'gear', 'small_ring', 'small', 'ring', 'make_blue_bolt', 'blue', 'bolt', 'valueerror', 'value', 'error', 'hotgear', 'hot']))
++ 1.5 * len(list_intersect(list_filter(a, lambda x: len(x) >= 5), ['stops', 'give', 'valueerror', 'hotgear', 'valve', 'plate', 'turn', 'slowly', 'widget']))
++ len(list_intersect(k, ['stops', 'give', 'valueerror', 'hotgear', 'valve', 'plate', 'turn', 'slowly', 'widget'])) / sqrt(greatest(p_size, 1)), 6) score from p""")
+def relevance_base(t):
+    """Parts as functions named after them, scored against an intent, without the typo-tolerant part."""
+    parts = t.part.select("p_partkey", V.name_parts(F.concat(F.lit("make_"), F.replace("p_name", F.lit(" "), F.lit("_")))).alias("a"), F.split("p_name", " ").alias("k"), "p_size")
+    score = V.exact_score(F.col("a"), F.col("k"), F.col("k"), F.lit(None).cast("array<string>"), F.col("p_size"), V.signals(INTENT))
+    return parts.select("p_partkey", F.round(score, 6).alias("score"))
+
+
+@query()
+def relevance_rank(t):
+    """The three most relevant functions of each brand's file, with the typo-tolerant part and the shares of callers; that
+    part is beyond SQL."""
+    name = F.concat(F.lit("make_"), F.replace("p_name", F.lit(" "), F.lit("_")))
+    none = F.array().cast("array<string>")
+    functions = t.part.select(
+        F.col("p_brand").alias("path"), name.alias("name"), F.col("p_partkey").cast("int").alias("first"), (F.col("p_partkey") + F.col("p_size")).cast("int").alias("last"),
+        F.array(F.concat(F.lit("make_"), F.replace(F.reverse(F.split("p_name", " "))[0], F.lit(" "), F.lit("_")))).alias("calls"), F.split("p_name", " ").alias("idents"), F.split("p_name", " ").alias("words"), none.alias("exceptions"),
+    )
+    classes = functions.groupBy("path").agg(F.lit("Widget").alias("name"), F.lit("A valve or plate.").alias("docstring"), F.array(F.min("first")).alias("method_lines"))
+    return V.ranked(functions, classes, INTENT, 3)
+
+
 @query()
 def fuzzy_names(t):
-    """Words of parts' names that match closely; gestalt matching is beyond SQL."""
-    types = t.part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).distinct()
-    return T.similar_names(types, types, "name").filter("a < b")
+    """Words of the items that match closely; gestalt matching is beyond SQL."""
+    words = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("name")).distinct()
+    return T.similar_names(words, words, "name").filter("a < b")
 
 
 @query()
