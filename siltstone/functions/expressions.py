@@ -97,12 +97,15 @@ def _n(name: str, raw: str) -> Column:
 
 
 def usage_estimate(raw: str) -> Column:
-    """struct(input, output, cache_read, cache_write) of a VARIANT column by key presence: cached tokens leave the input of
-    a prompt count, and a count of misses is the input."""
-    hit = F.coalesce(_n("cache_read_input_tokens", raw), _n("prompt_cache_hit_tokens", raw), _n("prompt_tokens_details.cached_tokens", raw), F.lit(0))
-    prompt = F.greatest(F.lit(0), _n("prompt_tokens", raw) - hit)
+    """struct(input, output, cache_read, cache_write) of a VARIANT column by key presence.  Where a prompt count comes with
+    cached tokens, the input is the count of misses, or else what the cached tokens leave of it."""
+    details = [F.nullif(_n(f"{k}_details.cached_tokens", raw), F.lit(0)) for k in ("prompt_tokens", "input_tokens")]
+    hit = F.coalesce(_n("cache_read_input_tokens", raw), _n("prompt_cache_hit_tokens", raw), *details, F.lit(0))
+    prompt = _n("prompt_tokens", raw)
+    whole = F.coalesce(_n("input_tokens", raw), prompt, F.lit(0))
+    fresh = F.coalesce(_n("prompt_cache_miss_tokens", raw), F.greatest(F.lit(0), whole - hit))
     return F.struct(
-        F.coalesce(_n("input_tokens", raw), _n("prompt_cache_miss_tokens", raw), prompt, F.lit(0)).alias("input"),
+        F.when(prompt.isNotNull() & (hit != 0), fresh).otherwise(whole).alias("input"),
         F.coalesce(_n("output_tokens", raw), _n("completion_tokens", raw), F.lit(0)).alias("output"),
         hit.alias("cache_read"), F.coalesce(_n("cache_creation_input_tokens", raw), F.lit(0)).alias("cache_write"),
     )

@@ -173,3 +173,18 @@ def test_similar_names_is_whole(spark):
     df = spark.createDataFrame([(w,) for w in words], "name string")
     got = {(r.a, r.b) for r in T.similar_names(df, df, "name").collect()}
     assert got == {(a, b) for a in words for b in words if T.similar(a, b)}
+
+
+def test_usage_beyond_the_fixture(spark):
+    cases = [
+        ({"input_tokens": 100, "input_tokens_details": {"cached_tokens": 40}}, (100, 0, 40, 0)),
+        ({"prompt_tokens": 100, "input_tokens_details": {"cached_tokens": 40}, "prompt_tokens_details": {"cached_tokens": 0}}, (60, 0, 40, 0)),
+        ({"prompt_tokens": 100, "prompt_cache_miss_tokens": 70}, (100, 0, 0, 0)),
+        ({"prompt_tokens": 10, "prompt_cache_hit_tokens": 40}, (0, 0, 40, 0)),
+        ({}, (0, 0, 0, 0)),
+    ]
+    import json
+
+    df = spark.createDataFrame([(i, json.dumps(c)) for i, (c, _) in enumerate(cases)], "i int, j string").select("i", F.parse_json("j").alias("u"))
+    got = {r.i: tuple(r.x) for r in df.select("i", X.usage_estimate("u").alias("x")).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(cases)}
