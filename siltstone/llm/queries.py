@@ -19,6 +19,7 @@ MODULES = {
     "op8_quality_classifier": "quality_crf",
     "op9_suffix_dedup": "suffix_dedup",
     "op10_token_store": "token_store",
+    "op11_periodic_runs": "periodic_runs",
     "op12_substring_dedup": "suffix_trees",
     "op13_sort_means": "sort_means",
 }
