@@ -11,7 +11,7 @@ of its words, so two suffixes that agree on all symbols agree on 192 bits of has
 3. Suffixes are split by prefix: by their first symbol, and where more than ``GROUP`` suffixes share it, by two, and then
    by all symbols, so that a group fits into memory.  After all symbols the suffixes of a group are equal, and it holds a
    row from each flush of a task at most.
-4. A task sorts the suffixes of its groups, block by block, and builds their subtrees from the agreement of neighbours.
+4. A task has the suffixes of its groups in order and builds their subtrees, block by block, from the agreement of neighbours.
    Internal nodes as deep as the width are repeats: all windows at the leaves below are covered.  Windows that follow each
    other in a text merge into the maximal repeat.
 
@@ -108,24 +108,24 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, z long, x long, y long, n int, hs array<long>, ps array<int>")
 
 
-_FLOW = "kind int, s0 long, s1 long, s2 long, weight int, z long, x long, first int, size int"
+_FLOW = "kind int, s0 long, s1 long, s2 long, z long, x long, first int, size int"
 
 
 def _suffixes(docs: DataFrame, width: int) -> DataFrame:
-    """docs: (text, z, x, weight, ps).  Rows of _FLOW: kind 0 a suffix at word ``first`` (x null: a stand-in for some that
-    are covered already), kind 1 a run of windows, ``size`` words from ``first``, that this task knows to be covered."""
+    """docs: (text, z, x, weight, ps).  Rows of _FLOW: kind 0 a suffix at word ``first`` (null: a leaf of weight 2, whose places
+    are known to be covered), kind 1 a run of windows, ``size`` words from ``first``, that this task knows to be covered."""
 
     def run(it):
         import numpy as np
         import pyarrow as pa
 
         hasher, ends = Hasher(byte_table()), [0, *boundaries(width)]
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        names = ["kind", "s0", "s1", "s2", "weight", "z", "x", "first", "size"]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        names = ["kind", "s0", "s1", "s2", "z", "x", "first", "size"]
         held: list = []
 
-        def out(kind, s0, s1, s2, weight, z, x, first, size):
-            columns = (np.full(len(x), kind), s0.view(np.int64), s1.view(np.int64), s2.view(np.int64), weight, z, x, first, size)
+        def out(kind, s0, s1, s2, z, x, first, size):
+            columns = (np.full(len(x), kind), s0.view(np.int64), s1.view(np.int64), s2.view(np.int64), z, x, first, size)
             for k in range(0, len(first), 65_536):
                 yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 65_536], t, mask=(first[k : k + 65_536] < 0) if n in ("z", "x", "first") else None) for c, t, n in zip(columns, kinds, names, strict=True)], names=names)
 
@@ -139,11 +139,10 @@ def _suffixes(docs: DataFrame, width: int) -> DataFrame:
             begin = np.flatnonzero(new)
             several = np.add.reduceat(weight, begin) > 1
             here = np.repeat(several, np.diff(np.concatenate([begin, [len(s0)]])))
-            own = first.copy()
-            own[here] = -1
-            take = ~here | new  # those of its own, and a stand-in for the others
-            weight = np.where(here, 2, weight)
-            yield from out(0, s0[take], s1[take], s2[take], weight[take], z[take], x[take], own[take], np.zeros(take.sum(), np.int32))
+            own = np.where(here, -1, first)
+            take = ~here | new  # leaves of one place, and one for the places of the others
+            yield from out(0, s0[take], s1[take], s2[take], z[take], x[take], own[take], np.zeros(take.sum(), np.int32))
+            here &= weight == 1  # copied texts are known as such
             z, x, first = z[here], x[here], first[here]
             order = np.lexsort((first, x, z))
             z, x, first = z[order], x[order], first[order]
@@ -151,7 +150,7 @@ def _suffixes(docs: DataFrame, width: int) -> DataFrame:
             new[1:] = (z[1:] != z[:-1]) | (x[1:] != x[:-1]) | (first[1:] != first[:-1] + 1)
             begin = np.flatnonzero(new)
             none = np.zeros(len(begin), np.int64)
-            yield from out(1, none, none, none, none, z[begin], x[begin], first[begin], np.diff(np.concatenate([begin, [len(z)]])) + width - 1)
+            yield from out(1, none, none, none, z[begin], x[begin], first[begin], np.diff(np.concatenate([begin, [len(z)]])) + width - 1)
 
         total = 0
         for batch, lo, hi, data, offsets in batches(it):
@@ -176,8 +175,8 @@ def _suffixes(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, _FLOW)
 
 
-def keyed_by_prefix(suffixes: DataFrame, group: int = GROUP) -> DataFrame:
-    """Add ``key`` (of the shortest prefix that ``group`` suffixes at most share) and ``symbols`` (how many it has)."""
+def split_by_prefix(suffixes: DataFrame, group: int = GROUP) -> DataFrame:
+    """Add ``symbols``: the length of the shortest prefix that ``group`` suffixes at most share, or all symbols."""
     crowded: list[DataFrame] = []
     rest, prefix = suffixes, []
     for s in ("s0", "s1"):
@@ -185,45 +184,52 @@ def keyed_by_prefix(suffixes: DataFrame, group: int = GROUP) -> DataFrame:
         found = written(rest.groupBy(*prefix).count().filter(F.col("count") > group).select(*prefix), "crowded")  # rows / group at most
         if found.isEmpty():
             break
-        crowded.append(broadcast_if_small(found, 8 * len(prefix)).withColumn(f"c{len(prefix)}", F.lit(True)))
-        rest = rest.join(broadcast_if_small(found, 8 * len(prefix)), prefix, "left_semi")
+        found = broadcast_if_small(found, 8 * len(prefix))
+        crowded.append(found.withColumn(f"c{len(prefix)}", F.lit(1)))
+        rest = rest.join(found, prefix, "left_semi")
+    del rest
+    release(suffixes.sparkSession)
     out = suffixes
     for i, found in enumerate(crowded):
         out = out.join(found, prefix[: i + 1], "left")
-    longer = [F.coalesce(F.col(f"c{i + 1}"), F.lit(False)).cast("int") for i in range(len(crowded))]
-    symbols = sum(longer, F.lit(1)).alias("symbols")
-    out = out.select(*suffixes.columns, symbols)
-    return out.withColumn("key", F.when(F.col("symbols") == 1, F.xxhash64("s0")).when(F.col("symbols") == 2, F.xxhash64("s0", "s1")).otherwise(F.xxhash64("s0", "s1", "s2")))
+    longer = [F.coalesce(F.col(f"c{i + 1}"), F.lit(0)) for i in range(len(crowded))]
+    return out.select(*suffixes.columns, sum(longer, F.lit(1)).alias("symbols"))
+
+
+def grouped(split: DataFrame) -> DataFrame:
+    """Deal suffixes out by prefix, each partition in the trees' order."""
+    prefix = F.when(F.col("symbols") == 1, F.xxhash64("s0")).when(F.col("symbols") == 2, F.xxhash64("s0", "s1")).otherwise(F.xxhash64("s0", "s1", "s2"))
+    return split.repartition(prefix).sortWithinPartitions("s0", "s1", "s2")
 
 
 def subtree_nodes(symbols, weight, ends):
-    """The suffix tree of some suffixes.  symbols: their symbols, each an array; ends: words after which each symbol ends.
+    """Internal nodes of the suffix tree of some suffixes.  symbols: their symbols, an array for each place, in the tree's
+    order; weight: suffixes that a leaf stands for; ends: words after which each symbol ends.
 
-    Returns (order, depth, low, high): suffixes in the tree's order, and its internal nodes with their depth in words and
-    the leaves below, low <= place in order < high.  A leaf of weight 2 stands for several equal suffixes, so it is a node too.
+    Returns (depth, low, high): depth in words, and the leaves below, low <= leaf < high.  A leaf of weight 2 is a node of
+    equal suffixes, so it is among them.
     """
     import numpy as np
 
-    order = np.lexsort(symbols[::-1])
-    n = len(order)
-    agree = np.zeros(n + 1, np.int64)  # words on which a suffix agrees with the one before it
+    n = len(weight)
+    agree = np.zeros(n, np.int64)  # words on which a suffix agrees with the one before it
     same = np.ones(max(n - 1, 0), bool)
     for s, end in zip(symbols, ends, strict=True):
-        same &= s[order][1:] == s[order][:-1]
-        agree[1:n][same] = end
+        same &= s[1:] == s[:-1]
+        agree[1:][same] = end
     nodes = []
     for end in dict.fromkeys(ends):
-        starts = np.flatnonzero(agree[:n] < end)
-        stops = np.append(starts[1:], n)
-        exactly = np.add.reduceat(agree[:n] == end, starts) if n else starts  # neighbours that part right there
-        heavy = np.add.reduceat(weight[order], starts) > stops - starts if n and end == ends[-1] else np.zeros(len(starts), bool)
-        branch = (exactly > 0) | heavy
-        nodes.append((np.full(branch.sum(), end), starts[branch], stops[branch]))
-    return order, *(np.concatenate(c) for c in zip(*nodes, strict=True))
+        low = np.flatnonzero(agree < end)
+        high = np.append(low[1:], n)[: len(low)]
+        branch = np.add.reduceat(agree == end, low) > 0 if n else low > 0  # neighbours part right there
+        if n and end == ends[-1]:
+            branch |= np.add.reduceat(weight, low) > 1
+        nodes.append((np.full(branch.sum(), end), low[branch], high[branch]))
+    return tuple(np.concatenate(c) for c in zip(*nodes, strict=True))
 
 
-def _repeats(keyed: DataFrame, width: int) -> DataFrame:
-    """(z, x, first, size): words covered by windows below deep nodes; keyed: sorted by key within its partitions."""
+def _repeats(groups: DataFrame, width: int) -> DataFrame:
+    """(z, x, first, size): words covered by windows below deep nodes; groups: as ``grouped`` makes them."""
 
     def run(it):
         import numpy as np
@@ -231,14 +237,12 @@ def _repeats(keyed: DataFrame, width: int) -> DataFrame:
 
         def block(rows):
             """The words covered in these whole groups."""
-            columns = {c: pa.concat_arrays([r.column(c) for r in rows]) for c in ("s0", "s1", "s2", "weight", "z", "x", "first")}
-            symbols = [np.asarray(columns[c]) for c in ("s0", "s1", "s2")]
-            order, depth, low, high = subtree_nodes(symbols, np.asarray(columns["weight"]), boundaries(width))
-            deep = depth >= width
-            low, high = low[deep], high[deep]
-            leaf = order[np.repeat(low - np.concatenate([[0], np.cumsum(high - low)[:-1]]), high - low) + np.arange((high - low).sum())]
-            alone = np.asarray(columns["first"].is_valid()) & (np.asarray(columns["weight"]) == 1)
-            leaf = leaf[alone[leaf]]
+            columns = {c: pa.concat_arrays([r.column(c) for r in rows]) for c in ("s0", "s1", "s2", "z", "x", "first")}
+            one = np.asarray(columns["first"].is_valid())
+            depth, low, high = subtree_nodes([np.asarray(columns[c]) for c in ("s0", "s1", "s2")], np.where(one, 1, 2), boundaries(width))
+            low, high = low[depth >= width], high[depth >= width]
+            leaf = np.repeat(low - np.concatenate([[0], np.cumsum(high - low)[:-1]]), high - low) + np.arange((high - low).sum())
+            leaf = leaf[one[leaf]]
             z, x, first = (np.asarray(columns[c].fill_null(0))[leaf] for c in ("z", "x", "first"))
             by = np.lexsort((first, x, z))
             z, x, first = z[by], x[by], first[by]
@@ -251,21 +255,37 @@ def _repeats(keyed: DataFrame, width: int) -> DataFrame:
         held, total, last = [], 0, None
         for batch in it:
             while batch.num_rows:
-                keys, take = np.asarray(batch.column("key")), batch.num_rows
+                take = batch.num_rows
                 if total >= BLOCK:  # only what is left of the last group
-                    other = np.flatnonzero(keys != last)
+                    s0, s1, s2, symbols = (np.asarray(batch.column(c)) for c in ("s0", "s1", "s2", "symbols"))
+                    other = np.flatnonzero((s0 != last[0]) | (symbols > 1) & (s1 != last[1]) | (symbols > 2) & (s2 != last[2]))
                     take = int(other[0]) if len(other) else take
                     if not take:
                         yield block(held)
                         held, total = [], 0
                         continue
                 held.append(batch.slice(0, take))
-                total, last = total + take, keys[take - 1]
+                total, last = total + take, [batch.column(c)[take - 1].as_py() for c in ("s0", "s1", "s2")]
                 batch = batch.slice(take)
         if held:
             yield block(held)
 
-    return keyed.mapInArrow(run, "z long, x long, first int, size int")
+    return groups.mapInArrow(run, "z long, x long, first int, size int")
+
+
+#: Texts' anchors that have more than this share of all places are met by a filter and not by a shuffle.
+HOT_SHARE = 1_000_000
+LEAST_HOT = 1_000
+
+
+def shared_places(places: DataFrame) -> DataFrame:
+    """The rows of (z, h, p) whose h occurs more than once.  An h with over a millionth of all rows is hot: there are a million
+    of them at most, they are sent to the rows, and the others join by h."""
+    counts = written(places.groupBy("h").count().filter("count > 1"), "shared")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    least = max(LEAST_HOT, total // HOT_SHARE)
+    hot = broadcast_if_small(counts.filter(F.col("count") > least).select("h"), 8)
+    return places.join(hot, "h", "left_semi").unionByName(places.join(hot, "h", "left_anti").join(counts.filter(F.col("count") <= least).select("h"), "h", "left_semi"))
 
 
 def covered_words(documents: DataFrame, width: int = 35, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
@@ -281,18 +301,16 @@ def covered_words(documents: DataFrame, width: int = 35, group: int = GROUP) ->
     several = long.filter("copied").filter(F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("z") == F.col("low_z"))).dropDuplicates(["x", "y"]).withColumn("weight", F.lit(2))
     texts = single.unionByName(several)
     places = texts.select("z", F.explode(F.arrays_zip("hs", "ps")).alias("a")).select("z", F.col("a.hs").alias("h"), F.col("a.ps").alias("p"))
-    shared = places.groupBy("h").count().filter("count > 1").select("h")
-    by_text = places.join(shared, "h", "left_semi").groupBy("z").agg(F.collect_list("p").alias("ps"))
+    by_text = shared_places(places).groupBy("z").agg(F.collect_list("p").alias("ps"))
     rich = written(by_text.join(texts.select("z", "x", "weight", F.col("doc_id").alias("low")), "z"), "shared-anchors")
-    del by_text, shared, places
+    del by_text, places
     release(documents.sparkSession)
     # Texts whose bytes have one hash get the places of all of them; x tells them apart, more places only mean more leaves.
     parts = docs.join(rich, "z").filter(F.col("doc_id").eqNullSafe(F.col("low"))).select("text", "z", "x", "weight", "ps")
     flow = written(_suffixes(parts, width), "suffixes")
     del parts
     release(documents.sparkSession)
-    leaves = keyed_by_prefix(flow.filter("kind = 0").drop("kind", "size"), group)
-    trees = _repeats(leaves.repartition("key").sortWithinPartitions("key"), width)
+    trees = _repeats(grouped(split_by_prefix(flow.filter("kind = 0").drop("kind", "size"), group)), width)
     ranges = trees.unionByName(flow.filter("kind = 1").select("z", "x", "first", "size"))
     by_text = ranges.groupBy("z", "x").agg(F.collect_list(F.struct("first", "size")).alias("r"))
     alone = by_text.join(single.select("doc_id", "z", "x"), ["z", "x"]).select("doc_id", "z", F.transform("r", lambda r: F.struct(F.col("x").alias("x"), r["first"].alias("first"), r["size"].alias("size"))).alias("r"))
