@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -44,13 +45,21 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder that ``spark.checkpoint.dir`` names and read back: iterations restart from files."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.  Where that is unset: a new temporary one on a local master, which is
+    one machine, and an error on any other."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", place)
-    path = f"{place.rstrip('/')}/siltstone/{name}-{uuid.uuid4().hex}"
+    return place.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: iterations restart from files."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
