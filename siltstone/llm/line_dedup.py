@@ -20,8 +20,6 @@ NEAR = 0.3
 
 #: Distinct sites from which a line is boilerplate.
 SITES = 8
-#: Only ``ORACLE`` still has this: it leaves a text whole if removal would take more than so many percent of its characters.
-SHARE = 50
 
 _BLANK = " \t\r\f\x0b"
 
@@ -133,8 +131,9 @@ ORACLE = rf"""
 with d as (select doc_id, coalesce(text, '') t, coalesce(source, '') site, string_split(coalesce(text, ''), chr(10)) ls from documents),
 l as (select doc_id, t, site, unnest(range(0, len(ls))) i, trim(unnest(ls), ' ' || chr(9) || chr(13) || chr(12) || chr(11)) line from d),
 b as (select line from l where line <> '' group by 1 having count(distinct site) >= {SITES}),
-g as (select doc_id, t, list(i) gone, sum(length(line)) chars from l semi join b using (line) group by 1, 2),
-r as (select d.*, case when 100 * chars <= {SHARE} * length(d.t) then gone end gone from d left join g using (doc_id, t))
+n as (select doc_id, t, count(distinct i) n from l where line <> '' group by 1, 2),
+g as (select doc_id, t, list(distinct i) gone from l semi join b using (line) group by 1, 2),
+r as (select d.*, case when len(g.gone) < n then g.gone end gone from d left join g using (doc_id, t) left join n using (doc_id, t))
 select doc_id, len(list_filter(ls, lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) <> ''))::bigint n_lines, coalesce(len(gone), 0)::bigint n_removed,
   md5(case when gone is null then t else coalesce(array_to_string(list_filter(ls, lambda x, i: not list_contains(gone, i - 1)), chr(10)), '') end) kept_md5
 from r
