@@ -31,17 +31,52 @@ def compacted(phases: DataFrame, plan: DataFrame) -> DataFrame:
     return numbered.join(lists, "old", "left").select("phase", "old", F.coalesce("depends", F.array().cast("array<int>")).alias("depends"))
 
 
-def violations(plan_json: str, spark) -> DataFrame:
-    """(message) for every place in which a plan's JSON breaks the shape phases[].modules[].source_files[]."""
-    v = spark.createDataFrame([(plan_json,)], "j string").select(F.try_parse_json("j").alias("v"))
-    top = v.filter("v is null or schema_of_variant(try_variant_get(v, '$.phases', 'variant')) not like 'ARRAY%' or try_variant_get(v, '$.phases', 'variant') is null").select(F.lit("phases must be a list").alias("message"))
-    phases = v.selectExpr("posexplode(try_variant_get(v, '$.phases', 'array<variant>')) as (i, p)")
-    modules = phases.selectExpr("i", "posexplode(try_variant_get(p, '$.modules', 'array<variant>')) as (k, m)")
-    no_modules = phases.filter("try_variant_get(p, '$.modules', 'array<variant>') is null").select(F.format_string("phases[%d].modules must be a list", "i").alias("message"))
-    no_files = modules.filter("try_variant_get(m, '$.source_files', 'array<variant>') is null").select(F.format_string("phases[%d].modules[%d].source_files must be a list", "i", "k").alias("message"))
-    files = modules.selectExpr("i", "k", "posexplode(try_variant_get(m, '$.source_files', 'array<variant>')) as (n, f)")
-    bad = files.filter("schema_of_variant(f) <> 'STRING'").select(F.format_string("phases[%d].modules[%d].source_files[%d] must be a text", "i", "k", "n").alias("message"))
-    return top.unionByName(no_modules).unionByName(no_files).unionByName(bad)
+def _repr(text):
+    """A text as Python shows it, for texts of printable characters."""
+    plain = F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+    return F.when(F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"')), F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def _kind(value):
+    """OBJECT, ARRAY, STRING and so on; null where there is no such value (a JSON null has the kind VOID)."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def violations(plans: DataFrame, key: str = "plan") -> DataFrame:
+    """(key, at, message): a row for each place in which a plan breaks the shape phases[].modules[].source_files[]; plans:
+    (key, json).  at: indices of phase, module and file, in whose order the messages are meant.  What is below a wrong place
+    isn't looked at.  A null json counts as not valid."""
+    rows = plans.select(key, F.try_parse_json("json").alias("v"))
+    none = F.array().cast("array<int>")
+    say = lambda df, at, message: df.select(key, at.alias("at"), message.alias("message"))
+    fixed = lambda df, message: say(df, none, F.lit(message))
+    # The messages' texts.
+    out = [fixed(rows.filter("v is null"), "phases.json is not valid JSON")]
+    known = rows.filter("v is not null").withColumn("kind", _kind(F.col("v"))).withColumn("phases", F.expr("try_variant_get(v, '$.phases', 'variant')"))
+    out.append(fixed(known.filter("kind <> 'OBJECT'"), "the top-level value must be an object"))
+    tops = known.filter("kind = 'OBJECT'").withColumn("is_list", F.coalesce(_kind(F.col("phases")) == "ARRAY", F.lit(False)))
+    out.append(fixed(tops.filter("not is_list"), 'top-level field "phases" must be an array'))
+    phases = tops.filter("is_list").selectExpr(key, "posexplode(try_variant_get(phases, '$', 'array<variant>')) as (i, p)").withColumn("kind", _kind(F.col("p"))).withColumn("at", F.array("i"))
+    out.append(say(phases.filter("kind is null or kind <> 'OBJECT'"), F.col("at"), F.format_string("phases[%d] must be an object", "i")))
+    named = phases.filter("kind = 'OBJECT'").withColumn("modules", F.expr("try_variant_get(p, '$.modules', 'variant')")).withColumn("is_list", F.coalesce(_kind(F.col("modules")) == "ARRAY", F.lit(False)))
+    out.append(say(named.filter("not is_list"), F.col("at"), F.format_string("phases[%d].modules must be an array", "i")))
+    modules = named.filter("is_list").selectExpr(key, "i", "posexplode(try_variant_get(modules, '$', 'array<variant>')) as (k, m)").withColumn("kind", _kind(F.col("m"))).withColumn("at", F.array("i", "k"))
+    where = F.format_string("phases[%d].modules[%d]", "i", "k")
+    out.append(say(modules.filter("kind is null or kind <> 'OBJECT'"), F.col("at"), F.concat(where, F.lit(" must be an object"))))
+    name = F.expr("try_variant_get(m, '$.name', 'variant')")
+    text = F.expr("try_variant_get(m, '$.name', 'string')")
+    shown = F.when(_kind(name) == "STRING", _repr(text)).when(_kind(name) == "BOOLEAN", F.initcap(text)).otherwise(text)
+    context = F.when(F.coalesce(text, F.lit("")).isin("", "0", "0.0", "false", "[]", "{}"), where).otherwise(F.concat(where, F.lit(" ("), shown, F.lit(")")))
+    listed = modules.filter("kind = 'OBJECT'").withColumn("context", context).withColumn("files", F.expr("try_variant_get(m, '$.source_files', 'variant')")).withColumn("there", F.array_contains(F.json_object_keys(F.to_json("m")), "source_files"))
+    listed = listed.withColumn("is_list", F.coalesce(_kind(F.col("files")) == "ARRAY", F.lit(False)))
+    out.append(say(listed.filter("not there"), F.col("at"), F.concat("context", F.lit(".source_files is missing"))))
+    out.append(say(listed.filter("there and not is_list"), F.col("at"), F.concat("context", F.lit(".source_files must be an array"))))
+    files = listed.filter("is_list").selectExpr(key, "i", "k", "context", "posexplode(try_variant_get(files, '$', 'array<variant>')) as (n, f)").withColumn("at", F.array("i", "k", "n"))
+    out.append(say(files.filter(~F.coalesce(_kind(F.col("f")) == "STRING", F.lit(False))), F.col("at"), F.concat("context", F.format_string(".source_files[%d] must be a string", "n"))))
+    all_rows = out[0]
+    for part in out[1:]:
+        all_rows = all_rows.unionByName(part)
+    return all_rows
 
 
 def coverage_faults(plan: DataFrame, sources: DataFrame, scopes: list[str]) -> DataFrame:

@@ -103,7 +103,25 @@ def set_flags(df: DataFrame, group: list[str], item: str, expected: Column) -> D
     return have.select(*group, (F.col("_have") == want).alias("equal"), (F.size(F.array_except(want, "_have")) == 0).alias("covers"))
 
 
-def ordered_coverage(ours: list[tuple[str, str]], theirs: list[tuple[str, str]]) -> bool:
-    """Whether theirs is a subsequence of ours: greedy, two pointers."""
-    it = iter(ours)
-    return all(any(x == y for x in it) for y in theirs)
+def bare_name(ident: Column) -> Column:
+    """What follows the last :: or dot of an identifier, without a trailing _<number>."""
+    return F.regexp_replace(F.element_at(F.split(ident, r"::|\."), -1), r"_\d+$", "")
+
+
+def ordered_coverage(ours: DataFrame, theirs: DataFrame, file: str = "path") -> DataFrame:
+    """(file, covered): whether the functions of ``theirs`` are a subsequence of those of ``ours`` in each file; both are
+    (file, at, ident, body), and two functions are the same with equal bare names and bodies (line ends don't count).
+
+    Every function of theirs gets the places of its equals in ours by a join; then a fold in order takes the next place
+    beyond the last one taken, which finds a subsequence if there is one.  Files of ours alone are covered; a null body is
+    one of its own.
+    """
+    body = F.coalesce(F.sha2(F.regexp_replace("body", "\r\n|\r", "\n"), 256), F.lit("null"))
+    keyed = lambda df: df.select(file, "at", bare_name(F.col("ident")).alias("_n"), body.alias("_b"))
+    places = keyed(ours).groupBy(file, "_n", "_b").agg(F.array_sort(F.collect_list("at")).alias("places"))
+    wanted = keyed(theirs).join(places, [file, "_n", "_b"], "left").groupBy(file).agg(F.array_sort(F.collect_list(F.struct("at", "places"))).alias("w"))
+    taken = lambda last, w: F.array_min(F.filter(w["places"], lambda p: p > last))
+    start = F.array_min(F.flatten("w.places")) - 1
+    end = F.aggregate("w", F.coalesce(start, F.lit(0)).cast("long"), lambda last, w: taken(last, w).cast("long"))
+    files = ours.select(file).unionByName(theirs.select(file)).distinct()
+    return files.join(wanted.select(file, end.isNotNull().alias("covered")), file, "left").select(file, F.coalesce("covered", F.lit(True)).alias("covered"))

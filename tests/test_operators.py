@@ -87,10 +87,28 @@ def test_pending(spark):
     assert S.summary(got).first().asDict() == {"total_reported": 3, "total_confirmed": 1, "total_not_confirmed": 0, "total_error": 0, "total_pending": 2}
 
 
-def test_ordered_coverage():
-    ours = [("f", "1"), ("g", "2"), ("h", "3")]
-    assert R.ordered_coverage(ours, [("f", "1"), ("h", "3")])
-    assert not R.ordered_coverage(ours, [("h", "3"), ("f", "1")])
+def test_ordered_coverage(spark):
+    table = lambda rows: spark.createDataFrame([(p, i, n, b) for p, items in rows.items() for i, (n, b) in enumerate(items)], "path string, at int, ident string, body string")
+    ours = [("A::f_1", "1\r\n"), ("g", "2"), ("B.h", "3"), ("f", "1\n"), ("n", None)]
+    got = R.ordered_coverage(
+        table({"in": ours, "out": ours, "twice": ours, "thrice": ours, "body": ours, "alone": ours, "null": ours}),
+        table({"in": [("f", "1\n"), ("x::h_2", "3")], "out": [("h", "3"), ("g", "2")], "twice": [("f", "1\n"), ("f", "1\n")], "thrice": [("f", "1\n")] * 3, "body": [("g", "3")], "gone": [("f", "1")], "null": [("n", None)]}),
+    )
+    assert rows(got) == [("alone", True), ("body", False), ("gone", False), ("in", True), ("null", True), ("out", False), ("thrice", False), ("twice", True)]
+
+
+def test_ordered_coverage_equals_two_pointers(spark):
+    rnd, left, right, want = random.Random(4), [], [], []
+    for path in range(60):
+        ours = [rnd.choice("abc") for _ in range(rnd.randrange(12))]
+        theirs = [x for x in ours if rnd.random() < 0.5] if path % 2 else [rnd.choice("abc") for _ in range(rnd.randrange(5))]
+        left += [(path, i, x, "b") for i, x in enumerate(ours)]
+        right += [(path, i, x, "b") for i, x in enumerate(theirs)]
+        it = iter(ours)
+        if ours or theirs:
+            want.append((path, all(any(x == y for x in it) for y in theirs)))
+    schema = "path int, at int, ident string, body string"
+    assert rows(R.ordered_coverage(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema))) == want
 
 
 EDGES = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f")]
@@ -147,11 +165,20 @@ def test_plan_rules(spark):
 
 
 def test_plan_violations(spark):
-    assert rows(P.violations('{"phases": [{"modules": [{"source_files": ["a"]}]}]}', spark)) == []
-    assert len(rows(P.violations('{"phases": 3}', spark))) == 1
-    assert rows(P.violations('{"phases": [{"modules": [{"source_files": [1]}, {}]}, {}]}', spark)) == [
-        ("phases[0].modules[0].source_files[0] must be a text",), ("phases[0].modules[1].source_files must be a list",), ("phases[1].modules must be a list",),
+    def messages(*plans):
+        got = P.violations(spark.createDataFrame(list(enumerate(plans)), "plan int, json string"))
+        return [r["message"] for r in got.orderBy("plan", "at").collect()]
+
+    assert messages('{"phases": [{"modules": [{"source_files": ["a"]}]}]}', '{"phases": []}') == []
+    assert messages('{"phases": 3}', "{}", "[1]", "7", "no", None) == ['top-level field "phases" must be an array'] * 2 + ["the top-level value must be an object"] * 2 + ["phases.json is not valid JSON"] * 2
+    assert messages('{"phases": [{"modules": [{"source_files": [1, "a", null]}, {}, {"source_files": null}]}, {}, 4, {"modules": ["x"]}]}') == [
+        "phases[0].modules[0].source_files[0] must be a string", "phases[0].modules[0].source_files[2] must be a string", "phases[0].modules[1].source_files is missing", "phases[0].modules[2].source_files must be an array",
+        "phases[1].modules must be an array", "phases[2] must be an object", "phases[3].modules[0] must be an object",
     ]
+    names = ['"it\'s"', '"a\\\\b"', '""', "0", "5", "true"]
+    assert messages(*(f'{{"phases": [{{"modules": [{{"name": {n}}}]}}]}}' for n in names)) == [
+        f"phases[0].modules[0]{x}.source_files is missing" for x in (' ("it\'s")', " ('a\\\\b')", "", "", " (5)", " (True)")
+    ]
 
 
 def test_complete_results(spark):
