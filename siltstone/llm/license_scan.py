@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import docs_of, table, written
+from siltstone.llm.common import broadcast_if_small, docs_of, table, written
 from siltstone.llm.wordarrays import rolling, with_words
 
 #: The base phrases and their labels.
@@ -58,6 +58,25 @@ def _fits(first: str, end: str) -> str:
     return f"100 * ({end} - {first}) <= {STRETCH} * (grams + {GRAM - 1})"
 
 
+#: Distinct grams of templates up to which they are told to the texts; the list in the code has some 700.
+TOLD = 50_000
+
+
+def _hits(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, x, pos, template, label, grams, at): places of texts whose words are those of a template's place.
+
+    A text's words stay in its row: only places that may hit leave it, with their own words.  Templates beyond ``TOLD``
+    grams are joined with all places instead.
+    """
+    place = lambda gram, i: F.struct(i.alias("pos"), gram.alias("gram"), F.slice("w", i + 1, GRAM).alias("own"))
+    told = [r["gram"] for r in known.select("gram").distinct().limit(TOLD + 1).collect()]
+    grams = F.transform(rolling("w", GRAM), lambda g, i: F.struct(g.alias("gram"), i.alias("i")))
+    if len(told) <= TOLD:
+        grams = F.filter(grams, lambda g: g["gram"].isin(told))
+    places = docs.select("doc_id", "x", F.inline(F.transform(grams, lambda g: place(g["gram"], g["i"]))))
+    return places.join(broadcast_if_small(written(known, "template-grams"), 200), "gram").filter(F.col("own") == F.col("words"))
+
+
 def _split(loose: DataFrame) -> DataFrame:
     """Spans within merged diagonals that are too long for one; loose: a row for each diagonal, ``at`` has its positions.
 
@@ -91,9 +110,8 @@ def license_spans(documents: DataFrame, templates=None) -> DataFrame:
     that repeat doc_id and words give their spans once; rows with the same doc_id and other words are scanned on their own.
     """
     docs = with_words(docs_of(documents).filter("doc_id is not null"), ascii_only=True).select("doc_id", F.xxhash64("w").alias("x"), "w")
-    grams = docs.select("doc_id", "x", "w", F.posexplode(rolling("w", GRAM)).alias("pos", "gram"))
-    known = template_grams(documents.sparkSession, templates)  # a fixed list in the code: a few thousand rows at most
-    hits = grams.join(F.broadcast(known), "gram").filter(F.expr(f"slice(w, pos + 1, {GRAM})") == F.col("words"))
+    known = template_grams(documents.sparkSession, templates)
+    hits = _hits(docs, known)
     voted = (
         hits.select("doc_id", "x", "template", "label", "grams", "pos", (F.col("pos") - F.col("at")).alias("diagonal"))
         .groupBy("doc_id", "x", "template", "label", "grams", "diagonal")
@@ -101,15 +119,15 @@ def license_spans(documents: DataFrame, templates=None) -> DataFrame:
         .withColumn("votes", F.size("at"))
     )
     near = Window.partitionBy("doc_id", "x", "template").orderBy("diagonal")
-    run = Window.partitionBy("doc_id", "x", "template", "span")
-    places = F.flatten(F.collect_list(F.transform("at", lambda p: p - F.col("diagonal"))).over(run))
-    merged = (
-        voted.withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(near) <= DRIFT, 0).otherwise(1))
-        .withColumn("span", F.sum("new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumns({"all": F.size(F.array_distinct(places)), "first_word": F.min("lo").over(run), "end_word": F.max("hi").over(run) + GRAM})
-        .filter(f"100 * all >= {COVERED} * grams")
-    )
-    merged = written(merged.drop("new"), "diagonals")
+    spanned = voted.withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(near) <= DRIFT, 0).otherwise(1))
+    spanned = spanned.withColumn("span", F.sum("new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
+    spanned = written(spanned.drop("new"), "diagonals")  # hits are few; the texts are read once for them
+    # Each hit moves once to its span, where the template's positions are counted.
+    of = ["doc_id", "x", "template", "span"]
+    places = spanned.select(*of, F.explode("at").alias("pos"), "diagonal").groupBy(*of).agg(F.count_distinct(F.col("pos") - F.col("diagonal")).alias("all"))
+    ends = spanned.groupBy(*of).agg(F.min("lo").alias("first_word"), (F.max("hi") + GRAM).alias("end_word"))
+    merged = spanned.join(places, of).join(ends, of).filter(f"100 * all >= {COVERED} * grams")
+    merged = written(merged, "spans")
     key = ["doc_id", "x", "label", "template", "grams", "span"]
     whole = merged.filter(_fits("first_word", "end_word")).select(*key, F.col("all").alias("votes"), "first_word", "end_word").distinct()
     spans = whole.unionByName(_split(merged.filter(f"not ({_fits('first_word', 'end_word')})").drop("all", "first_word", "end_word")))

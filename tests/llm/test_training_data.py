@@ -363,3 +363,25 @@ def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
     got = corpus_pipeline.keep_one_of_near_duplicates(spark, docs(spark, rows), "").collect()
     want = [(1, one, "r"), (1, two, "s"), (3, three, "s"), (4, "", "s"), (None, three, "s"), (None, three, "s")]
     assert got[0].asDict().keys() == set(corpus_pipeline.COLUMNS) and sorted(map(repr, ((r.doc_id, r.text, r.source) for r in got))) == sorted(map(repr, want))
+
+
+def test_license_scan_of_long_texts_of_repeated_notices(spark):
+    """A text of short notices over and over: every copy is a span, and four times the text takes no more than five times as long."""
+    import time
+
+    def scan(copies):
+        began = time.time()
+        row = license_scan.license_scan(docs(spark, [(1, "Licensed under CC BY-NC 4.0. some words " * copies, "s")])).first()
+        return row["n_spans"], row["labels"], time.time() - began
+
+    scan(100)
+    short, long = scan(12_000), scan(48_000)
+    assert (short[:2], long[:2]) == ((12_000, "cc-by-nc"), (48_000, "cc-by-nc"))
+    assert long[2] < 5 * short[2] + 5
+
+
+def test_license_scan_of_more_templates_than_are_told(spark, monkeypatch):
+    rows = [(1, "x Licensed under the Apache License, Version 2.0. y", "s"), (2, "nothing", "s")]
+    told = sorted(map(tuple, license_scan.license_scan(docs(spark, rows)).collect()))
+    monkeypatch.setattr(license_scan, "TOLD", 3)
+    assert sorted(map(tuple, license_scan.license_scan(docs(spark, rows)).collect())) == told
