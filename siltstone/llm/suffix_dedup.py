@@ -400,9 +400,11 @@ def repeated_spans(documents: DataFrame, length: int = 50, hot: int = HOT) -> tu
     docs = docs_of(documents).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("x", F.xxhash64("text"))
     seen = docs.select("doc_id", "x", F.xxhash64(F.reverse("text")).alias("y"), F.octet_length("text").alias("n"))
     classes = seen.groupBy("x", "y", "n").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    repeats = written(classes.filter("low <> high").select("x", "low"), "copied")
+    repeats = written(classes.filter("low <> high").select("x", "y", "n", "low"), "copied")
     total = seen.agg(F.sum("n")).first()[0] or 0
-    docs = docs.join(broadcast_if_small(repeats, 24), "x", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("low"), F.lit(False))).drop("low")
+    # y costs a second reading of the text, so it isn't a key of the join: it is compared where x and n agree.
+    same = F.expr("d.x = r.x and octet_length(d.text) = r.n and (xxhash64(reverse(d.text)) ^ r.y) = 0L")
+    docs = docs.alias("d").join(broadcast_if_small(repeats, 40).alias("r"), same, "left").select("d.*", F.coalesce(F.col("d.doc_id") > F.col("r.low"), F.lit(False)).alias("copy"))
     buckets = max(16, int(total) // (16 * BUCKET))
     packed = _anchors(docs.filter("not copy").select("doc_id", "x", "text"), length, buckets)
     found = written(_repeated(packed.repartition("key").sortWithinPartitions("key")), "anchors")
