@@ -3,11 +3,14 @@ statements derive the expected rows from the tables' values, not from the code."
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators import syntax as S
 from siltstone.plans.registry import query
+from siltstone.session import shared_dir
 
 
 def _files(rows: DataFrame, path: Column, lang: Column, order: list[str], piece: Column, head: Column, tail: str) -> DataFrame:
@@ -100,3 +103,20 @@ def terminating_blocks(t):
     kinds = t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("path")).agg(F.min("l_linestatus").alias("kind"))
     found = S.terminating(S.masked(blocks), "code").join(kinds, "path")
     return found.groupBy((F.col("path").cast("long") % 6).alias("lang"), "kind").agg(F.sum(F.col("terminating").cast("long")).alias("ending"), F.count("*").alias("blocks"))
+
+
+@query("""select 'src/' || lower(replace(p_brand, '#', '.')) || '-cpp/N' || p_size || '/f' || p_partkey || '.cpp' as file, md5(p_name || chr(13) || chr(10) || p_type) as content from part
+union all select '_m/__init__-py/' || case when s_suppkey % 10 = 0 then '_function' || '' else replace(s_name, '#', '_') || '_x' end || '.py', md5(s_suppkey::varchar) from supplier where s_suppkey % 10 <> 0 or s_suppkey = 10""")
+def function_files(t):
+    """Every function as a file of its own, written and read back; names may begin with _."""
+    from siltstone.sources.function_files import read_function_files, write_function_files
+
+    cpp = t.part.select(
+        F.concat(F.lit("src/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("."))), F.lit(".cpp")).alias("path"), F.concat(F.lit("N"), F.col("p_size").cast("string"), F.lit("::f"), F.col("p_partkey").cast("string")).alias("ident"),
+        F.concat("p_name", F.lit("\r\n"), "p_type").alias("content"),
+    )
+    ident = F.when(F.col("s_suppkey") == 10, "").otherwise(F.concat(F.replace("s_name", F.lit("#"), F.lit("/")), F.lit("_x")))
+    python = t.supplier.filter("s_suppkey % 10 <> 0 or s_suppkey = 10").select(F.lit("_m/__init__.py").alias("path"), ident.alias("ident"), F.col("s_suppkey").cast("string").alias("content"))
+    place = f"{shared_dir(t.spark)}/siltstone/functions-{uuid.uuid4().hex}"
+    write_function_files(cpp.unionByName(python), place)
+    return read_function_files(t.spark, place).select("file", F.md5(F.encode("content", "UTF-8")).alias("content"))

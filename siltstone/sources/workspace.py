@@ -26,7 +26,7 @@ def plan_files(spark: SparkSession, path: str) -> DataFrame:
 
 def json_tree(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """(file, json): each document below root whose name matches, whole; unreadable JSON is null in ``json``."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("file"), F.when(F.try_parse_json("value").isNotNull(), F.col("value")).alias("json"))
 
 
@@ -77,8 +77,9 @@ def history(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(path)
-    return raw.select(F.posexplode(F.split("value", "\n")).alias("_i", "line")).filter("trim(line) <> ''")
+    """(_i, line): lines that aren't blank; _i orders them, files of a folder by their names."""
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    return raw.select("file", F.posexplode(F.split("value", "\n")).alias("n", "line")).select(F.struct("file", "n").alias("_i"), "line").filter("trim(line) <> ''")
 
 
 def last_version(spark: SparkSession, path: str) -> str | None:
@@ -92,7 +93,7 @@ def knowledge(spark: SparkSession, paths: list[str]) -> str:
     if bad := [p for p in paths if not p.lower().endswith((".md", ".markdown"))]:
         raise ValueError(f"not Markdown: {bad[0]}")
     order = {p: i for i, p in enumerate(dict.fromkeys(os.path.normpath(p) for p in paths))}
-    return "\n\n".join(spark.read.option("wholetext", True).text(p).first()[0].strip() for p in order)
+    return "\n\n".join(spark.read.text(p, wholetext=True).first()[0].strip() for p in order)
 
 
 def sidecar_ready(functions: DataFrame, specs: DataFrame, infos: DataFrame) -> DataFrame:

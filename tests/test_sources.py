@@ -63,6 +63,15 @@ def test_workspace(spark, tmp_path):
     assert workspace.knowledge(spark, [str(tmp_path / "k.md")] * 2) == "# K"
 
 
+def test_documents_of_many_lines(spark, tmp_path):
+    put(tmp_path / "v/f.json", json.dumps({"function": "f", "verdict": "MATCH", "all_bugs": False}, indent=2))
+    put(tmp_path / "v/bad.json", "{\n")
+    put(tmp_path / "k.md", "# a\n\nb\n")
+    assert [(r.file.rpartition("/")[2], r.verdict) for r in workspace.results(spark, str(tmp_path / "v")).collect()] == [("f.json", "MATCH")]
+    assert workspace.json_tree(spark, str(tmp_path / "v"), "*.json").count() == 2
+    assert workspace.knowledge(spark, [str(tmp_path / "k.md")]) == "# a\n\nb"
+
+
 def test_readiness(spark):
     f = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "file string")
     ok = '{"signature":"f()","pre_condition":"","post_condition":"x"}'
