@@ -151,23 +151,34 @@ def status_code(status: Column) -> Column:
 
 
 def _scaled(n: Column, unit: int, places: int) -> Column:
-    """n / unit with some decimal places, ties to even, in whole numbers so that no binary fraction interferes."""
+    """n / unit with some decimal places, as the quotient's binary value rounds: at a tie of the decimal value, what the double
+    is more or less than it decides, and the even digit where it is the tie itself."""
     step = unit // 10**places
-    q, r = F.floor(n / step).cast("long"), n.cast("long") % step
-    q = q + F.when((2 * r > step) | ((2 * r == step) & (q % 2 == 1)), 1).otherwise(0)
-    whole = F.floor(q / 10**places).cast("long")
-    return F.concat(whole.cast("string"), F.lit("."), F.lpad((q % 10**places).cast("string"), places, "0"))
+    base, rest = F.floor(n / step).cast("long"), n.cast("long") % step
+    quotient = n.cast("double") / F.lit(float(unit))
+    # The quotient in two parts that have room for an exact product with the unit.
+    high = quotient * 134217729.0 - (quotient * 134217729.0 - quotient)
+    more = (high * float(unit) - n.cast("double")) + (quotient - high) * float(unit)
+    up = (2 * rest > step) | ((2 * rest == step) & ((more > 0) | ((more == 0) & (base % 2 == 1))))
+    digits = base + F.when(up, 1).otherwise(0)
+    whole = F.floor(digits / 10**places).cast("long")
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad((digits % 10**places).cast("string"), places, "0"))
+
+
+#: Fixed value: the label of what isn't known.
+UNKNOWN = "—"
 
 
 def token_label(n: Column) -> Column:
-    """12, 3.4K, 5.67M."""
-    return F.when(n >= 1_000_000, F.concat(_scaled(n, 1_000_000, 2), F.lit("M"))).when(n >= 1000, F.concat(_scaled(n, 1000, 1), F.lit("K"))).otherwise(n.cast("long").cast("string"))
+    """12, 3.4K, 5.67M; a dash for null."""
+    return F.when(n.isNull(), UNKNOWN).when(n >= 1_000_000, F.concat(_scaled(n, 1_000_000, 2), F.lit("M"))).when(n >= 1000, F.concat(_scaled(n, 1000, 1), F.lit("K"))).otherwise(n.cast("long").cast("string"))
 
 
 def duration_label(seconds: Column) -> Column:
+    """5s, 1m 05s, 1h 01m 40s; a dash for null."""
     s = F.floor(seconds).cast("long")
     h, m, r = F.floor(s / 3600).cast("long"), F.floor(s / 60).cast("long"), s % 60
-    return F.when(s >= 3600, F.format_string("%dh %02dm %02ds", h, m % 60, r)).when(s >= 60, F.format_string("%dm %02ds", m, r)).otherwise(F.format_string("%ds", s))
+    return F.when(s.isNull(), UNKNOWN).when(s >= 3600, F.format_string("%dh %02dm %02ds", h, m % 60, r)).when(s >= 60, F.format_string("%dm %02ds", m, r)).otherwise(F.format_string("%ds", s))
 
 
 def cost_label(usd: Column) -> Column:

@@ -307,10 +307,10 @@ def fqn_inverse(t):
     return t.customer.select("c_custkey", X.fqn_source(X.fqn(path, F.lit("run"))).alias("source"))
 
 
-@query("""select l_orderkey, l_partkey, l_suppkey, case when v >= 1000000 then (m // 100) || '.' || lpad((m % 100)::varchar, 2, '0') || 'M' when v >= 1000 then (d // 10) || '.' || (d % 10) || 'K' else v::varchar end tokens,
-case when q >= 3600 then (q // 3600) || 'h ' || lpad(((q // 60) % 60)::varchar, 2, '0') || 'm ' || lpad((q % 60)::varchar, 2, '0') || 's' when q >= 60 then (q // 60) || 'm ' || lpad((q % 60)::varchar, 2, '0') || 's' else q || 's' end as duration
-from (select *, v // 100 + case when v % 100 > 50 or (v % 100 = 50 and (v // 100) % 2 = 1) then 1 else 0 end d, v // 10000 + case when v % 10000 > 5000 or (v % 10000 = 5000 and (v // 10000) % 2 = 1) then 1 else 0 end m
-from (select *, (l_orderkey * l_linenumber)::bigint v, (l_partkey * l_linenumber)::bigint q from lineitem))""")
+@query("""select l_orderkey, l_partkey, l_suppkey, case when v is null then '—' when v >= 1000000 then printf('%.2fM', v::double / 1000000) when v >= 1000 then printf('%.1fK', v::double / 1000) else v::varchar end tokens,
+case when q is null then '—' when q >= 3600 then printf('%dh %02dm %02ds', q // 3600, (q // 60) % 60, q % 60) when q >= 60 then printf('%dm %02ds', q // 60, q % 60) else printf('%ds', q) end as duration
+from (select *, case when l_linenumber < 7 then (l_orderkey * l_linenumber)::bigint * 50 end v, case when l_quantity > 2 then (l_partkey * l_linenumber)::bigint end q from lineitem)""")
 def format_labels(t):
-    v, q = (F.col("l_orderkey") * F.col("l_linenumber")), (F.col("l_partkey") * F.col("l_linenumber"))
+    v = F.when(F.col("l_linenumber") < 7, F.col("l_orderkey") * F.col("l_linenumber") * 50)
+    q = F.when(F.col("l_quantity") > 2, F.col("l_partkey") * F.col("l_linenumber"))
     return t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", X.token_label(v).alias("tokens"), X.duration_label(q).alias("duration"))

@@ -52,6 +52,15 @@ def test_spec(spark, raw, want):
     assert one(spark, X.valid_spec(F.col("j")), j=raw) is want
 
 
+def test_token_labels_round_as_the_binary_quotient_does(spark):
+    ns = [*range(1000, 20_000, 50), *range(1_000_000, 9_000_000, 5_000), 999, 0, 999_950, 123_456_750, 2**52 + 1]
+    got = spark.createDataFrame([(n,) for n in ns], "n long").select("n", X.token_label(F.col("n")).alias("label")).collect()
+    want = lambda n: f"{n / 1_000_000:.2f}M" if n >= 1_000_000 else f"{n / 1_000:.1f}K" if n >= 1_000 else str(n)
+    assert [r for r in got if r["label"] != want(r["n"])] == []
+    assert [one(spark, X.token_label(F.lit(n))) for n in (1150, 1050)] == ["1.1K", "1.1K"]
+    assert one(spark, X.token_label(F.lit(None).cast("long"))) == one(spark, X.duration_label(F.lit(None).cast("long"))) == "—"
+
+
 def test_labels(spark):
     assert [one(spark, X.token_label(F.lit(n))) for n in (12, 1250, 2_345_678)] == ["12", "1.2K", "2.35M"]
     assert [one(spark, X.duration_label(F.lit(n))) for n in (5, 65, 3700)] == ["5s", "1m 05s", "1h 01m 40s"]
