@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import written
+
 
 def occurrence(df: DataFrame, partition: list[str], order: list[str], out: str = "occurrence") -> DataFrame:
     """0-based number of the row in its partition."""
@@ -27,11 +29,11 @@ def last_n(df: DataFrame, order: list[str], n: int) -> DataFrame:
 
 
 def renumber(df: DataFrame, order: str, out: str = "number") -> DataFrame:
-    """1, 2, ... in order, over all rows.  Ranges are numbered side by side: counts of earlier ranges are added, so that no
-    task holds more than its own range."""
+    """1, 2, ... in order, over all rows.  Ranges are numbered side by side and written once: the counts of earlier ranges,
+    which are added, come from the same rows, and no task holds more than its own range."""
     parts = df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
     rank = F.row_number().over(Window.partitionBy("_p").orderBy(order))
-    ranked = parts.withColumn("_r", rank)
+    ranked = written(parts.withColumn("_r", rank), "ranked")
     counts = ranked.groupBy("_p").agg(F.max("_r").alias("_c"))  # a row for each range
     before = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_b"))
     return ranked.join(F.broadcast(before), "_p").withColumn(out, F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")
@@ -43,6 +45,22 @@ def fixed_batches(df: DataFrame, partition: list[str], order: list[str], size: i
     return n.withColumn("batch", F.expr(f"cast(_n div {size} as int)")).withColumn("place", F.col("_n") % size).drop("_n")
 
 
+def indexed_batches(df: DataFrame, partition: list[str], order: list[str], size: int) -> DataFrame:
+    """``fixed_batches`` with batch_index, the batch's number over all partitions in their order, from 0.  The partitions'
+    numbers of batches are summed up, a row each; the rows themselves aren't sorted as a whole."""
+    batches = fixed_batches(df, partition, order, size)
+    counts = renumber(df.groupBy(*partition).agg(F.struct(*partition).alias("_key"), F.ceil(F.count("*") / size).alias("_batches")), "_key", "_n")
+    blocks = counts.withColumn("_block", F.floor(F.col("_n") / 10_000))
+    ahead = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocks.groupBy("_block").agg(F.sum("_batches").alias("_sum")).select("_block", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))  # a row for ten thousand partitions
+    within = Window.partitionBy("_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("_own", F.coalesce(F.sum("_batches").over(within), F.lit(0))).join(sums, "_block").select(*(F.col(c).alias(f"_p_{c}") for c in partition), (F.col("_own") + F.col("_ahead")).alias("_start"))
+    same = F.lit(True)
+    for c in partition:
+        same = same & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
+    return batches.join(starts, same).withColumn("batch_index", (F.col("_start") + F.col("batch")).cast("long")).drop("_start", *(f"_p_{c}" for c in partition))
+
+
 def numbered_lines(df: DataFrame, text: str) -> DataFrame:
     """One row for each line with anything but blanks, numbered from 1: line_no, line."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")

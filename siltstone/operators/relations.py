@@ -125,3 +125,19 @@ def ordered_coverage(ours: DataFrame, theirs: DataFrame, file: str = "path") ->
     end = F.aggregate("w", F.coalesce(start, F.lit(0)).cast("long"), lambda last, w: taken(last, w).cast("long"))
     files = ours.select(file).unionByName(theirs.select(file)).distinct()
     return files.join(wanted.select(file, end.isNotNull().alias("covered")), file, "left").select(file, F.coalesce("covered", F.lit(True)).alias("covered"))
+
+
+def ordered_union(key: str, at: str, *frames: DataFrame) -> DataFrame:
+    """(key, place): every key of the frames once, numbered from 1 where it first stands: frames one after the other, each in
+    the order of ``at``, whose type they share.  Null is a key like any other.
+
+    A frame's keys are brought to one row each before they meet, and places come from ranges that are sorted side by side.
+    """
+    from siltstone.operators.ordered import renumber
+
+    firsts = None
+    for i, df in enumerate(frames):
+        own = df.groupBy(key).agg(F.struct(F.lit(i).alias("frame"), F.min(at).alias("at")).alias("_at"))
+        firsts = own if firsts is None else firsts.unionByName(own)
+    first = firsts.groupBy(key).agg(F.min("_at").alias("_at"))
+    return renumber(first, "_at", "place").select(key, F.col("place").cast("long").alias("place"))

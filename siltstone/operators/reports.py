@@ -99,8 +99,8 @@ def with_locations(items: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def source_href(path, prefix: str = "../"):
-    """A relative link; null for absolute paths and those that leave the tree."""
-    return F.when(~path.startswith("/") & ~F.array_contains(F.split(path, "/"), ".."), F.concat(F.lit(prefix), path))
+    """A relative link; null for null, empty and absolute paths and those that leave the tree."""
+    return F.when((path != "") & ~path.startswith("/") & ~F.array_contains(F.split(path, "/"), ".."), F.concat(F.lit(prefix), path))
 
 
 def filtered(items: DataFrame, kinds: list[str], statuses: list[str] = (), files: list[str] = (), text: str = "") -> DataFrame:
