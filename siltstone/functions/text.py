@@ -17,13 +17,17 @@ from siltstone.functions.words import STOP
 KEYWORDS = ["if", "for", "while", "switch", "return", "sizeof", "catch", "elif", "with", "assert", "del", "not", "and", "or", "in", "is", "lambda", "print", "super", "self", "func", "fn", "match", "new", "throw", "typeof", "defer", "go", "select", "case", "else", "do", "try", "except", "raise", "yield", "await", "async"]
 
 #: Names that are called everywhere and say nothing about a project's own functions.
-COMMON_CALLS = """printf fprintf sprintf snprintf scanf sscanf malloc calloc realloc free memcpy memset memmove memcmp strlen strcmp strncmp
-strcpy strncpy strcat assert static_assert print len range enumerate zip map filter sorted reversed list dict set tuple int float str bool
-type super isinstance issubclass hasattr getattr setattr delattr open close input round abs min max sum any all iter next hash id repr ord
-chr hex oct bin format vars dir help eval exec compile append extend insert remove pop clear copy keys values items get update make new nil
-panic recover delete cap println eprintln write writeln vec box rc arc option result some none ok err console log warn error info debug
-require define module exports Math Object Array String Number Boolean Date RegExp Error Promise JSON setTimeout setInterval clearTimeout
-clearInterval main""".split()
+COMMON_CALLS = [
+    "printf", "fprintf", "sprintf", "snprintf", "scanf", "sscanf", "malloc", "calloc", "realloc", "free", "memcpy", "memset", "memmove", "memcmp",
+    "strlen", "strcmp", "strncmp", "strcpy", "strncpy", "strcat", "assert", "static_assert", "print", "len", "range", "enumerate", "zip", "map",
+    "filter", "sorted", "reversed", "list", "dict", "set", "tuple", "int", "float", "str", "bool", "type", "super", "isinstance", "issubclass",
+    "hasattr", "getattr", "setattr", "delattr", "open", "close", "input", "round", "abs", "min", "max", "sum", "any", "all", "iter", "next", "hash",
+    "id", "repr", "ord", "chr", "hex", "oct", "bin", "format", "vars", "dir", "help", "eval", "exec", "compile", "append", "extend", "insert",
+    "remove", "pop", "clear", "copy", "keys", "values", "items", "get", "update", "make", "new", "nil", "panic", "recover", "delete", "cap",
+    "println", "eprintln", "write", "writeln", "vec", "box", "rc", "arc", "option", "result", "some", "none", "ok", "err", "console", "log", "warn",
+    "error", "info", "debug", "require", "define", "module", "exports", "Math", "Object", "Array", "String", "Number", "Boolean", "Date", "RegExp",
+    "Error", "Promise", "JSON", "setTimeout", "setInterval", "clearTimeout", "clearInterval", "main",
+]
 
 #: Statements that end a block's control flow, by language; DEFAULT_TERMINATOR for any other language.
 TERMINATORS = {

@@ -9,19 +9,26 @@ from pyspark.sql import functions as F
 from siltstone.session import written
 
 
+#: Rounds after which the parts of a growing table are written as one.
+COMPACT = 8
+
+
 def _edges(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").filter("src <> dst").distinct()
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(node): the starts and all that they reach; semi-naive, only the last round's nodes are joined again."""
+    """(node): the starts and all that they reach; semi-naive, only the last round's nodes are joined again.  Every
+    ``COMPACT`` rounds what was seen becomes one table again."""
     edges = written(_edges(edges), "edges")
     seen = written(starts.select("node").distinct(), "reach")
-    front = seen
+    front, rounds = seen, 0
     while not front.isEmpty():
         step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        front = written(step.join(seen, "node", "left_anti"), "front")
+        front, rounds = written(step.join(seen, "node", "left_anti"), "front"), rounds + 1
         seen = seen.unionByName(front)
+        if rounds % COMPACT == 0:
+            seen = written(seen, "reach")
     return seen
 
 
@@ -37,21 +44,26 @@ def chains(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def longest_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, depth): edges on the longest path from a node without callers; for graphs without cycles.  A round takes the
-    nodes whose callers all have a depth."""
-    edges = written(_edges(edges), "edges")
-    done = None
-    left = written(nodes.select("node").distinct(), "nodes")
-    depth = 0
-    while not left.isEmpty():
-        blocked = edges.join(left.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        ready = written(left.join(blocked, "node", "left_anti").select("node", F.lit(depth).alias("depth")), "layer")
-        if ready.isEmpty():
+    """(node, depth): edges on the longest path from a node without callers; for graphs without cycles.
+
+    A round takes the nodes that no edge leads to any more and drops them with their edges: what a round reads and writes, one
+    table, is what the earlier ones left.  Edges from what isn't among the nodes don't count."""
+    nodes = written(nodes.select("node").distinct(), "nodes")
+    known = _edges(edges).join(nodes.withColumnRenamed("node", "src"), "src", "left_semi")
+    # A row for each node (without dst) and for each edge, under the node that it leaves.
+    left = nodes.select("node", F.lit(None).cast(known.schema["dst"].dataType).alias("dst")).unionByName(known.select(F.col("src").alias("node"), "dst"))
+    left, done, depth = written(left, "graph"), None, 0
+    while True:
+        blocked = left.filter("dst is not null").select(F.col("dst").alias("node"), F.lit(True).alias("blocked")).distinct()
+        level = written(left.join(blocked, "node", "left").select("node", "dst", F.coalesce("blocked", F.lit(False)).alias("blocked")), "level")
+        free, rest = level.filter("dst is null").agg(F.count_if(~F.col("blocked")), F.count_if("blocked")).first()
+        if rest and not free:
             raise ValueError("the graph has a cycle")
+        ready = level.filter("not blocked and dst is null").select("node", F.lit(depth).alias("depth"))
         done = ready if done is None else done.unionByName(ready)
-        left = written(left.join(ready, "node", "left_anti"), "left")
-        depth += 1
-    return done if done is not None else nodes.select("node", F.lit(0).alias("depth"))
+        if not rest:
+            return done
+        left, depth = level.filter("blocked").drop("blocked"), depth + 1
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

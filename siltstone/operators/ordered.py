@@ -45,6 +45,13 @@ def fixed_batches(df: DataFrame, partition: list[str], order: list[str], size: i
     return n.withColumn("batch", F.expr(f"cast(_n div {size} as int)")).withColumn("place", F.col("_n") % size).drop("_n")
 
 
+def earlier(df: DataFrame, partition: list[str], order: Column, value: str) -> DataFrame:
+    """Add earlier and best: how many rows of the partition come strictly before this one, and the largest value among them
+    (null without any).  order: a long; rows of one place don't count for each other.  A running window, no pairs of rows."""
+    before = Window.partitionBy(*partition).orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("_at", order).withColumns({"earlier": F.count("_at").over(before), "best": F.max(value).over(before)}).drop("_at")
+
+
 def indexed_batches(df: DataFrame, partition: list[str], order: list[str], size: int) -> DataFrame:
     """``fixed_batches`` with batch_index, the batch's number over all partitions in their order, from 0.  The partitions'
     numbers of batches are summed up, a row each; the rows themselves aren't sorted as a whole."""

@@ -206,3 +206,21 @@ def indexed_batches(t):
     """Batches of seven lines a supplier, numbered through all suppliers."""
     out = O.indexed_batches(t.lineitem, ["l_suppkey"], ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"], 7)
     return out.groupBy("l_suppkey", "batch", "batch_index").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_order"))
+
+
+_PLACES = ["a", "a.b", "a.b.n", "a.c.x", "a.c.y", "k", "z"]
+
+
+@query(f"""select c_custkey, {", ".join(f"json_extract_string(m, '$.{p}') as " + p.replace(".", "_") for p in _PLACES[1:])}, json_type(m, '$.a') = 'OBJECT' as inner from (select c_custkey,
+json_merge_patch('{{"a":{{"b":' || c_nationkey || ',"c":{{"x":[1,' || c_custkey || ']}}}},"k":"' || c_mktsegment || '"}}',
+case c_custkey % 4 when 0 then '{{}}' when 1 then '{{"a":{{"c":{{"x":2,"y":{{"z":' || c_custkey || '}}}}}}}}' when 2 then '{{"a":{{"b":{{"n":"' || c_name || '"}}}},"z":true}}' else '{{"a":7}}' end) m from customer)""")
+def merged_settings(t):
+    """A customer's settings laid over those of its nation and segment."""
+    from siltstone.operators.documents import deep_merged
+
+    base = F.format_string('{"a": {"c": {"x": [1, %d]}, "b": %d}, "k": "%s"}', "c_custkey", "c_nationkey", "c_mktsegment")
+    kind = F.col("c_custkey") % 4
+    overlay = F.when(kind == 0, "{}").when(kind == 1, F.format_string('{"a": {"c": {"y": {"z": %d}, "x": 2}}}', "c_custkey")).when(kind == 2, F.format_string('{"z": true, "a": {"b": {"n": "%s"}}}', "c_name")).otherwise('{"a": 7}')
+    merged = deep_merged(t.customer.select("c_custkey", base.alias("base"), overlay.alias("overlay")), "c_custkey", "base", "overlay")
+    places = [F.get_json_object("json", f"$.{p}").alias(p.replace(".", "_")) for p in _PLACES[1:]]
+    return merged.select("c_custkey", *places, F.get_json_object("json", "$.a").startswith("{").alias("inner"))

@@ -8,6 +8,7 @@ from siltstone.functions import expressions as X
 from siltstone.operators import aggregates as A
 from siltstone.operators import ordered as O
 from siltstone.operators import relations as R
+from siltstone.operators import reports as S
 from siltstone.plans.registry import query
 
 
@@ -209,8 +210,8 @@ def candidate_pending(t):
 
 @query("select count(*) total_reported, count(*) filter (toxic = 1) total_confirmed, count(*) filter (toxic = 0) total_not_confirmed, count(*) filter (l.doc_id is null) total_pending from documents d left join labels l using (doc_id)")
 def validation_summary(t):
-    s = t.documents.select("doc_id").join(t.labels, "doc_id", "left")
-    return s.agg(F.count("*").alias("total_reported"), F.count_if(F.col("toxic") == 1).alias("total_confirmed"), F.count_if(F.col("toxic") == 0).alias("total_not_confirmed"), F.count_if(F.col("toxic").isNull()).alias("total_pending"))
+    bugs = t.documents.select("doc_id").join(t.labels, "doc_id", "left").select(F.when(F.col("toxic") == 1, "confirmed").when(F.col("toxic") == 0, "not_confirmed").otherwise("pending").alias("status"))
+    return S.summary(bugs).drop("total_error")
 
 
 @query("select doc_id, source from documents join labels using (doc_id) where toxic = 1")
@@ -220,8 +221,9 @@ def confirmed_only(t):
 
 @query("""select b.o_orderkey, count(*) earlier, max(a.o_totalprice) best from orders b join orders a on a.o_custkey = b.o_custkey and a.o_orderdate < b.o_orderdate group by 1""")
 def earlier_layer_context(t):
-    a = t.orders.select("o_custkey", F.col("o_orderdate").alias("_d"), F.col("o_totalprice").alias("_p"))
-    return t.orders.join(a, "o_custkey").filter("_d < o_orderdate").groupBy("o_orderkey").agg(F.count("*").alias("earlier"), F.max("_p").alias("best"))
+    """What earlier orders of the same customer there are."""
+    at = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    return O.earlier(t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"), ["o_custkey"], at, "o_totalprice").filter("earlier > 0").select("o_orderkey", "earlier", "best")
 
 
 @query("""with w as (select p_partkey, unnest(string_split(p_name, ' ')) word, unnest(range(1, len(string_split(p_name, ' ')) + 1)) pos from part), v as (select distinct lower(split_part(p_type, ' ', 1)) name from part)
