@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.bytescan import Hasher, byte_table, mix
-from siltstone.llm.common import batches, broadcast_if_small, docs_of, release, table, written
+from siltstone.llm.common import batches, broadcast_if_small, discard, docs_of, release, table, written
 
 GRAM = 20
 V = 16
+#: Bits of a gram's hash that hold a distance while the least gram is looked for; windows have fewer grams than this.
+DISTANCE = 4095
 
 #: Anchors held by a task before it sends them on; anchors in a bucket of step 1 on average; strips of a block (a bucket
 #: is not cut); strips from which an anchor is split by window.
@@ -32,7 +34,7 @@ HELD = 1_000_000
 BUCKET = 400_000
 BLOCK = 25_000
 HOT = 50_000
-#: Ranges of anchors whose strips are shuffled and sorted one after the other: disk holds one range's strips at a time.
+#: Ranges of anchors whose strips are shuffled and sorted one after the other.
 PASSES = 3
 
 
@@ -50,24 +52,26 @@ def strips(data, offsets, hasher: Hasher, length: int):
     import numpy as np
 
     width, n = length - GRAM + 1, len(data)
+    if width > DISTANCE:
+        raise ValueError(f"length is at most {DISTANCE + GRAM - 1}")
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none, np.zeros(0, np.uint64)
     prefix = hasher.prefix(data)
     gram = mix((prefix[GRAM:] - prefix[:-GRAM]) * hasher.inverse[: n - GRAM + 1])
-    least, at, span = gram, np.arange(len(gram), dtype=np.int32), 1
+    # The least gram of each window and how far from the window's start it is, in one number: its low bits hold the distance.
+    least, span = gram & np.uint64(~DISTANCE & (1 << 64) - 1), 1
     while span < width:
         step = min(span, width - span)
-        right = least[step:] < least[:-step]
-        at = np.where(right, at[step:], at[:-step])
-        least = np.where(right, least[step:], least[:-step])
+        least = np.minimum(least[:-step], least[step:] + np.uint64(step))
         span += step
+    at = np.arange(len(least)) + (least & np.uint64(DISTANCE)).astype(np.int64)
     ends = np.repeat(offsets[1:], np.diff(offsets))[: len(at)]
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
     good = np.flatnonzero(np.arange(len(at)) + length <= ends)
     if not len(good):
         return none, none, none, none, np.zeros(0, np.uint64)
-    a = at[good].astype(np.int64)
+    a = at[good]
     new = np.ones(len(good), bool)
     new[1:] = (a[1:] != a[:-1]) | (doc[good][1:] != doc[good][:-1])
     first = np.flatnonzero(new)
@@ -175,7 +179,7 @@ def _repeated(packed: DataFrame) -> DataFrame:
     return packed.mapInArrow(run, "doc_id long, x long, at int, h long")
 
 
-_FLOW = "key long, kind int, doc_id long, x long, first int, size int, strip binary"
+_FLOW = "turn int, key long, kind int, doc_id long, x long, first int, size int, strip binary"
 
 
 def part_unequal(new, order, strip) -> None:
@@ -185,8 +189,8 @@ def part_unequal(new, order, strip) -> None:
             new[k] = True
 
 
-def _strips(docs: DataFrame, length: int, hot, turn: int) -> DataFrame:
-    """docs: (doc_id, x, text, ats).  Rows of _FLOW: kind 0 a strip of the task's first document with it, kind 1 a strip
+def _strips(docs: DataFrame, length: int, hot) -> DataFrame:
+    """docs: (doc_id, x, text, ats).  Rows of _FLOW, turn being the anchor's range: kind 0 a strip of the task's first document with it, kind 1 a strip
     that an earlier document of this task has as well (no bytes)."""
 
     def run(it):
@@ -211,21 +215,22 @@ def _strips(docs: DataFrame, length: int, hot, turn: int) -> DataFrame:
             later = doc[order] > least
             kept = order[~later]  # of the first document with it, wherever it has it
             done = order[later]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            names = ["key", "kind", "doc_id", "x", "first", "size", "strip"]
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            names = ["turn", "key", "kind", "doc_id", "x", "first", "size", "strip"]
             for i, kind in ((kept, 0), (done, 1)):
                 for k in range(0, len(i), 8192):
                     j = i[k : k + 8192]
                     body = [texts[source[q]][start[q] : start[q] + size[q]] for q in j] if kind == 0 else [None] * len(j)
                     keys = key[j] if kind == 0 else mix(doc[j].view(np.uint64)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((keys, np.full(len(j), kind), doc[j], x[j], first[j], size[j], body), kinds, strict=True)], names=names)
+                    turn = (keys.view(np.uint64) % np.uint64(PASSES)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((turn, keys, np.full(len(j), kind), doc[j], x[j], first[j], size[j], body), kinds, strict=True)], names=names)
 
         total = 0
         for batch, lo, hi, data, offsets in batches(it, 1 << 18):
             doc, window, count, anchor, h = strips(data, offsets, hasher, length)
             ats = batch.column("ats").slice(lo, hi - lo)
             where = np.repeat(offsets[:-1], np.asarray(ats.value_lengths())) + np.asarray(ats.flatten())
-            take = np.isin(anchor, where) & (h % np.uint64(PASSES) == turn)
+            take = np.isin(anchor, where)
             doc, window, count, h = doc[take], window[take], count[take], h[take].view(np.int64)
             if not len(doc):
                 continue
@@ -267,7 +272,7 @@ def repeated_windows(key, doc, body: list, length: int):
     # The anchor: the least 20-gram of the first window.
     grid = at[:-1][:, None] + np.arange(length - GRAM + 1)[None]
     gram = mix((prefix[grid + GRAM] - prefix[grid]) * hasher.inverse[grid])
-    lead = (-gram.argmin(1)) % V
+    lead = (-(gram & np.uint64(~DISTANCE & (1 << 64) - 1)).argmin(1)) % V
     room = (lead + sizes + 4 * V + V - 1) // V * V
     base = np.concatenate([[0], np.cumsum(room)])
     text = np.zeros(int(base[-1]) + 8 * V, np.uint8)
@@ -413,14 +418,17 @@ def repeated_spans(documents: DataFrame, length: int = 50, hot: int = HOT) -> tu
     crowded = [r["h"] for r in found.groupBy("h").count().filter(F.col("count") > hot).select("h").collect()]  # at most rows / hot
     hashes = spark.sparkContext.broadcast(crowded)
     ats = found.groupBy("doc_id", "x").agg(F.collect_list("at").alias("ats"))
+    rich = docs.filter("not copy").select("doc_id", "x", "text").join(ats, ["doc_id", "x"])
+    flow = written(_strips(rich, length, hashes), "strips")
+    del rich, ats
+    release(spark)
     ranges = None
     for turn in range(PASSES):
-        rich = docs.filter("not copy").select("doc_id", "x", "text").join(ats, ["doc_id", "x"])
-        flow = _strips(rich, length, hashes, turn).repartition("key").sortWithinPartitions("key")
-        part = written(_sorted_blocks(flow, length), "ranges")
+        own = flow.filter(F.col("turn") == turn).drop("turn")
+        part = written(_sorted_blocks(own.repartition("key").sortWithinPartitions("key"), length), "ranges")
         ranges = part if ranges is None else ranges.unionByName(part)
-        del flow, rich
         release(spark)
+    discard(flow)
     spans = ranges.groupBy("doc_id", "x").agg(F.array_sort(F.collect_list(F.struct("first", (F.col("first") + F.col("size")).alias("end")))).alias("ranges"))
     return docs, spans
 
