@@ -1,19 +1,20 @@
-"""Telemetry as a stream: counters, request matching, count windows, readiness; each ends equal to its batch form."""
+"""Telemetry as a stream: counters and windows by time and count.  Each is run once, to the end of what there is, and ends
+equal to its batch form; ``durable`` has the streams that resume."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.session import written
+from siltstone.session import shared_dir
+from siltstone.streaming.durable import match_requests, watch_ready  # noqa: F401  they belong to telemetry, too
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    written(spark.range(1), "probe") if not spark.conf.get("spark.checkpoint.dir", None) else None
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/siltstone/{name}-{uuid.uuid4().hex}"
+    """A new folder for one run of a stream."""
+    return f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, path: str, format: str = "parquet", schema=None) -> DataFrame:
@@ -68,7 +69,7 @@ def windows(events: DataFrame, time: str, late: str = "10 minutes", width: str =
 
 
 def last_n_per_batch(stream: DataFrame, order: list[str], n: int, name: str) -> DataFrame:
-    """A window by count: after each batch the newest n rows of all so far.  State is those n rows."""
+    """A window by count: after each batch of this run the newest n rows of all so far.  State is those n rows."""
     from siltstone.operators.ordered import last_n
 
     spark, place, state = stream.sparkSession, shared(stream.sparkSession, name), {}
@@ -80,52 +81,3 @@ def last_n_per_batch(stream: DataFrame, order: list[str], n: int, name: str) ->
 
     stream.writeStream.foreachBatch(keep).option("checkpointLocation", place + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(state["at"]) if state else spark.createDataFrame([], stream.schema)
-
-
-def match_requests(stream: DataFrame, forget_seconds: int = 3600) -> DataFrame:
-    """Responses with the model of the last earlier request of their (file, id).  stream: (file, id, kind, at, model), at in
-    seconds.  A key's request is forgotten when the newest records of the stream are ``forget_seconds`` later than the key's
-    last one, and records that come so late are left out: state is bounded by event time, and a drained stream ends."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        *known, newest = state.get if state.exists else (None, None, 0.0)
-        out = []
-        for f in frames:
-            for r in f.sort_values(["at", "kind"]).itertuples():
-                if r.kind == "request":
-                    known = (float(r.at), r.model)
-                else:
-                    model = r.model if isinstance(r.model, str) else known[1]
-                    out.append((key[0], key[1], float(r.at), known[0], model))
-            newest = max(newest, float(f["at"].max()))
-        state.update((*known, newest))
-        state.setTimeoutTimestamp(max(int(newest * 1000), state.getCurrentWatermarkMs()) + forget_seconds * 1000)
-        yield pd.DataFrame(out, columns=["file", "id", "at", "request_at", "model"])
-
-    timed = stream.withColumn("time", F.timestamp_seconds("at")).withWatermark("time", f"{forget_seconds} seconds")
-    return timed.groupBy("file", "id").applyInPandasWithState(
-        step, "file string, id string, at double, request_at double, model string", "request_at double, model string, newest double", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def watch_ready(stream: DataFrame, expected: DataFrame, handle: Callable[[DataFrame], None], name: str) -> bool:
-    """Hand each ready and expected file on once, in batches; true when all that is expected was handed on.  What was handled
-    is kept in the shared folder, so a restart goes on where it stopped."""
-    spark, place = stream.sparkSession, shared(stream.sparkSession, name)
-    done = {"parts": []}
-
-    def step(batch: DataFrame, i: int):
-        new = batch.select("file").distinct().join(expected, "file", "left_semi")
-        if done["parts"]:
-            new = new.join(spark.read.parquet(*done["parts"]), "file", "left_anti")
-        new.write.mode("overwrite").parquet(f"{place}/{i}")
-        done["parts"].append(f"{place}/{i}")
-        handle(spark.read.parquet(f"{place}/{i}"))
-
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", place + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return bool(done["parts"]) and expected.join(spark.read.parquet(*done["parts"]), "file", "left_anti").isEmpty()
