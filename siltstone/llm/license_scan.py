@@ -9,6 +9,8 @@ them and is split.  Every hit is confirmed on its words.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,21 +177,31 @@ def _quoted(text: str) -> str:
 
 ORACLE = rf"""
 with t as (select * from (values {", ".join(f"({i}, {_quoted(a)}, {_quoted(b)})" for i, (a, b) in enumerate(TEMPLATES))}) v(template, label, text)),
-tw as (select template, label, list_filter(string_split_regex(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') w from t),
+tw as (select template, label, list_filter(string_split_regex(translate(text, '{ascii_uppercase}', '{ascii_lowercase}'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') w from t),
 tg as (select template, label, len(w) - {GRAM - 1} grams, unnest(range(0, len(w) - {GRAM - 1})) "at", w from tw),
 tk as (select template, label, grams, "at", array_to_string(w["at" + 1:"at" + {GRAM}], ' ') g from tg),
-d as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents where doc_id is not null),
+d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents where doc_id is not null),
 p as (select doc_id, w, unnest(range(0, len(w))) i from d),
 b as (select doc_id, i, case when w[i + 1] = 'mit' and w[i + 2] = 'license' then 'mit' when w[i + 1] = 'apache' and w[i + 2] = 'license' then 'apache'
         when w[i + 1] = 'general' and w[i + 2] = 'public' and w[i + 3] = 'license' then 'gpl' end l from p),
 ba as (select doc_id, count(*) n_base, min(i) first_word, max(i) last_word, list(distinct l) ls from b where l is not null group by 1),
 h as (select p.doc_id, template, label, grams, i pos, i - "at" diagonal from p join tk on array_to_string(p.w[i + 1:i + {GRAM}], ' ') = g where i + {GRAM} <= len(p.w)),
-v as (select doc_id, template, label, grams, diagonal, count(*) votes, min(pos) lo, max(pos) hi from h group by all),
+v as (select doc_id, template, label, grams, diagonal, list(distinct pos) "at", count(distinct pos) votes, min(pos) lo, max(pos) hi from h group by all),
 m as (select *, case when diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) <= {DRIFT} then 0 else 1 end new from v),
 g as (select *, sum(new) over (partition by doc_id, template order by diagonal rows unbounded preceding) span from m),
-s as (select doc_id, label, template, grams, sum(votes) votes, min(lo) f, max(hi) + {GRAM} e from g group by doc_id, label, template, grams, span),
-k as (select doc_id, list(distinct label) ls, max(least(1.0, votes / grams)) c, count(*) n_spans from s
-      where 100 * votes >= {COVERED} * grams and 100 * (e - f) <= {STRETCH} * (grams + {GRAM - 1}) group by 1)
+gp as (select doc_id, template, label, grams, span, diagonal, votes, hi, 100 * votes >= {COVERED} * grams alone, unnest("at") pos from g),
+sp as (select doc_id, template, span, count(distinct pos - diagonal) votes, min(pos) f, max(pos) + {GRAM} e from gp group by all having 100 * count(distinct pos - diagonal) >= {COVERED} * any_value(grams)),
+lo as (select gp.* from gp join sp using (doc_id, template, span) where 100 * (e - f) > {STRETCH} * (grams + {GRAM - 1})),
+lf as (select *, sum(alone::int) over w found, max(case when alone then hi end) over w until from lo window w as (partition by doc_id, template, span order by pos, alone desc, diagonal rows unbounded preceding)),
+lb as (select *, pos - diagonal place from lf where not alone and (until is null or pos > until) qualify row_number() over (partition by doc_id, template, span, pos order by votes desc, diagonal) = 1),
+ln as (select *, case when place > lag(place) over w and found = lag(found) over w then 0 else 1 end new from lb window w as (partition by doc_id, template, span order by pos)),
+lp as (select *, sum(new) over (partition by doc_id, template, span order by pos rows unbounded preceding) piece from ln),
+ls as (select x.doc_id, x.template, x.span, x.label, x.grams, x.piece, x.pos f, count(*) votes, max(y.pos) + {GRAM} e from lp x join lp y using (doc_id, template, span, piece)
+      where y.pos >= x.pos and 100 * (y.pos + {GRAM} - x.pos) <= {STRETCH} * (x.grams + {GRAM - 1}) group by all),
+s as (select distinct doc_id, label, template, grams, span, sp.votes from g join sp using (doc_id, template, span) where 100 * (e - f) <= {STRETCH} * (grams + {GRAM - 1})
+  union all select distinct doc_id, label, template, grams, span + diagonal / 1e9, votes from lo where alone
+  union all select doc_id, label, template, grams, span + piece / 1e9, votes from ls where 100 * votes >= {COVERED} * grams qualify row_number() over (partition by doc_id, template, span, piece order by votes desc, f) = 1),
+k as (select doc_id, list(distinct label) ls, max(least(1.0, votes / grams)) c, count(*) n_spans from s group by 1)
 select d.doc_id, len(d.w)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word::bigint first_word, last_word::bigint last_word,
   coalesce(array_to_string(list_sort(ba.ls), ','), '') base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(ba.ls, []), coalesce(k.ls, [])))), ','), '') labels,

@@ -385,3 +385,31 @@ def test_license_scan_of_more_templates_than_are_told(spark, monkeypatch):
     told = sorted(map(tuple, license_scan.license_scan(docs(spark, rows)).collect()))
     monkeypatch.setattr(license_scan, "TOLD", 3)
     assert sorted(map(tuple, license_scan.license_scan(docs(spark, rows)).collect())) == told
+
+
+def test_license_scan_equals_its_statement_on_repeated_and_partial_notices(spark):
+    import duckdb
+
+    rnd, rows = random.Random(8), []
+    for i in range(250):
+        parts: list = []
+        for _ in range(rnd.randrange(1, 6)):
+            words = rnd.choice(license_scan.TEMPLATES)[1].split()
+            if rnd.random() < 0.5:
+                a = rnd.randrange(len(words))
+                words = words[a:] + rnd.choice([[], words[:a]])
+            if rnd.random() < 0.5:
+                words = words[: rnd.randrange(1, len(words) + 1)]
+            for _ in range(rnd.randrange(4)):
+                words.insert(rnd.randrange(len(words)), "zz")
+            parts += words * rnd.choice([1, 1, 2, 3]) + ["x"] * rnd.randrange(6)
+        rows.append((i, " ".join(parts), "s"))
+    rows += [(1000, None, "s"), (1001, "", "s"), (1002, "MIT LICENSE É", "s")]
+    found = license_scan.license_scan(docs(spark, rows))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [r[:2] for r in rows])
+    want = con.sql(license_scan.ORACLE).select(", ".join(found.columns)).fetchall()
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert sum(r[-1] > 2 for r in got) > 50
