@@ -413,3 +413,32 @@ def test_license_scan_equals_its_statement_on_repeated_and_partial_notices(spark
     got = [tuple(r) for r in found.collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert sum(r[-1] > 2 for r in got) > 50
+
+
+def test_token_log_odds_equal_plain_counts(spark):
+    import math
+    from collections import Counter
+
+    rnd, rows = random.Random(11), []
+    words = ["ab", "Abc", "abcd", "abcdefgh", "naïveté", "日本語日本語", "x1", "abcdefghij"] + [f"word{i}" for i in range(30)]
+    for i in range(200):
+        rows.append((rnd.choice([" ", "-", ", "]).join(rnd.choices(words[: 8 + i % 30], k=rnd.randrange(12))), int(rnd.random() < 0.3)))
+    rows += [(None, 1), ("", 0), ("ab ab AB", 1)]
+    counts = {0: Counter(), 1: Counter()}
+    for text, y in rows:
+        found = {w for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())}
+        counts[y].update(found | {(n, w[:n]) for w in found for n in toxicity.PREFIXES if len(w) > n})
+    total, prior = {y: sum(c.values()) for y, c in counts.items()}, toxicity.PRIOR
+    share, want = total[1] / (total[0] + total[1]), []
+    for token in counts[0] | counts[1]:
+        n = {y: counts[y][token] for y in (0, 1)}
+        a = prior * (n[0] + n[1]) / (total[0] + total[1])
+        odds = {y: math.log((n[y] + a) / (total[y] + prior - n[y] - a)) for y in (0, 1)}
+        ratio = sum(n[y] * math.log(n[y] / ((n[0] + n[1]) * q)) for y, q in ((1, share), (0, 1 - share)) if n[y])
+        delta = odds[1] - odds[0]
+        want.append((n[1], n[0], delta, math.copysign(math.sqrt(max(0.0, 2 * ratio)), delta)))
+    labelled = spark.createDataFrame([(t or "", y) for t, y in rows], "text string, y int").repartition(3)
+    got = [(r.n1, r.n0, r.odds, r.z) for r in toxicity.token_log_odds(labelled).collect()]
+    assert len(got) == len(want) > 40
+    for g, w in zip(sorted(got), sorted(want), strict=True):
+        assert g == pytest.approx(w, abs=1e-9)
