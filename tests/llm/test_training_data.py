@@ -442,3 +442,29 @@ def test_token_log_odds_equal_plain_counts(spark):
     assert len(got) == len(want) > 40
     for g, w in zip(sorted(got), sorted(want), strict=True):
         assert g == pytest.approx(w, abs=1e-9)
+
+
+def test_line_features_equal_plain_ones():
+    import math
+
+    import numpy as np
+
+    from siltstone.llm.bytescan import Hasher, byte_table
+
+    rnd = random.Random(12)
+    pieces = ["Word", "word", "word word", "12", "x3!", "#", "$ %", "é", "Ä!", "|", ". ", "\t", "end.", "?", "\n", "\n\n", "日本"]
+    texts = ["".join(rnd.choices(pieces, k=rnd.randrange(14))) for _ in range(200)] + ["", "\n", " ", "same\nsame\nsame"]
+    raw = [t.encode() for t in texts]
+    x, at, size = quality_crf.line_features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), Hasher(byte_table()))
+    within = lambda line, *ranges: sum(any(a <= b <= z for a, z in ranges) for b in line)
+    for i, text in enumerate(raw):
+        lines, want = [line for line in text.split(b"\n") if line.split()], []
+        for k, line in enumerate(lines):
+            w, n, b = line.split(), len(line.split()), len(line)
+            want.append([
+                math.log1p(n), math.log1p(b), sum(map(len, w)) / n, within(line, (65, 90)) / b, within(line, (48, 57)) / b, sum(c in b"#*$%&<>" for c in line) / b,
+                within(line, (33, 47), (58, 64), (91, 96), (123, 126)) / b, within(line, (128, 255)) / b, line.count(b"!") / n, line.count(b"|") / n,
+                float(65 <= w[0][0] <= 90 or w[0][0] >= 128), float(w[-1][-1] in b".!?"), len(set(w)) / n, sum(a == z for a, z in zip(w, w[1:], strict=False)) / n, float(line in lines[:k]),
+            ])
+        assert x[at[i] : at[i + 1]] == pytest.approx(np.array(want).reshape(-1, 15), abs=1e-12)
+        assert size[at[i] : at[i + 1]].tolist() == [len(line) for line in lines]
