@@ -95,6 +95,12 @@ def top_k(df: DataFrame, partition: list[str], order: list[Column], k: int, out:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).filter(F.col(out) <= k)
 
 
+def marked_top(df: DataFrame, partition: list[str], order: list[Column], k: int) -> DataFrame:
+    """Every row with its 1-based rank in the partition and ``marked``: whether it is one of the first k."""
+    rank = F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
+    return df.withColumn("rank", rank).withColumn("marked", F.col("rank") <= k)
+
+
 def rank_in(value: Column, order: list[str], otherwise: int = 99) -> Column:
     """Place of a value in a fixed list; others last."""
     out = F.lit(otherwise)

@@ -119,6 +119,47 @@ def in_order(items: DataFrame) -> DataFrame:
     return items.orderBy("kind", rank, "id")
 
 
+#: Places of statuses in a list sorted by status, bugs before analyses; others come last.
+STATUS_PLACES = {"confirmed": 0, "not_confirmed": 1, "error": 2, "pending": 3, "MATCH": 10, "MISMATCH": 11, "ERROR": 12, "SKIPPED": 13}
+
+
+def utf16_key(text):
+    """A text that sorts as the UTF-16 units of ``text`` do, as lists in browsers are sorted."""
+    return F.hex(F.encode(text, "UTF-16BE"))
+
+
+def sort_key(by: str):
+    """The key that puts items in order by status, file, function or location, ties by kind and id: a struct to sort by.
+    Items without a location follow the others, in the report's own order; a location may have lines before and after."""
+    rank = F.when(F.col("kind") == "analysis", rank_in(F.col("status"), ORDER["analysis"])).otherwise(rank_in(F.col("status"), ORDER["bug"]))
+    first_line = F.nullif(F.regexp_extract("location", r"L(\d+)", 1), F.lit("")).cast("long")
+    place = F.lit(99)
+    for status, n in STATUS_PLACES.items():
+        place = F.when(F.col("status") == status, n).otherwise(place)
+    own = {
+        "status": [place], "file": [utf16_key(F.coalesce("source_file", F.lit("")))], "function": [utf16_key(F.coalesce("function_name", F.lit("")))],
+        "location": [F.coalesce(first_line, F.lit((1 << 63) - 1)), F.when(first_line.isNull(), F.struct(F.col("kind"), rank.alias("rank")))],
+    }
+    if by not in own:
+        raise ValueError(f"items are sorted by {', '.join(own)}")
+    return F.struct(*(c.alias(f"k{i}") for i, c in enumerate(own[by])), utf16_key(F.col("kind")).alias("kind"), utf16_key(F.col("id")).alias("id"))
+
+
+def sorted_items(items: DataFrame, by: str = "status") -> DataFrame:
+    """Add ``place``, from 1, of each item in that order; see ``sort_key``."""
+    from siltstone.operators.ordered import renumber
+
+    return renumber(items.withColumn("_key", sort_key(by)), "_key", "place").drop("_key")
+
+
+def summary_document(bugs: DataFrame):
+    """One row (json): the totals and the bugs, confirmed ones first, then not confirmed, errors and others, by id.
+    bugs: (id, status, ...).  For summaries, which people read whole."""
+    order = F.struct(rank_in(F.col("status"), ORDER["bug"][:3], 3).alias("o"), F.coalesce("id", F.lit("")).alias("i"), F.struct(*bugs.columns).alias("bug"))
+    totals = [F.count("*").alias("total_reported"), *(F.count_if(F.col("status") == x).alias(f"total_{x}") for x in ORDER["bug"][:3])]
+    return bugs.agg(*totals, F.transform(F.array_sort(F.collect_list(order)), lambda x: x["bug"]).alias("bugs")).select(F.to_json(F.struct("total_reported", "total_confirmed", "total_not_confirmed", "total_error", "bugs")).alias("json"))
+
+
 def options(items: DataFrame, column: str) -> DataFrame:
-    """Distinct values that aren't empty, sorted."""
-    return items.select(column).filter(f"{column} <> ''").distinct().orderBy(column)
+    """Distinct values that aren't empty, in the order of their UTF-16 units."""
+    return items.select(column).filter(f"{column} <> ''").distinct().orderBy(utf16_key(F.col(column)))

@@ -224,3 +224,40 @@ def merged_settings(t):
     merged = deep_merged(t.customer.select("c_custkey", base.alias("base"), overlay.alias("overlay")), "c_custkey", "base", "overlay")
     places = [F.get_json_object("json", f"$.{p}").alias(p.replace(".", "_")) for p in _PLACES[1:]]
     return merged.select("c_custkey", *places, F.get_json_object("json", "$.a").startswith("{").alias("inner"))
+
+
+_ITEMS = """(select case when doc_id % 3 = 0 then 'analysis' else 'bug' end kind, doc_id::varchar id, case when doc_id % 3 = 0 then ['MATCH', 'ERROR', 'odd'][(doc_id % 3 + doc_id % 2 + 1)::int] else ['confirmed', 'pending', 'error'][(doc_id % 3)::int] end status,
+source source_file, case when doc_id % 7 > 0 then 'L' || n_chars % 50 end loc, case when doc_id % 7 > 0 then n_chars % 50 end l from documents)"""
+_RANK = "case status when 'MATCH' then 0 when 'ERROR' then 2 when 'confirmed' then 0 when 'error' then 2 when 'pending' then 3 else 99 end"
+
+
+@query(f"""select 'status' as sorted_by, id, row_number() over (order by case status when 'confirmed' then 0 when 'error' then 2 when 'pending' then 3 when 'MATCH' then 10 when 'ERROR' then 12 else 99 end, kind, id) as place from {_ITEMS}
+union all select 'file', id, row_number() over (order by source_file, kind, id) from {_ITEMS}
+union all select 'location', id, row_number() over (order by l nulls last, case when l is null then kind end, case when l is null then {_RANK} end, kind, id) from {_ITEMS}""")
+def sorted_report(t):
+    """Places of report items under each order that a reader can choose."""
+    n = F.col("doc_id")
+    analysis = F.element_at(F.array(*map(F.lit, ("MATCH", "ERROR", "odd"))), (n % 3 + n % 2 + 1).cast("int"))
+    bug = F.when(n % 3 > 0, F.element_at(F.array(*map(F.lit, ("confirmed", "pending", "error"))), F.greatest(F.lit(1), n % 3).cast("int")))
+    items = t.documents.select(
+        F.when(n % 3 == 0, "analysis").otherwise("bug").alias("kind"), n.cast("string").alias("id"), F.when(n % 3 == 0, analysis).otherwise(bug).alias("status"), F.col("source").alias("source_file"),
+        F.lit("f").alias("function_name"), F.when(n % 7 > 0, F.concat(F.lit("f.c:L"), (F.col("n_chars") % 50).cast("string"), F.lit("-L99"))).alias("location"),
+    )
+    one = lambda by: S.sorted_items(items, by).select(F.lit(by).alias("sorted_by"), "id", F.col("place").cast("long").alias("place"))
+    return one("status").unionByName(one("file")).unionByName(one("location"))
+
+
+@query("""with b as (select doc_id::varchar id, case when toxic = 1 then 'confirmed' when quality = 1 then 'not_confirmed' when doc_id % 2 = 0 then 'error' end status from labels)
+select count(*) n, count(*) filter (status = 'confirmed') confirmed, count(*) filter (status = 'error') errors, string_agg(id, ',' order by case status when 'confirmed' then 0 when 'not_confirmed' then 1 when 'error' then 2 else 3 end, id) ids from b""")
+def summary_documents(t):
+    """The summary's document, read back: totals and bugs in its order."""
+    status = F.when(F.col("toxic") == 1, "confirmed").when(F.col("quality") == 1, "not_confirmed").when(F.col("doc_id") % 2 == 0, "error")
+    doc = S.summary_document(t.labels.select(F.col("doc_id").cast("string").alias("id"), status.alias("status")))
+    parsed = doc.select(F.from_json("json", "total_reported long, total_confirmed long, total_error long, bugs array<struct<id: string>>").alias("d"))
+    return parsed.select(F.col("d.total_reported").alias("n"), F.col("d.total_confirmed").alias("confirmed"), F.col("d.total_error").alias("errors"), F.array_join("d.bugs.id", ",").alias("ids"))
+
+
+@query("select p_partkey, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as rank, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) <= 5 as marked from part")
+def marked_ranks(t):
+    """A file's functions by score, the first five marked."""
+    return O.marked_top(t.part, ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 5).select("p_partkey", F.col("rank").cast("long").alias("rank"), "marked")
