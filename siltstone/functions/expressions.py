@@ -221,3 +221,15 @@ def terminal_validation(record: str, key: str) -> Column:
 def search(query: str, *fields: str) -> Column:
     """Whether fields joined by spaces contain the query, whatever the case."""
     return F.contains(F.lower(F.concat_ws(" ", *(F.coalesce(F.col(f), F.lit("")) for f in fields))), F.lit(query.strip().lower()))
+
+
+def node_end_line(start_line: Column, end_line: Column, end_column: Column) -> Column:
+    """The last line of a syntax node: one that ends at column 0 of a later line ends with the line before."""
+    return F.when((end_column == 0) & (end_line > start_line), end_line - 1).otherwise(end_line)
+
+
+def phase_value(columns: Column, phase: Column, ending: str = "_callers") -> Column:
+    """The entry phase<n><ending> of a map, or else its first one of any phase with that ending; null without one."""
+    exact = F.concat(F.lit("phase"), phase.cast("string"), F.lit(ending))
+    other = F.get(F.filter(F.map_keys(columns), lambda k: k.startswith("phase") & k.endswith(ending)), F.lit(0))
+    return F.when(F.map_contains_key(columns, exact), F.element_at(columns, exact)).otherwise(F.element_at(columns, other))

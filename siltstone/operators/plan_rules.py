@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions import artifacts as A
 from siltstone.functions import expressions as X
 from siltstone.operators.ordered import renumber
 
@@ -15,6 +16,19 @@ def one_owner(plan: DataFrame) -> DataFrame:
     return first.select(F.col("_o.phase").alias("phase"), F.col("_o.module").alias("module"), F.col("_o.at").alias("at"), "path")
 
 
+def phase_functions(plan: DataFrame, extracted: DataFrame) -> DataFrame:
+    """(phase, module, at, path, file): the extracted files of each listed source, metadata files left out; a source listed in
+    several phases has its files in each.  plan: (phase, module, at, path); extracted: (file)."""
+    files = extracted.filter(~A.is_sidecar(F.col("file"))).select("file", A.source_of(F.col("file")).alias("path")).distinct()
+    return plan.join(files, "path").select("phase", "module", "at", "path", "file")
+
+
+def first_listed(functions: DataFrame) -> DataFrame:
+    """The rows of ``phase_functions``, each file once: in the phase and at the place that come first."""
+    first = functions.groupBy("file").agg(F.min(F.struct("phase", "at", "module", "path")).alias("_o"))
+    return first.select(F.col("_o.phase").alias("phase"), F.col("_o.module").alias("module"), F.col("_o.at").alias("at"), F.col("_o.path").alias("path"), "file")
+
+
 def in_scope(plan: DataFrame, scopes: list[str]) -> tuple[DataFrame, DataFrame]:
     """Files within the scopes, and those that were removed."""
     keep = X.in_scope(F.col("path"), scopes)

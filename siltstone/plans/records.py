@@ -8,6 +8,7 @@ from siltstone.functions import artifacts as A
 from siltstone.functions import expressions as X
 from siltstone.operators import incremental as I
 from siltstone.operators import ordered as O
+from siltstone.operators import plan_rules as P
 from siltstone.operators import relations as R
 from siltstone.operators import reports as S
 from siltstone.plans import stages
@@ -261,3 +262,27 @@ def summary_documents(t):
 def marked_ranks(t):
     """A file's functions by score, the first five marked."""
     return O.marked_top(t.part, ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 5).select("p_partkey", F.col("rank").cast("long").alias("rank"), "marked")
+
+
+@query("""with p as (select c_custkey % 3 phase, c_mktsegment module, c_custkey "at", 'src/m' || c_nationkey || '.x.c' path from customer where c_nationkey < 20),
+x as (select distinct 'src/m' || o_custkey % 25 || '.x.c' path, 'src/m' || o_custkey % 25 || '.x-c/f' || o_orderkey % 40 || '.c' file from orders where o_orderkey % 3 > 0),
+f as (select p.*, file from p join x using (path))
+select 'each' as what, phase, module, count(*) n, min(file) file from f group by 2, 3
+union all select 'once', phase, module, count(*), min(file) from (select file, arg_min(phase, (phase, "at")) phase, arg_min(module, (phase, "at")) module from f group by 1) group by 2, 3""")
+def phase_files(t):
+    """Extracted files of the phases' sources, in every phase that lists them and once in the first."""
+    key = lambda c: c.cast("string")
+    plan = t.customer.filter("c_nationkey < 20").select((F.col("c_custkey") % 3).alias("phase"), F.col("c_mktsegment").alias("module"), F.col("c_custkey").alias("at"), F.concat(F.lit("src/m"), key(F.col("c_nationkey")), F.lit(".x.c")).alias("path"))
+    file = F.concat(F.lit("src/m"), key(F.col("o_custkey") % 25), F.lit(".x-c/f"), key(F.col("o_orderkey") % 40), F.when(F.col("o_orderkey") % 3 == 0, ".c.spec.json").otherwise(".c"))
+    each = P.phase_functions(plan, t.orders.select(file.alias("file")))
+    count = lambda df, what: df.groupBy("phase", "module").agg(F.count("*").alias("n"), F.min("file").alias("file")).select(F.lit(what).alias("what"), "phase", "module", "n", "file")
+    return count(each, "each").unionByName(count(P.first_listed(each), "once"))
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_partkey % 4 = 0 and l_suppkey > l_linenumber then l_suppkey - 1 else l_suppkey end end_line,
+case when l_linenumber % 3 = 0 then 'own' when l_linenumber % 3 = 1 then 'other' end callers from lineitem""")
+def phase_lookup(t):
+    """Last lines of nodes, and the callers of a phase or else of any."""
+    n = F.col("l_linenumber")
+    columns = F.when(n % 3 == 0, F.create_map(F.lit("x"), F.lit("no"), F.lit("phase9_callers"), F.lit("other"), F.concat(F.lit("phase"), n.cast("string"), F.lit("_callers")), F.lit("own"))).when(n % 3 == 1, F.create_map(F.lit("phase_note"), F.lit("no"), F.lit("phase99_callers"), F.lit("other"))).otherwise(F.create_map(F.lit("callers"), F.lit("no")))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", X.node_end_line(n.cast("long"), F.col("l_suppkey"), F.col("l_partkey") % 4).alias("end_line"), X.phase_value(columns, n).alias("callers"))
