@@ -7,17 +7,19 @@ marginal; their average, weighted by length, is calibrated to the document's sco
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.bytescan import WORD, Hasher, byte_table, class_of, per_doc, runs
-from siltstone.llm.common import batches, docs_of, table
+from siltstone.llm.common import batches, discard, docs_of, table, written
 
 #: Labelled documents that the field is fitted on at most (those whose doc_id hashes lowest; a fifth of them calibrates),
 #: gradient steps, ridge, bound of a standardised feature.
 SAMPLE = 8_000
 STEPS = 250
 RIDGE = 1e-3
+#: Lines that are learned from at most, 15 numbers each on the driver.
+LINES = 1_000_000
 CLIP = 4.0
 
 FEATURES = [
@@ -143,7 +145,11 @@ def _logit(q):
 
 
 def fit(documents: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE) -> dict:
-    """Fit on labelled rows where ``training`` (a condition on doc_id) holds."""
+    """Fit on labelled rows where ``training`` (a condition on doc_id) holds: a bounded sample, ``sample`` labelled ids in the
+    order of their hash and of these as many as have ``LINES`` lines together.
+
+    Null labels and ids are left out, repeated labels of an id count as their least, and all rows of documents that repeat an
+    id are learned from.  Texts without a line teach nothing.  Without rows of both labels every text gets the same score."""
     import numpy as np
 
     ids = (
@@ -167,7 +173,13 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column, sample: int =
                 names=["doc_id", "y", "x", "size"],
             )
 
-    rows = docs_of(documents).join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, y int, x array<double>, size array<double>").toPandas()
+    found = docs_of(documents).join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, y int, x array<double>, size array<double>")
+    found = written(found, "labelled-lines")
+    lines = found.groupBy("doc_id").agg(F.sum(F.size("size")).alias("n"))  # sample rows at most
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    few = lines.withColumn("all", F.sum("n").over(upto)).filter(F.col("all") <= LINES).select("doc_id")
+    rows = found.join(F.broadcast(few), "doc_id").toPandas()
+    discard(found)
     k = len(FEATURES)
     model = {"mean": np.zeros(k), "scale": np.ones(k), "w": np.zeros(3 * k + 3), "t": np.zeros((2, 2)), "a": 0.0, "b": 1.0}
     rows = rows[rows["size"].map(len) > 0].sort_values("doc_id")
