@@ -421,6 +421,7 @@ def repeated_spans(documents: DataFrame, length: int = 50, hot: int = HOT) -> tu
     rich = docs.filter("not copy").select("doc_id", "x", "text").join(ats, ["doc_id", "x"])
     flow = written(_strips(rich, length, hashes), "strips")
     del rich, ats
+    discard(found)
     release(spark)
     ranges = None
     for turn in range(PASSES):
