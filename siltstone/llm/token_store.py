@@ -51,10 +51,11 @@ class WaveletMatrix:
         import numpy as np
 
         bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        kind = np.uint16 if bits <= 16 else np.uint32
+        now = ids.astype(kind)
         planes, ranks = [], []
         for b in range(bits - 1, -1, -1):
-            bit = (now >> b & 1).astype(bool)
+            bit = (now & kind(1 << b)) != 0
             plane = np.packbits(bit, bitorder="little")
             planes.append(plane)
             ranks.append(cls._ranks(plane))
@@ -175,10 +176,28 @@ def open_shard(data: bytes) -> tuple:
     return np.frombuffer(out[0], "<i8"), np.frombuffer(out[1], "<i8"), WaveletMatrix(n, bits, planes, ranks)
 
 
+class _Known(dict):
+    """Ids of chunks, encoded when they are first asked for and remembered.  It starts anew when it is full, and long chunks,
+    which are rare, aren't remembered, so that it stays bounded in entries and bytes."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.encode(chunk)
+        if len(chunk) <= LONG:
+            if len(self) >= CACHE:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
     """Whole texts to ids.  Chunks are encoded by the tokenizers library once and remembered."""
 
     def __init__(self, tokenizer_json: str):
+        import gc
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -187,40 +206,28 @@ class ChunkEncoder:
             from tokenizers import Tokenizer
 
             self.cache["tokenizer"] = Tokenizer.from_str(tokenizer_json)
-            self.cache["known"] = {}
+            self.cache["known"] = _Known(None)
+            gc.freeze()  # the collector would walk through all that is remembered, which has no cycles
         self.tokenizer, self.known = self.cache["tokenizer"], self.cache["known"]
+        self.known.encode = self._encode
         self.merge = self.tokenizer.model.tokenize
         # Byte-level BPE shows bytes as characters: printable ones of Latin-1 as they are, the others from U+0100 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        self.space = chr(self.shown[32])
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Remember the ids of chunks: words go straight to the library's merges, others through its pre-tokeniser."""
-        known, rest = self.known, []
-        for c in chunks:
-            if WORD(c):
-                known[c] = array("I", [t.id for t in self.merge(c.encode().decode("latin-1").translate(self.shown))]).tobytes()
-            else:
-                rest.append(c)
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[c] = array("I", e.ids).tobytes()
+    def _encode(self, chunk: str) -> bytes:
+        """Words go straight to the library's merges, other chunks through its pre-tokeniser."""
+        bare = chunk[1:] if chunk[0] == " " else chunk
+        if bare.isascii() and (bare.isalpha() or bare.isdigit()):  # most words: their bytes are shown as they are
+            return array("I", [t.id for t in self.merge(bare if bare is chunk else self.space + bare)]).tobytes()
+        if WORD(chunk):
+            return array("I", [t.id for t in self.merge(chunk.encode().decode("latin-1").translate(self.shown))]).tobytes()
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        chunks = CHUNK.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            missing = [c for c in dict.fromkeys(chunks) if c not in self.known]
-            if len(self.known) + len(missing) > CACHE:
-                self.known.clear()
-                missing = list(dict.fromkeys(chunks))
-            self._learn(missing)
-            out = b"".join(map(self.known.__getitem__, chunks))
-            for c in missing:  # a long chunk is rare: what is remembered stays bounded in bytes
-                if len(c) > LONG:
-                    del self.known[c]
-            return out
+        return b"".join(map(self.known.__getitem__, CHUNK.findall(text)))
 
 
 def write_tokens(documents: DataFrame, tokenizer_json: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
