@@ -8,10 +8,12 @@ read exactly, by words and not by hash:
 * its suffix automaton is built; states are taken by falling length, and the ordered set of end positions of each is merged
   into its suffix link's, the smaller set into the larger one;
 * an inserted position at distance d from a neighbour, with d no more than the length of the state, means that two
-  occurrences touch or overlap: a square of period d.  Neighbours are nearest occurrences, so d is the smallest period;
-* a square that no found run of its period holds is extended to both sides as long as words d apart are identical.
+  occurrences touch or overlap: a square of period d;
+* a square that no found run of its period holds is extended to both sides as long as words d apart are identical.  While a
+  state's set still grows, d can be a multiple of the smallest period, whose own squares extend to the same stretch: of the
+  periods found for a stretch the smallest counts.
 
-Memory is one text and the automaton of one stretch (about 1 KB for a word of the stretch).
+Memory is one text and the automaton of one stretch (about 500 bytes for a word of the stretch).
 """
 
 from __future__ import annotations
@@ -62,12 +64,15 @@ def suffix_automaton(symbols: list) -> tuple[list[int], list[int], list[int]]:
 
 
 def squares(symbols: list):
-    """(position, period, length): the ``length`` words that end at ``position`` occur ``period`` <= ``length`` words earlier too."""
+    """(position, period, length): the ``length`` words that end at ``position`` occur ``period`` <= ``length`` words earlier too.
+
+    End positions are kept from the last one on, as negative numbers: long states come first and end late, so that what is
+    put into a set mostly goes to its end."""
     length, link, end = suffix_automaton(symbols)
     by_length: list[list[int]] = [[] for _ in range(len(symbols) + 1)]
     for state, n in enumerate(length):
         by_length[n].append(state)
-    ends = [[e] if e >= 0 else [] for e in end]
+    ends = [[-e] if e >= 0 else [] for e in end]
     for n in range(len(symbols), 0, -1):
         for state in by_length[n]:
             parent = link[state]
@@ -82,9 +87,9 @@ def squares(symbols: list):
             for e in small:
                 k = bisect_left(large, e)
                 if k and e - large[k - 1] <= most:
-                    yield e, e - large[k - 1], most
+                    yield -large[k - 1], e - large[k - 1], most
                 if k < len(large) and large[k] - e <= most:
-                    yield large[k], large[k] - e, most
+                    yield -e, large[k] - e, most
                 large.insert(k, e)
             ends[parent] = large
 
@@ -92,7 +97,7 @@ def squares(symbols: list):
 def runs_of(symbols: list, least: int = 24, times: int = 3) -> list[tuple[int, int, int]]:
     """(start, length, period) of the maximal runs with max(least, times * period) words or more, in order; times: 2 or more."""
     found: dict[int, tuple[list[int], list[int]]] = {}  # by period: first and last place that equals the one a period before
-    out = []
+    out: dict[tuple[int, int], int] = {}
     n = len(symbols)
     for at, d, _ in squares(symbols):
         firsts, lasts = found.setdefault(d, ([], []))
@@ -108,8 +113,8 @@ def runs_of(symbols: list, least: int = 24, times: int = 3) -> list[tuple[int, i
         lasts.insert(k + 1, high)
         length = high - low + 1 + d
         if length >= max(least, times * d):
-            out.append((low - d, length, d))
-    return sorted(out, key=lambda r: (r[0], r[2]))
+            out[low - d, length] = min(d, out.get((low - d, length), d))
+    return sorted(((start, length, d) for (start, length), d in out.items()), key=lambda r: (r[0], r[2]))
 
 
 def stretches(words, cut, least: int = 24, times: int = 3):

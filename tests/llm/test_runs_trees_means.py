@@ -68,6 +68,11 @@ def test_runs_of_random_words():
             assert periodic_runs.runs_of(words, least, times) == brute_runs(words, least, times)
 
 
+def test_the_smallest_period_of_a_stretch_counts():
+    words = [1, 2, 2, 2, 2, 0, 1, 0, 2, *[0] * 16, 1, 1, 0, 1, 2, 0, 2, 0, 0, 2, 0, 1, 1, 0, 1, 0, 0, 0, 2, 2]
+    assert periodic_runs.runs_of(words, 4, 2) == brute_runs(words, 4, 2) == [(1, 4, 1), (9, 16, 1), (29, 4, 2), (30, 6, 3), (37, 4, 2)]
+
+
 def repeating(seed=2, n=160):
     rnd = random.Random(seed)
     rows = []
