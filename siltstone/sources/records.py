@@ -59,9 +59,11 @@ def cleared(artifacts: DataFrame, targets: DataFrame) -> DataFrame:
     bare = F.regexp_replace(stem, r"^(bug_validator_|probe_)", "")
     owner = F.regexp_replace(bare, r"\.bug-\d{3}$", "")
     verdict = F.regexp_replace(F.regexp_replace("path", r"\.[^./]*$", ""), r"\.bug-\d{3}$", "")
-    gone = targets.select(F.regexp_replace("file", r"\.[^./]*$", "").alias("_t")).distinct()
+    gone = targets.select(F.regexp_replace("file", r"\.[^./]*$", "").alias("_t"))
     flat = gone.select(F.replace("_t", F.lit("/"), F.lit("--")).alias("_f"))
-    return artifacts.withColumn("_t", verdict).withColumn("_f", owner).join(gone, "_t", "left_anti").join(flat, "_f", "left_anti").select(artifacts.columns)
+    # Targets may be as many as artifacts, which their table's size doesn't tell: no broadcast.
+    left = artifacts.withColumn("_t", verdict).withColumn("_f", owner).join(gone.hint("merge"), "_t", "left_anti")
+    return left.join(flat.hint("merge"), "_f", "left_anti").select(artifacts.columns)
 
 
 def is_estimate(schema: int) -> Column:
