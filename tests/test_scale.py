@@ -25,3 +25,12 @@ def test_cleared_broadcasts_no_targets(spark):
     got = records.cleared(artifacts, targets)
     assert "Broadcast" not in _plan(got, "executedPlan")
     assert sorted(r[0] or "" for r in got.collect()) == ["", "v/2/f.json"]
+
+
+def test_call_sites_form_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(R, "DEALT", 5)
+    sites, definitions, s, d = _names(spark, 1)
+    got = R.resolve_call_sites(s, d, ["if"])
+    assert _plan(got).startswith("Union")  # pairs of callees with one name are never made distinct
+    want = {(a, b) for a, n in sites for b, m in definitions if n and n == m and a is not None and b is not None and a != b}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
