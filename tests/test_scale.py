@@ -34,3 +34,13 @@ def test_call_sites_form_each_pair_once(spark, monkeypatch):
     assert _plan(got).startswith("Union")  # pairs of callees with one name are never made distinct
     want = {(a, b) for a, n in sites for b, m in definitions if n and n == m and a is not None and b is not None and a != b}
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_supplemental_edges_share_no_edge(spark):
+    sites, definitions, s, d = _names(spark, 2)
+    exact, known = [(0, 3), (0, 3), (1, 1), (2, 99), (5, 4), (None, 4)], [(x,) for x in range(10)] * 2
+    got = R.supplemental_edges(spark.createDataFrame(exact, "caller int, callee int"), d, s, spark.createDataFrame(known, "callee int"))
+    assert _plan(got).startswith("Union")
+    named = {(a, b) for a, n in sites for b, m in definitions if n and n == m and a is not None and b is not None}
+    want = {(a, b) for a, b in named | set(exact) if a is not None and b in range(10) and a != b}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
