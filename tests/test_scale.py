@@ -44,3 +44,13 @@ def test_supplemental_edges_share_no_edge(spark):
     named = {(a, b) for a, n in sites for b, m in definitions if n and n == m and a is not None and b is not None}
     want = {(a, b) for a, b in named | set(exact) if a is not None and b in range(10) and a != b}
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_dual_key_makes_no_pair_twice(spark):
+    from pyspark.sql import functions as F
+
+    names = spark.createDataFrame([("a",), ("a_1",), ("a_1",), ("b_2",), ("c",), (None,)], "name string")
+    items = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "b_2"), (4, None)], "item int, k string")
+    got = R.dual_key(names, "name", items, "item", F.array("k", F.concat("k", F.lit("_1")), "k"))
+    assert _plan(got).startswith("Union")
+    assert sorted(map(tuple, got.collect())) == [("a", 1), ("a_1", 1), ("b_2", 3)]
