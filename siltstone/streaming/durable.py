@@ -10,7 +10,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -106,8 +106,15 @@ def handed(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.schema("file string, batch long").parquet(at) if _parts(spark, at) else spark.createDataFrame([], "file string, batch long")
 
 
+def _nulls_last(record: tuple) -> tuple:
+    """The order of a key's records in a batch: time, then kind."""
+    at, kind, _ = record
+    return at is None, 0.0 if at is None else at, kind is None, kind or ""
+
+
 class _LastRequest(StatefulProcessor):
-    """Responses with the model of the last request of their key, requests and responses ordered within a batch."""
+    """Responses with the model of the last request of their key, requests and responses ordered within a batch.  Records are
+    plain rows: a frame for each key costs some 10 ms, and most keys have few records."""
 
     def __init__(self, forget_ms: int | None):
         self.forget_ms = forget_ms
@@ -117,31 +124,21 @@ class _LastRequest(StatefulProcessor):
         self.last = handle.getValueState("last", "request_at double, model string")
 
     def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
-        frame = pd.concat(list(rows)).sort_values(["at", "kind"], kind="stable")
-        if self.last.exists():
-            at, model = self.last.get()
-            frame = pd.concat([pd.DataFrame({"kind": ["request"], "at": [at], "model": [model]}), frame])
-        request = frame["kind"] == "request"
-        # The newest request before each row, with its model even where that is null: place, then row.
-        place = pd.Series(range(len(frame)), index=frame.index, dtype="float64").where(request).ffill()
-        known = place.notna().to_numpy()
-        of = place.fillna(0).astype(int).to_numpy()
-        found = frame.iloc[of]
-        out = pd.DataFrame({
-            "file": key[0], "id": key[1], "at": frame["at"].to_numpy(), "request_at": pd.Series(found["at"].to_numpy()).where(known),
-            "model": pd.Series(frame["model"].to_numpy(), dtype="object").where(pd.notna(frame["model"].to_numpy()), pd.Series(found["model"].to_numpy(), dtype="object").where(known, None)),
-        })
-        if known[-1]:
-            newest = found.iloc[-1]
-            self.last.update((float(newest["at"]), newest["model"] if isinstance(newest["model"], str) else None))
+        last = self.last.get()  # None without one; every call is a way to the JVM and back
+        found, newest = last, None if last is None else last[0]
+        for at, kind, model in sorted(((r["at"], r["kind"], r["model"]) for r in rows), key=_nulls_last):
+            newest = at if newest is None or at is not None and at > newest else newest
+            if kind == "request":
+                found = (at, model)
+            else:
+                request_at, of = found or (None, None)
+                yield Row(file=key[0], id=key[1], at=at, request_at=request_at, model=of if model is None else model)
+        if found is not None and found is not last:
+            self.last.update(found)
         if self.forget_ms is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer(max(int(frame["at"].max() * 1000), timerValues.getCurrentWatermarkInMs()) + self.forget_ms)
-        if not request.all():
-            yield out[(~request).to_numpy()]
+            self.handle.registerTimer(max(int(newest * 1000), timerValues.getCurrentWatermarkInMs()) + self.forget_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.last.clear()
@@ -162,7 +159,7 @@ def match_requests(stream: DataFrame, forget_seconds: int | None = 3600) -> Data
     late = f"{forget_seconds if forget_seconds is not None else 0} seconds"
     timed = rows if forget_seconds is None else rows.withWatermark("time", late)
     forget = None if forget_seconds is None else forget_seconds * 1000
-    out = timed.groupBy("file", "id").transformWithStateInPandas(_LastRequest(forget), "file string, id string, at double, request_at double, model string", "append", "none" if forget is None else "eventTime")
+    out = timed.groupBy("file", "id").transformWithState(_LastRequest(forget), "file string, id string, at double, request_at double, model string", "append", "none" if forget is None else "eventTime")
     return out
 
 

@@ -136,3 +136,32 @@ def test_overlapped_without_rows(spark, tmp_path):
     put(spark, tmp_path / "e", [], "k long, v long")
     source = spark.readStream.schema("k long, v long").parquet(str(tmp_path / "e"))
     assert D.overlapped(source, lambda batch, i: None, name("none")).collect() == []
+
+
+class Kept:
+    """A handle and a state outside of Spark."""
+
+    value, timers = None, ()
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_a_key_costs_no_frame(monkeypatch):
+    """Keys are worked on as plain rows, one call for the state and one to update it."""
+    import pandas as pd
+    from pyspark.sql import Row
+
+    monkeypatch.setattr(pd, "concat", None)
+    state, last = Kept(), D._LastRequest(None)
+    last.init(state)
+    records = [("response", 2.0, None), ("response", None, None), ("request", 2.0, "m"), ("request", 1.0, None), ("response", 1.5, "own"), ("response", 0.5, None)]
+    got = list(last.handleInputRows(("f", "1"), iter([Row(file="f", id="1", kind=k, at=a, model=m) for k, a, m in records]), None))
+    assert [tuple(r)[2:] for r in got] == [(0.5, None, None), (1.5, 1.0, "own"), (2.0, 2.0, "m"), (None, 2.0, "m")]
+    assert state.value == (2.0, "m")
