@@ -73,7 +73,9 @@ def first_of_each(stream: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """(file): every file of a stream with a ``file`` column once, over all batches and restarts.  Null isn't a file."""
     keyed(stream.sparkSession)
     files = stream.select(F.col("file").cast("string").alias("file")).filter("file is not null")
-    return files.groupBy("file").transformWithStateInPandas(_FirstOnly(keep_ms), "file string", "append", "processingTime" if keep_ms else "none")
+    if not keep_ms:  # what is never forgotten needs no timers: Spark's own keyed state, without Python
+        return files.dropDuplicates(["file"])
+    return files.groupBy("file").transformWithStateInPandas(_FirstOnly(keep_ms), "file string", "append", "processingTime")
 
 
 def watch_ready(stream: DataFrame, expected: DataFrame, handle: Callable[[DataFrame], None], name: str, keep_ms: int | None = None) -> bool:

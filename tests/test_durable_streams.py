@@ -165,3 +165,8 @@ def test_a_key_costs_no_frame(monkeypatch):
     got = list(last.handleInputRows(("f", "1"), iter([Row(file="f", id="1", kind=k, at=a, model=m) for k, a, m in records]), None))
     assert [tuple(r)[2:] for r in got] == [(0.5, None, None), (1.5, 1.0, "own"), (2.0, 2.0, "m"), (None, 2.0, "m")]
     assert state.value == (2.0, "m")
+
+
+def test_files_seen_are_sparks_own_state(spark, tmp_path):
+    put(spark, tmp_path / "in", [("a",)], "file string")
+    assert "transformWithState" not in D.first_of_each(files(spark, tmp_path / "in"))._jdf.queryExecution().toString().replace("TransformWithState", "transformWithState")
