@@ -1,8 +1,13 @@
 """Iterative graph operators on edge tables (src, dst).  Every round is written to the shared folder, so that plans stay
-short and a lost executor repeats one round at most; the driver sees only counts."""
+short and a lost executor repeats one round at most; the driver sees only counts.
+
+Components, longest paths and layers don't cross the connected pieces of a graph.  Pieces of up to ``LOCAL`` edges are dealt
+out and each is worked on in one task; larger ones go by rounds over all tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +17,9 @@ from siltstone.session import written
 #: Rounds after which the parts of a growing table are written as one.
 COMPACT = 8
 
+#: Edges of a connected piece that is worked on in one task, and about as many as a group of small pieces has together.
+LOCAL = 50_000
+
 
 def _edges(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").filter("src <> dst").distinct()
@@ -43,8 +51,114 @@ def chains(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
     return cut.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
+def pieces(edges: DataFrame) -> DataFrame:
+    """(node, piece) of the nodes that have an edge: those that edges connect in any direction share a piece, a node of it.
+
+    A round sends every node to the least of itself and its neighbours, by a hash that is another one in each round, and goes
+    on with the edges between those.  A share of the nodes goes with each round, whatever the graph's diameter."""
+    left, steps = edges.select("src", "dst"), []
+    while not left.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(steps)), c).alias("hash"), F.col(c).alias("node"))  # noqa: E731, B023
+        both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        least = both.groupBy("src").agg(F.min(rank("dst")).alias("least"))
+        step = written(least.select(F.col("src").alias("node"), F.least(rank("src"), "least")["node"].alias("piece")), "step")
+        steps.append(step)
+        ends = left.join(step.select(F.col("node").alias("src"), F.col("piece").alias("a")), "src").join(step.select(F.col("node").alias("dst"), F.col("piece").alias("b")), "dst")
+        left = written(ends.filter("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "linked")
+    if not steps:
+        return left.select(F.col("src").alias("node"), F.col("dst").alias("piece"))
+    out = steps.pop()
+    while steps:
+        later = out.select(F.col("node").alias("piece"), F.col("piece").alias("_p"))
+        out = written(steps.pop().join(later, "piece", "left").select("node", F.coalesce("_p", "piece").alias("piece")), "pieces")
+    return out
+
+
+def _placed(frame):
+    """(node, component, cyclic, late, depth) of the graph in a frame (src, dst), by Tarjan's algorithm.  cyclic: the
+    component has several nodes; late: a cycle reaches it; depth: components on the longest path to it, among the late or the
+    other ones."""
+    import numpy as np
+    import pandas as pd
+
+    codes, names = pd.factorize(pd.concat([frame["src"], frame["dst"]], ignore_index=True), sort=True)
+    n, src, dst = len(names), codes[: len(frame)], codes[len(frame) :]
+    order = np.argsort(src, kind="stable")
+    to, begin = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    at, seen, low, part, stack, number, parts = begin[:n], [0] * n, [0] * n, [-1] * n, [], 0, 0
+    for root in range(n):
+        path = [] if seen[root] else [root]
+        while path:
+            v = path[-1]
+            if not seen[v]:
+                number += 1
+                seen[v] = low[v] = number
+                stack.append(v)
+            if at[v] < begin[v + 1]:
+                w = to[at[v]]
+                at[v] += 1
+                if not seen[w]:
+                    path.append(w)
+                elif part[w] < 0:
+                    low[v] = min(low[v], seen[w])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == seen[v]:
+                while part[v] < 0:
+                    part[stack.pop()] = parts
+                parts += 1
+    # Parts are numbered against the edges' direction: from the highest on, all that leads to a part was dealt with.
+    part = np.array(part, dtype="int64")
+    cyclic = np.bincount(part, minlength=parts) > 1
+    smallest = np.full(parts, n, dtype="int64")
+    np.minimum.at(smallest, part, np.arange(n))
+    between = part[src] != part[dst]
+    a, b = part[src][between], part[dst][between]
+    down = np.argsort(-a, kind="stable")
+    links, late, depth = list(zip(a[down].tolist(), b[down].tolist(), strict=True)), cyclic.tolist(), [0] * parts
+    for x, y in links:
+        late[y] = late[y] or late[x]
+    for x, y in links:
+        if late[x] == late[y]:
+            depth[y] = max(depth[y], depth[x] + 1)
+    return pd.DataFrame({"node": names, "component": names[smallest[part]], "cyclic": cyclic[part], "late": np.array(late, dtype=bool)[part], "depth": np.array(depth, dtype="int32")[part]})
+
+
+def _by_pieces(nodes: DataFrame, edges: DataFrame, columns: list[str], rounds: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """node and columns of ``_placed`` for every node, written; ``rounds`` gives them for the nodes and edges of large pieces.
+    Edges from or to what isn't among the nodes don't count."""
+    nodes = written(nodes.select("node").distinct(), "nodes")
+    known = _edges(edges).join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    known = written(known.select("src", "dst"), "edges")
+    member = pieces(known)
+    linked = written(known.join(member.withColumnRenamed("node", "src"), "src").select("src", "dst", "piece"), "linked")
+    large = written(linked.groupBy("piece").count().filter(F.col("count") > LOCAL).select("piece"), "large")
+    some = not large.isEmpty()
+    small = linked.join(large, "piece", "left_anti") if some else linked
+    groups = 1 + 3 * small.count() // max(LOCAL, 1)
+    kind = nodes.schema["node"].dataType.simpleString()
+    dealt = small.select(F.pmod(F.xxhash64("piece"), F.lit(groups)).alias("_g"), "src", "dst").groupBy("_g")
+    out = dealt.applyInPandas(_placed, f"node {kind}, component {kind}, cyclic boolean, late boolean, depth int").select("node", *columns)
+    single = {"component": F.col("node"), "cyclic": F.lit(False), "late": F.lit(False), "depth": F.lit(0)}
+    out = out.unionByName(nodes.join(member, "node", "left_anti").select("node", *(single[c].alias(c) for c in columns)))
+    if some:
+        theirs = member.join(large, "piece", "left_semi").select("node")
+        out = out.unionByName(rounds(theirs, linked.join(large, "piece", "left_semi").select("src", "dst")).select("node", *columns))
+    return written(out, "placed")
+
+
 def longest_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, depth): edges on the longest path from a node without callers; for graphs without cycles.
+    """(node, depth): edges on the longest path from a node without callers; for graphs without cycles."""
+    out = _by_pieces(nodes, edges, ["depth", "cyclic"], lambda n, e: _path_rounds(n, e).withColumn("cyclic", F.lit(False)))
+    if not out.filter("cyclic").isEmpty():
+        raise ValueError("the graph has a cycle")
+    return out.select("node", "depth")
+
+
+def _path_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``longest_path`` by rounds.
 
     A round takes the nodes that no edge leads to any more and drops them with their edges: what a round reads and writes, one
     table, is what the earlier ones left.  Edges from what isn't among the nodes don't count."""
@@ -67,7 +181,12 @@ def longest_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): component is the smallest node of the strongly connected component.
+    """(node, component): component is the smallest node of the strongly connected component."""
+    return _by_pieces(nodes, edges, ["component"], _component_rounds)
+
+
+def _component_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``strong_components`` by rounds.
 
     Nodes without a way in or out among those left are components alone.  The others take the smallest node that reaches
     them (forward colours); a colour's component are the nodes that reach its root within the colour.
@@ -121,24 +240,31 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     after, layered by the longest path between strongly connected components; a layer with a component of several nodes is
     marked.
     """
+    placed = _by_pieces(nodes, edges, ["cyclic", "late", "depth"], _layer_rounds)
+    base = placed.filter("not late").agg(F.coalesce(F.max("depth") + 1, F.lit(0))).first()[0]
+    layer = placed.select("node", "cyclic", "late", F.when(F.col("late"), F.col("depth") + base).otherwise(F.col("depth")).alias("layer"))
+    flags = layer.filter("cyclic").select("layer").distinct().withColumn("_f", F.lit(True))
+    return layer.join(flags, "layer", "left").select("node", "layer", F.coalesce("_f", F.lit(False)).alias("cycle_resolution"))
+
+
+def _layer_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, cyclic, late, depth) by rounds, as ``_placed`` has them."""
     edges = written(_edges(edges), "edges")
-    parts = written(strong_components(nodes, edges), "parts")
-    big = parts.groupBy("component").count().filter("count > 1").select("component")
+    parts = written(_component_rounds(nodes, edges), "parts")
+    big = written(parts.groupBy("component").count().filter("count > 1").select("component"), "big")
     cyclic = parts.join(big, "component", "left_semi").select("node")
     late = written(reachable(edges, cyclic), "late")
     early = written(nodes.select("node").distinct().join(late, "node", "left_anti"), "early")
     inside = lambda who: edges.join(who.withColumnRenamed("node", "src"), "src", "left_semi").join(who.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    first = longest_path(early, inside(early)).select("node", F.col("depth").alias("layer"), F.lit(False).alias("cycle_resolution"))
-    base = first.agg(F.coalesce(F.max("layer") + 1, F.lit(0))).first()[0]
+    first = _path_rounds(early, inside(early)).select("node", F.lit(False).alias("cyclic"), F.lit(False).alias("late"), "depth")
     placed = written(parts.join(late, "node", "left_semi"), "placed")
     between = (
         inside(late).join(placed.select(F.col("node").alias("src"), F.col("component").alias("a")), "src")
         .join(placed.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     )
-    depth = written(longest_path(placed.select(F.col("component").alias("node")), between), "depth")
-    second = placed.join(depth.withColumnRenamed("node", "component"), "component").select("node", "component", (F.col("depth") + base).alias("layer"))
-    flags = second.join(big, "component", "left_semi").select("layer").distinct().withColumn("_f", F.lit(True))
-    return first.unionByName(second.join(flags, "layer", "left").select("node", "layer", F.coalesce("_f", F.lit(False)).alias("cycle_resolution")))
+    depth = written(_path_rounds(placed.select(F.col("component").alias("node")), between), "depth")
+    second = placed.join(depth.withColumnRenamed("node", "component"), "component").join(big.withColumn("_c", F.lit(True)), "component", "left")
+    return first.unionByName(second.select("node", F.coalesce("_c", F.lit(False)).alias("cyclic"), F.lit(True).alias("late"), "depth"))
 
 
 def frontier(pending: DataFrame, edges: DataFrame, order: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import aggregates as A
@@ -146,6 +147,26 @@ def test_strong_components_against_closure(spark):
     assert rows(G.strong_components(*graph(spark, edges, names))) == want
 
 
+def test_pieces_in_one_task_equal_rounds(spark, monkeypatch):
+    """One piece has a cycle, what leads to it and what follows, one has no cycle; both go by rounds with the limit of 3."""
+    cyclic = [("a1", "a0"), ("a0", "a2"), ("a2", "a3"), ("a3", "a2"), ("a3", "a4"), ("gone", "a1"), (None, "a0")]
+    nodes, edges = graph(spark, [*cyclic, ("b0", "b1"), ("b1", "b2"), ("b0", "b2"), ("b3", "b2"), ("c0", "c1")], ["a0", "a1", "a2", "a3", "a4", "b0", "b1", "b2", "b3", "c0", "c1", "d0"])
+    want = [("a0", 1, False), ("a1", 0, False), ("a2", 3, True), ("a3", 3, True), ("a4", 4, False), ("b0", 0, False), ("b1", 1, False), ("b2", 2, False), ("b3", 0, False), ("c0", 0, False), ("c1", 1, False), ("d0", 0, False)]
+    assert rows(G.layers(nodes, edges)) == want
+    monkeypatch.setattr(G, "LOCAL", 3)
+    assert rows(G.layers(nodes, edges)) == want
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    times = []
+    monkeypatch.setattr(G, "written", lambda df, name, write=G.written: times.append(name) or write(df, name))
+    nodes, edges = graph(spark, [(f"{i:03}", f"{i + 1:03}") for i in range(99)], [f"{i:03}" for i in range(100)])
+    assert rows(G.longest_path(nodes, edges)) == [(f"{i:03}", i) for i in range(100)]
+    assert len(times) < 50
+    with pytest.raises(ValueError, match="cycle"):
+        G.longest_path(nodes, edges.union(edges.selectExpr("'099'", "'000'")))
+
+
 def test_frontier(spark):
     nodes, edges = graph(spark, [("a", "b"), ("b", "a"), ("b", "c")], "abc")
     assert rows(G.frontier(nodes, edges, ["node"])) == [("a",)]
