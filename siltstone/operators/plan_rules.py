@@ -29,6 +29,13 @@ def first_listed(functions: DataFrame) -> DataFrame:
     return first.select(F.col("_o.phase").alias("phase"), F.col("_o.module").alias("module"), F.col("_o.at").alias("at"), F.col("_o.path").alias("path"), "file")
 
 
+def listed_once(plan: DataFrame, extracted: DataFrame) -> DataFrame:
+    """``first_listed`` of ``phase_functions``.  All files of a source have its place in the plan, so that the first one is found
+    before the files come to it."""
+    first = plan.groupBy("path").agg(F.min(F.struct("phase", "at", "module")).alias("_o"))
+    return phase_functions(first.select("_o.phase", "_o.module", "_o.at", "path"), extracted)
+
+
 def in_scope(plan: DataFrame, scopes: list[str]) -> tuple[DataFrame, DataFrame]:
     """Files within the scopes, and those that were removed."""
     keep = X.in_scope(F.col("path"), scopes)

@@ -275,8 +275,10 @@ def phase_files(t):
     plan = t.customer.filter("c_nationkey < 20").select((F.col("c_custkey") % 3).alias("phase"), F.col("c_mktsegment").alias("module"), F.col("c_custkey").alias("at"), F.concat(F.lit("src/m"), key(F.col("c_nationkey")), F.lit(".x.c")).alias("path"))
     file = F.concat(F.lit("src/m"), key(F.col("o_custkey") % 25), F.lit(".x-c/f"), key(F.col("o_orderkey") % 40), F.when(F.col("o_orderkey") % 3 == 0, ".c.spec.json").otherwise(".c"))
     each = P.phase_functions(plan, t.orders.select(file.alias("file")))
-    count = lambda df, what: df.groupBy("phase", "module").agg(F.count("*").alias("n"), F.min("file").alias("file")).select(F.lit(what).alias("what"), "phase", "module", "n", "file")
-    return count(each, "each").unionByName(count(P.first_listed(each), "once"))
+    # By file first: counts are kept by hash, while a least text would have all rows sorted.
+    files = lambda df: df.groupBy("phase", "module", "file").agg(F.count("*").alias("n"))
+    count = lambda df, what: files(df).groupBy("phase", "module").agg(F.sum("n").alias("n"), F.min("file").alias("file")).select(F.lit(what).alias("what"), "phase", "module", "n", "file")
+    return count(each, "each").unionByName(count(P.listed_once(plan, t.orders.select(file.alias("file"))), "once"))
 
 
 @query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_partkey % 4 = 0 and l_suppkey > l_linenumber then l_suppkey - 1 else l_suppkey end end_line,
