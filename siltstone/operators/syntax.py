@@ -2,7 +2,8 @@
 scopes and their functions, blocks that end with statements, call sites and terminating statements.
 
 Sources are (path, lang, content).  A path is a file: of rows that repeat path, lang and content one is read.  Rows without a
-path or content have no tokens.  Texts move once, to their path's partition; tokens of a file stay there.
+path or content have no tokens.  Texts move before they become tokens; tokens stay where their text went.  Long files of
+scopes are cut behind braces where a part can be read by itself, so that no task holds the tokens of a whole one.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from siltstone.functions.text import COMMON_CALLS
 from siltstone.session import written
 
 FILE = ["path", "lang", "file"]
+SEGMENT = [*FILE, "segment"]
+
+#: Characters of a file that is never cut, and lines of a chunk of a longer one.
+UNCUT, CHUNK_LINES = 20_000, 200
 
 
 def _languages(df: DataFrame) -> DataFrame:
@@ -99,30 +104,109 @@ def masked(sources: DataFrame) -> DataFrame:
     return df.withColumn("code", F.array_join(F.transform(_pieces(), hide), "")).drop("_tokens", "_comment")
 
 
-def tokens(sources: DataFrame) -> DataFrame:
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """As many partitions as shuffles have: a text becomes many rows, so its bytes say little about the work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _kind(text: Column) -> Column:
+    """Most tokens are told by a comparison: a sign alone, or a Latin letter first and no quote."""
+    latin = (text >= "A") & (text < "[") | (text >= "a") & (text < "{")
+    return (
+        F.when(text.isin(*"{}()[];,"), "sign").when(text == " ", "blank").when(latin & ~F.contains(text, F.lit('"')), "word").when(_is_comment(text), "comment").when(text.isin("\n", "\r\n", "\r"), "line_end").when(F.rlike(text, F.lit(r"^[ \t\f\x0B]+$")), "blank")
+        .when(F.col("lang").isin("c", "cpp", "cuda") & F.rlike(text, F.lit(DIRECTIVE)), "directive").when(_is_text(text), "text")
+        .when(F.rlike(text, F.lit(r"^[\p{L}_$]")), "word").when(F.rlike(text, F.lit(r"^\p{N}")), "number").otherwise("sign")
+    )
+
+
+def _line_ends(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("\n")) | F.contains(text, F.lit("\r")), F.regexp_count(text, F.lit(_LINE_ENDS))).otherwise(0)
+
+
+_NO_CODE = ["comment", "directive", "line_end"]
+_LINE_ENDS = r"\r\n|\n|\r"
+#: What was counted before a segment: tokens, characters, line ends, open braces and other open brackets.
+_BASE = ["n", "chars", "lines", "braces", "brackets"]
+
+
+def _first_cut() -> tuple[Column, Column]:
+    """Places of braces among ``_pieces``, and by them (``_signs``) how many of ``_pieces`` go up to the first brace behind which a file can be cut; null if there is none.  It closes what
+    can't be a value: the brace before it closes too, or opens behind a round bracket.  So no head or value goes on beyond it."""
+    piece = lambda i: F.get("_pieces", i)
+    blank = lambda i: F.rlike(piece(i), F.lit(r"^\s+$"))
+    signs = F.filter(F.transform("_pieces", lambda p, i: F.when(p.isin("{", "}"), i)), lambda i: i.isNotNull())
+    behind = lambda i: (piece(i - 1) == ")") | blank(i - 1) & ((piece(i - 2) == ")") | blank(i - 2) & (piece(i - 3) == ")"))
+    pairs = F.transform("_signs", lambda i, k: F.struct(i.alias("at"), F.get("_signs", k - 1).alias("before")))
+    fits = lambda x: x["before"].isNotNull() & (piece(x["at"]) == "}") & ((piece(x["before"]) == "}") | behind(x["before"]))
+    return signs, F.get(F.filter(pairs, fits), F.lit(0))["at"] + 1
+
+
+def _segments(files: DataFrame) -> DataFrame:
+    """(path, lang, file, segment, content, base, after) of long files: segments from 0, each but the first behind a brace of
+    ``_first_cut``.  base: what was counted before it; after: the first token of code behind it.
+
+    A file is cut into chunks at ends of lines that are tokens; chunks become tokens by themselves, with the line end before
+    them in front, and are cut once more, at the first brace that allows it.  What comes before that belongs to the segment
+    before.  What has to be summed up along a file are a few numbers a chunk."""
+    line = F.concat(F.lit(r"(?:(?!\z)(?:(?!\r?\n)(?:"), F.col("_tokens"), F.lit(rf"))*+(?:\r?\n|\z)){{1,{CHUNK_LINES}}}+"))
+    chunks = with_language(files, "tokens", "comment").select(*FILE, "_tokens", "_comment", F.posexplode(F.regexp_extract_all("content", line, F.lit(0))).alias("chunk", "content"))
+    led = F.regexp_extract_all(F.concat(F.lit("\n"), "content"), F.col("_tokens"), F.lit(0))
+    pieces = _spread(chunks, *FILE, "chunk").withColumn("_pieces", F.when(F.col("chunk") == 0, _pieces()).otherwise(F.slice(led, 2, F.greatest(F.size(led) - 1, F.lit(0)))))
+    signs, cut = _first_cut()
+    pieces = pieces.withColumn("_signs", signs).withColumn("_cut", F.when(F.col("chunk") > 0, cut))
+    part = lambda new, start, n: F.struct(F.lit(new).alias("new"), F.slice("_pieces", start, n).alias("pieces"))
+    whole = F.array(F.struct(F.lit(0).alias("new"), F.col("_pieces").alias("pieces")))
+    both = F.when(F.col("_cut").isNull(), whole).otherwise(F.array(part(0, F.lit(1), F.col("_cut")), part(1, F.col("_cut") + 1, F.size("_pieces") - F.col("_cut"))))
+    parts = pieces.select(*FILE, "_comment", "chunk", F.inline(both)).filter(F.size("pieces") > 0)
+    count = lambda *signs: F.size(F.filter("pieces", lambda p: p.isin(*signs)))
+    code = lambda pieces: F.get(F.filter(pieces, lambda p: ~_kind(p).isin(*_NO_CODE, "blank")), F.lit(0))
+    first = F.coalesce(code(F.slice("pieces", 1, 16)), code(F.col("pieces")))
+    text = F.array_join("pieces", "")
+    sums = parts.select(
+        *FILE, "chunk", "new", text.alias("content"), first.alias("first"), F.size("pieces").alias("n"), F.length(text).alias("chars"), F.regexp_count(F.array_join("pieces", " "), F.lit(_LINE_ENDS)).alias("lines"),
+        (count("{") - count("}")).alias("braces"), (count("(", "[") - count(")", "]")).alias("brackets"),
+    )
+    along, back = Window.partitionBy(*FILE).orderBy("chunk", "new"), Window.partitionBy(*FILE).orderBy(F.desc("chunk"), F.desc("new"))
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    base = F.struct(*(F.coalesce(F.sum(c).over(before), F.lit(0)).cast("int").alias(c) for c in _BASE))
+    placed = sums.withColumn("base", base).withColumn("segment", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    placed = placed.withColumn("after", F.last("first", True).over(back.rowsBetween(Window.unboundedPreceding, -1))).select(*SEGMENT, "chunk", "new", "content", "base", "after")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "new", "content"))), lambda x: x["content"]), "")
+    return placed.groupBy(*SEGMENT).agg(joined.alias("content"), F.min("base").alias("base"), F.max_by("after", F.struct("chunk", "new")).alias("after"))
+
+
+def tokens(sources: DataFrame, cut: bool = False) -> DataFrame:
     """(path, lang, file, at, start, end, line, last_line, kind, text, depth, bracket): every token but blanks, in order of
     ``at``.  start and end (exclusive) are characters, lines count from 0; depth and bracket count the braces and the other
     brackets that are open after the token.  kind: comment, text, directive, line_end, word, number, sign.
+
+    With ``cut`` also segment, after and first_line: the tokens of a segment lie in one partition, those of a file don't have to.
     """
-    files = sources.select("path", "lang", "content").filter("path is not null and content is not null").repartition("path")
-    files = files.dropDuplicates(["path", "lang", "content"]).withColumn("file", F.xxhash64("content"))
-    each = with_language(files, "tokens", "comment").select(*FILE, "_comment", F.posexplode(_pieces()).alias("at", "text"))
+    files = sources.select("path", "lang", "content").filter("path is not null and content is not null").withColumn("file", F.xxhash64("content"))
+    zero = F.struct(*(F.lit(0).alias(c) for c in _BASE))
+    one = lambda df: df.select(*FILE, F.lit(0).alias("segment"), "content", zero.alias("base"), F.lit(None).cast("string").alias("after"))
+    if cut:
+        long = _spread(files.filter(F.length("content") > UNCUT), "path").dropDuplicates()
+        texts = _spread(one(files.filter(F.length("content") <= UNCUT)).unionByName(_segments(long)), *SEGMENT).dropDuplicates()
+    else:
+        texts = one(_spread(files, "path").dropDuplicates(["path", "lang", "content"]))
+    keys = SEGMENT if cut else FILE
+    led = F.regexp_extract_all(F.concat(F.lit("}"), "content"), F.col("_tokens"), F.lit(0))
+    pieces = F.when(F.col("segment") == 0, _pieces()).otherwise(F.slice(led, 2, F.greatest(F.size(led) - 1, F.lit(0)))) if cut else _pieces()
+    each = with_language(texts, "tokens", "comment").select(*SEGMENT, "base", "after", "_comment", F.posexplode(pieces).alias("i", "text"))
     text = F.col("text")
-    kind = (
-        F.when(_is_comment(text), "comment").when(text.isin("\n", "\r\n", "\r"), "line_end").when(F.rlike(text, F.lit(r"^[ \t\f\x0B]+$")), "blank")
-        .when(F.col("lang").isin("c", "cpp", "cuda") & F.rlike(text, F.lit(DIRECTIVE)), "directive").when(_is_text(text), "text")
-        .when(F.rlike(text, F.lit(r"^[\p{L}_$]")), "word").when(F.rlike(text, F.lit(r"^\p{N}")), "number").otherwise("sign")
-    )
-    upto = Window.partitionBy(*FILE).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     turn = lambda opens, closes: F.when(text.isin(*opens), 1).when(text.isin(*closes), -1).otherwise(0)
-    size, lines = F.length("text"), F.regexp_count("text", F.lit(r"\r\n|\n|\r"))
-    places = each.withColumn("kind", kind).select(
-        *FILE, "at", "kind", "text", F.sum(size).over(upto).cast("int").alias("end"), F.sum(lines).over(upto).cast("int").alias("after"),
-        F.sum(turn("{", "}")).over(upto).cast("int").alias("depth"), F.sum(turn("([", ")]")).over(upto).cast("int").alias("bracket"),
-    )
-    before = F.col("after") - F.regexp_count("text", F.lit(r"\r\n|\n|\r"))
-    last = F.when(F.col("kind") == "line_end", before).otherwise(F.col("after"))
-    return places.filter("kind <> 'blank'").select(*FILE, "at", (F.col("end") - size).alias("start"), "end", before.alias("line"), last.alias("last_line"), "kind", "text", "depth", "bracket")
+    # The first token of a text brings along what was counted before it.
+    step = lambda c, name: c + F.when(F.col("i") == 0, F.col(f"base.{name}")).otherwise(0)
+    steps = {"_chars": step(F.length("text"), "chars"), "_breaks": step(_line_ends(text), "lines"), "_braces": step(turn("{", "}"), "braces"), "_brackets": step(turn("([", ")]"), "brackets")}
+    each = each.select(*SEGMENT, "after", F.col("base.lines").alias("first_line"), (F.col("i") + F.col("base.n")).alias("at"), _kind(text).alias("kind"), "text", _line_ends(text).alias("_lines"), *(c.alias(k) for k, c in steps.items()))
+    total = lambda c: F.sum(c).over(upto).cast("int")
+    places = each.select(*SEGMENT, "after", "first_line", "at", "kind", "text", "_lines", total("_chars").alias("end"), total("_breaks").alias("_after"), total("_braces").alias("depth"), total("_brackets").alias("bracket"))
+    before = F.col("_after") - F.col("_lines")
+    last = F.when(F.col("kind") == "line_end", before).otherwise(F.col("_after"))
+    more = ["segment", "after", "first_line"] if cut else []
+    return places.filter("kind <> 'blank'").select(*FILE, *more, "at", (F.col("end") - F.length("text")).alias("start"), "end", before.alias("line"), last.alias("last_line"), "kind", "text", "depth", "bracket")
 
 
 # -- scopes
@@ -160,14 +244,19 @@ def _by_language(patterns: dict[str, str], head: Column) -> Column:
 
 def _marked(code: DataFrame) -> DataFrame:
     """Add label (an access label of C++), literal (a brace of a value without inner braces: in brackets, or a member's
-    initial value in C++) and begins (a word on a new line that doesn't go on with the line before: Go and JavaScript)."""
-    along = Window.partitionBy(*FILE).orderBy("at")
-    near = code.withColumns({"prev": F.lag("text").over(along), "prev_kind": F.lag("kind").over(along), "prev_line": F.lag("last_line").over(along), "next": F.lead("text").over(along)})
+    initial value in C++) and begins (a word on a new line that doesn't go on with the line before: Go and JavaScript).
+    Before each segment but the first stands the brace behind which it was cut."""
+    along = Window.partitionBy(*SEGMENT).orderBy("at")
+    behind_cut = lambda c: F.when(F.col("segment") > 0, c)
+    near = code.withColumns({
+        "prev": F.coalesce(F.lag("text").over(along), behind_cut("}")), "prev_kind": F.coalesce(F.lag("kind").over(along), behind_cut("sign")),
+        "prev_line": F.coalesce(F.lag("last_line").over(along), behind_cut(F.col("first_line"))), "next": F.coalesce(F.lead("text").over(along), "after"),
+    })
     access = F.col("lang").isin("cpp", "cuda") & (F.col("text").isin("public", "private", "protected") & (F.col("next") == ":") | (F.col("text") == ":") & F.col("prev").isin("public", "private", "protected"))
     begins = F.col("lang").isin("go", "javascript", "typescript", "arkts") & (F.col("line") > F.col("prev_line")) & (F.col("prev_kind").isin("word", "number", "text") | F.col("prev").isin(")", "]", "}")) & ((F.col("kind") == "word") | F.col("text").startswith("@"))
     braces = near.withColumn("label", F.coalesce(access, F.lit(False))).withColumn("begins", F.coalesce(begins & ~F.col("prev").isin("export", "default", "async", "static"), F.lit(False)))
     is_brace = F.col("text").isin("{", "}")
-    later = Window.partitionBy(*FILE).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*SEGMENT).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.last(F.when(is_brace, F.struct("text", "next")), True).over(later)
     opens = (F.col("text") == "{") & (ahead["text"] == "}") & ((F.col("bracket") > 0) & F.col("prev").isin("=", ",", "(", ":") | F.col("lang").isin("cpp", "cuda") & (F.col("prev_kind") == "word") & ahead["next"].isin(",", "{"))
     leaf = braces.withColumn("opens", F.coalesce(opens, F.lit(False)))
@@ -180,15 +269,15 @@ def scopes(sources: DataFrame) -> DataFrame:
     """Every pair of braces of brace languages: (path, lang, file, at, level, head, first_line, open_line, end_line, kind,
     name).  head: the code since the last brace or semicolon, tokens joined by blanks; kind: function, scope (of a namespace,
     class or the like) or block; end_line: that of the closing brace of the same level, null if it stays open."""
-    code = tokens(sources).filter(F.col("lang").isin(*_FUNCTION)).filter("kind not in ('comment', 'directive', 'line_end')")
+    code = tokens(sources.filter(F.col("lang").isin(*_FUNCTION)), cut=True).filter(~F.col("kind").isin(_NO_CODE))
     code = _marked(code).filter("not label")
-    along = Window.partitionBy(*FILE).orderBy("at")
+    along = Window.partitionBy(*SEGMENT).orderBy("at")
     ends = ((F.col("text") == ";") | F.col("text").isin("{", "}") & ~F.col("literal")).cast("int")
     earlier, upto = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = code.withColumn("part", F.coalesce(F.sum(ends).over(earlier), F.lit(0)) + F.sum(F.col("begins").cast("int")).over(upto))
     word = F.when(F.col("kind") == "text", '""').otherwise(F.col("text"))
     begins = ~F.col("lang").isin("rust") | F.col("text").isin("pub", "fn", "async", "const", "unsafe", "extern", "default", "impl", "mod", "trait", "struct", "enum")
-    heads = parts.groupBy(*FILE, "part").agg(
+    heads = parts.groupBy(*SEGMENT, "part").agg(
         F.array_sort(F.collect_list(F.struct("at", word.alias("word")))).alias("words"), F.max_by("text", "at").alias("sign"), F.max_by("depth", "at").alias("depth"),
         F.max("at").alias("at"), F.max("line").alias("open_line"), F.min(F.when(begins & ~F.col("text").isin("{", "}", ";"), F.col("line"))).alias("first_line"),
     )
@@ -231,7 +320,7 @@ def brace_functions(sources: DataFrame) -> DataFrame:
     upto = Window.partitionBy(*FILE, "level").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     around = seen.withColumn("around", F.last(F.when(F.col("of").isNull(), F.col("scope")), True).over(upto)).filter("of is not null")
     outer = around.groupBy(*FILE, F.col("of").alias("at")).agg(F.array_sort(F.collect_list(F.struct("level", "around"))).alias("outer"))
-    files = sources.select("path", "lang", F.xxhash64("content").alias("file"), (F.size(F.split(F.regexp_replace("content", r"(?:\r\n|\n|\r)\z", ""), r"\r\n|\n|\r")) - 1).alias("last")).distinct()
+    files = sources.select("path", "lang", F.xxhash64("content").alias("file"), F.regexp_count(F.regexp_replace("content", r"(?:\r\n|\n|\r)\z", ""), F.lit(_LINE_ENDS)).alias("last")).distinct()
     found = named.filter("kind = 'function'").join(outer, [*FILE, "at"], "left").join(files, FILE)
     inside = F.exists("outer", lambda o: o["around"]["kind"].isin("function", "test"))
     names = F.filter(F.transform("outer", lambda o: F.when(o["around"]["kind"] == "scope", o["around"]["name"])), lambda n: n.isNotNull())

@@ -54,3 +54,25 @@ def test_dual_key_makes_no_pair_twice(spark):
     got = R.dual_key(names, "name", items, "item", F.array("k", F.concat("k", F.lit("_1")), "k"))
     assert _plan(got).startswith("Union")
     assert sorted(map(tuple, got.collect())) == [("a", 1), ("a_1", 1), ("b_2", 3)]
+
+
+def _odd_sources(rng):
+    """Texts of parts that go on over lines and from part to part; some have no brace behind which they can be cut."""
+    cpp = ["class C%d : B {\n int f(int x) const {\n  if (x) { g(\"}{\"); } // {\n }\n};\n", "int v%d[] = {1, 2};\n", "X::X(int a) : a_{a}, b_{%d} { }\n", "/* }\n}\n */ int h%d(int x)\n{ return 0; }\n", "# define M {\r\n", "struct S%d { int v; } s = { 1 };\n", "auto r%d = R\"(\n}} /* )\";\n", "s = \"open\n", "f(]\n"]
+    ts = ["namespace N%d {\n export function inner(x: number, o = {}): number {\n  const s = `}\n} ${x}`\n }\n}\n", "export const a%d = async (x) => {\n  /[{]/.test(x)\n  const y = x\n}\n", "x = [\n /}/g, {a: %d}]\n", "class W { m() { if (a) { b() } } }\n"]
+    text = lambda forms, n: "".join(f.replace("%d", str(i)) for i, f in enumerate(rng.choices(forms, k=n)))
+    return [(f"{k}{i}", lang, text(forms, 25)) for i in range(8) for k, lang, forms in (("a", "cpp", cpp), ("b", "typescript", ts))] + [("flat", "c", "int x = {1};\n" * 30), ("end", "java", "class A { void f() { } }\n\n// {" + "\n" * 9)]
+
+
+def test_long_files_are_cut_and_read_alike(spark, monkeypatch):
+    from siltstone.operators import syntax as S
+
+    sources = spark.createDataFrame(_odd_sources(random.Random(7)), "path string, lang string, content string")
+    columns = ["path", "at", "start", "end", "line", "last_line", "kind", "text", "depth", "bracket"]
+    whole, scopes = sorted(map(tuple, S.tokens(sources).select(columns).collect())), sorted(map(str, S.scopes(sources).collect()))
+    monkeypatch.setattr(S, "UNCUT", 5)
+    monkeypatch.setattr(S, "CHUNK_LINES", 2)
+    cut = S.tokens(sources, cut=True)
+    assert sorted(map(tuple, cut.select(columns).collect())) == whole
+    assert cut.select("path", "segment").distinct().count() > 60
+    assert sorted(map(str, S.scopes(sources).collect())) == scopes
