@@ -59,8 +59,8 @@ def _unclosed(piece: Column) -> Column:
     """A comment or text that the end of the file or line cut off."""
     comment = piece.startswith("/*") & ~(piece.endswith("*/") & (F.length(piece) >= 4))
     quote = F.substring(piece, 1, 1)
-    text = _is_text(piece) & quote.isin('"', "'", "`") & (~F.substring(piece, -1, 1).eqNullSafe(quote) | (F.length(piece) < 2))
-    return comment | text | ((quote.isin('"', "'", "`")) & (F.length(piece) == 1) & (F.col("lang") != "rust"))
+    text = _is_text(piece) & (~F.substring(piece, -1, 1).eqNullSafe(quote) | (F.length(piece) < 2))
+    return comment | quote.isin('"', "'", "`") & (text | (F.length(piece) == 1) & (F.col("lang") != "rust"))
 
 
 def _balanced(pieces: Column) -> Column:
@@ -75,13 +75,17 @@ def _balanced(pieces: Column) -> Column:
     return F.aggregate(signs, F.lit(""), step) == ""
 
 
+def _sound() -> Column:
+    """Whether ``_pieces`` close what they open, and hold no ??/ in C, which would have to be translated first."""
+    return ~F.exists("_pieces", _unclosed) & _balanced(F.col("_pieces")) & ~((F.col("lang") == "c") & F.contains("content", F.lit("??/")))
+
+
 def without_comments(sources: DataFrame) -> DataFrame:
     """Add ``code``: the content with every comment's bytes blanked, line ends kept; null where the content is null or in
     error: a comment, text or bracket that doesn't close, or a ??/ in C, which would have to be translated first."""
     df = with_language(sources, "tokens", "comment").withColumn("_pieces", _pieces())
-    sound = ~F.exists("_pieces", _unclosed) & _balanced(F.col("_pieces")) & ~((F.col("lang") == "c") & F.contains("content", F.lit("??/")))
     code = F.array_join(F.transform("_pieces", lambda p: F.when(_is_comment(p), _blanked(p)).otherwise(p)), "")
-    return df.withColumn("code", F.when(sound, code)).drop("_tokens", "_comment", "_pieces")
+    return df.withColumn("code", F.when(_sound(), code)).drop("_tokens", "_comment", "_pieces")
 
 
 #: Where code in error is read: comments, texts, and # behind other signs of its line.
@@ -400,13 +404,14 @@ def split_blocks(functions: DataFrame, size: int = 40) -> DataFrame:
     and in Python, after ``size`` lines.  Functions of ``size`` lines or fewer are one block.  Null or blank content has one
     empty block."""
     whole = functions.select("path", "lang", F.regexp_replace(F.coalesce("content", F.lit("")), r"(?U)^\s+|\s+\z", "").alias("content"))
-    whole = whole.withColumn("lines", F.split("content", "\n")).withColumn("total", F.size("lines"))
+    whole = written(whole, "functions").withColumn("lines", F.split("content", "\n")).withColumn("total", F.size("lines"))
     bare = whole.filter(F.col("total") > size).select("path", "lang", F.regexp_replace("content", r"(?m)^Line \d+: ?", "").alias("content"))
     bare = bare.filter("lang <> 'python'")
-    code = tokens(bare).filter("kind not in ('comment', 'directive', 'line_end')")
-    sound = without_comments(bare).filter("code is not null").select("path", "lang", F.xxhash64("content").alias("file")).distinct()
-    statements = _statement_ends(code.filter(F.col("lang").isin(_STATEMENTS))).join(sound, FILE, "left_semi").withColumnRenamed("ends", "statements")
-    depths = _depth_ends(tokens(bare)).withColumnRenamed("ends", "depths")
+    sound = with_language(bare.filter(F.col("lang").isin(_STATEMENTS)), "tokens", "comment").withColumn("_pieces", _pieces()).filter(_sound())
+    ends = written(_statement_ends(tokens(sound).filter(~F.col("kind").isin(_NO_CODE))), "statements")
+    # Depths are needed only where no statements were found.
+    rest = bare.withColumn("file", F.xxhash64("content")).join(ends, FILE, "left_anti")
+    statements, depths = ends.withColumnRenamed("ends", "statements"), _depth_ends(tokens(rest)).withColumnRenamed("ends", "depths")
     keyed = whole.withColumn("file", F.xxhash64(F.regexp_replace("content", r"(?m)^Line \d+: ?", "")))
     found = keyed.join(depths, FILE, "left").join(statements, FILE, "left")
     every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("total") / size))), lambda i: (i * size - 1).cast("int"))

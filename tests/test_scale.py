@@ -76,3 +76,16 @@ def test_long_files_are_cut_and_read_alike(spark, monkeypatch):
     assert sorted(map(tuple, cut.select(columns).collect())) == whole
     assert cut.select("path", "segment").distinct().count() > 60
     assert sorted(map(str, S.scopes(sources).collect())) == scopes
+
+
+def test_blocks_by_statements_need_no_depths(spark, monkeypatch):
+    from siltstone.operators import syntax as S
+
+    statement = "  if (x) {\n    y('}'); // {\n  }\n"
+    rows = [(f"s{i}", "c", "int f(int x) {\n" + statement * 9 + "}") for i in range(3)] + [("u", "c", "int f(int x) {\n" + statement * 9 + "  f(]\n}"), ("g", "go", "func f() {\n" + "\tx()\n" * 30 + "}"), ("n", None, "x\n" * 30)]
+    read, depths = set(), S._depth_ends
+    monkeypatch.setattr(S, "_depth_ends", lambda code: (read.update(r[0] for r in code.select("path").distinct().collect()), depths(code))[1])
+    got = S.split_blocks(spark.createDataFrame(rows, "path string, lang string, content string"), 10)
+    assert read == {"u", "g"}
+    blocks = {p: sorted((r["first"], r["last"]) for r in got.collect() if r["path"] == p) for p, _, _ in rows}
+    assert blocks["s0"] == blocks["s1"] == [(0, 12), (13, 28)] and blocks["g"] == [(0, 10), (11, 21), (22, 31)]
