@@ -104,7 +104,7 @@ def code_lines(sources: DataFrame) -> DataFrame:
 def masked(sources: DataFrame) -> DataFrame:
     """Add ``code``: the content with comments and texts as blanks, one a character."""
     df = with_language(sources, "tokens", "comment")
-    hide = lambda p: F.when(_is_comment(p) | _is_text(p), F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)
+    hide = lambda p: F.when(p.isin(*_SIGNS, " ", "\n") | _latin(p), p).when(_is_comment(p) | _is_text(p), F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)
     return df.withColumn("code", F.array_join(F.transform(_pieces(), hide), "")).drop("_tokens", "_comment")
 
 
@@ -113,11 +113,18 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+#: Signs that are a token alone; these and ``_latin`` are told by a comparison, which spares most tokens the patterns.
+_SIGNS = list("{}()[];,")
+
+
+def _latin(text: Column) -> Column:
+    """A word by its first letter, without a quote (texts may begin with letters)."""
+    return ((text >= "A") & (text < "[") | (text >= "a") & (text < "{")) & ~F.contains(text, F.lit('"'))
+
+
 def _kind(text: Column) -> Column:
-    """Most tokens are told by a comparison: a sign alone, or a Latin letter first and no quote."""
-    latin = (text >= "A") & (text < "[") | (text >= "a") & (text < "{")
     return (
-        F.when(text.isin(*"{}()[];,"), "sign").when(text == " ", "blank").when(latin & ~F.contains(text, F.lit('"')), "word").when(_is_comment(text), "comment").when(text.isin("\n", "\r\n", "\r"), "line_end").when(F.rlike(text, F.lit(r"^[ \t\f\x0B]+$")), "blank")
+        F.when(text.isin(*_SIGNS), "sign").when(text == " ", "blank").when(_latin(text), "word").when(_is_comment(text), "comment").when(text.isin("\n", "\r\n", "\r"), "line_end").when(F.rlike(text, F.lit(r"^[ \t\f\x0B]+$")), "blank")
         .when(F.col("lang").isin("c", "cpp", "cuda") & F.rlike(text, F.lit(DIRECTIVE)), "directive").when(_is_text(text), "text")
         .when(F.rlike(text, F.lit(r"^[\p{L}_$]")), "word").when(F.rlike(text, F.lit(r"^\p{N}")), "number").otherwise("sign")
     )
@@ -428,12 +435,12 @@ def split_blocks(functions: DataFrame, size: int = 40) -> DataFrame:
 # -- calls and terminating statements
 
 
-def call_sites(functions: DataFrame) -> DataFrame:
-    """functions: (caller, lang, content).  (caller, name): names in front of a bracket, by the language's own pattern, without
+def call_sites(functions: DataFrame, *keep: str) -> DataFrame:
+    """functions: (caller, lang, content).  (caller, columns to keep, name): names in front of a bracket, by the language's own pattern, without
     its reserved words and without names that are called everywhere; comments and texts don't count."""
-    df = with_language(masked(functions.select("caller", "lang", "content").filter("content is not null")), "call", "reserved")
+    df = with_language(masked(functions.select("caller", "lang", "content", *(c for c in keep if c != "lang")).filter("content is not null")), "call", "reserved")
     names = F.array_except(F.array_distinct(F.regexp_extract_all("code", F.col("_call"), F.lit(1))), F.concat("_reserved", F.lit(COMMON_CALLS)))
-    return df.select("caller", F.explode(names).alias("name")).distinct()
+    return df.select("caller", *keep, F.explode(names).alias("name")).distinct()
 
 
 def terminating(blocks: DataFrame, text: str = "text") -> DataFrame:

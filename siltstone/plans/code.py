@@ -84,8 +84,7 @@ def calls_by_language(t):
     lines = t.lineitem.withColumn("lang", lang)
     sources = _files(lines, F.col("l_orderkey").cast("string"), F.col("lang"), ["l_linenumber", "l_partkey"], piece, F.lit("head\n"), "")
     names = t.part.select(_format("p%d", "p_partkey").alias("name"), F.col("p_brand").alias("callee"))
-    sites = S.call_sites(sources.withColumnRenamed("path", "caller"))
-    found = sites.join(sources.select(F.col("path").alias("caller"), "lang"), "caller").join(names, "name")
+    found = S.call_sites(sources.withColumnRenamed("path", "caller"), "lang").join(names, "name")
     return found.groupBy("lang", F.col("callee").alias("brand")).agg(F.count("*").alias("calls"))
 
 

@@ -89,3 +89,14 @@ def test_blocks_by_statements_need_no_depths(spark, monkeypatch):
     assert read == {"u", "g"}
     blocks = {p: sorted((r["first"], r["last"]) for r in got.collect() if r["path"] == p) for p, _, _ in rows}
     assert blocks["s0"] == blocks["s1"] == [(0, 12), (13, 28)] and blocks["g"] == [(0, 10), (11, 21), (22, 31)]
+
+
+def test_calls_keep_the_language_and_read_the_lines_once(spark):
+    import __spark_entry__ as entry
+    from siltstone.operators import syntax as S
+
+    rows = [("f", "c", 'g(1); /* h( */ u8"k(1)"; R"(m())"; s(\n)'), ("f", "rust", 'r"q()"; t::<u8>(1); b"v("; { w() }'), ("f", "c", "g(2)"), ("n", "c", None)]
+    got = S.call_sites(spark.createDataFrame(rows, "caller string, lang string, content string"), "lang")
+    assert sorted(map(tuple, got.collect())) == [("f", "c", "g"), ("f", "c", "s"), ("f", "rust", "t"), ("f", "rust", "w")]
+    plan = _plan(entry.queries()["calls_by_language"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("l_linenumber") and plan.count("Relation [l_orderkey") == 1
