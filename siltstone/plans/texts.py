@@ -10,6 +10,10 @@ from siltstone.operators import ordered as O
 from siltstone.operators import relations as R
 from siltstone.operators import relevance as V
 from siltstone.plans.registry import query
+from siltstone.session import written
+
+#: Documents a task has at most, about, where each meets many items.
+DEALT = 5_000
 
 
 @query("""select doc_id, case when n > 0 then name || '_' || n else name end as name from (select doc_id, source || '::' || lang as name, row_number() over (partition by source, lang order by doc_id) - 1 n from documents)""")
@@ -47,8 +51,13 @@ def callsite_resolution(t):
 x as (select doc_id, unnest(w) t from d), y as (select item_id, unnest(w) t from b where len(w) > 0), n as (select item_id, doc_id, count(*) shared from x join y using (t) group by 1, 2)
 select item_id, doc_id, shared from (select *, row_number() over (partition by item_id order by shared desc, doc_id) r from n) where r <= 5""")
 def overlap_score(t):
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("w"))
-    shared = words(t.documents, "doc_id").join(words(t.benchmark, "item_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    """The five documents that share the most words with each item.  Documents are dealt out by id, a bounded number to a task,
+    so that pairs of an item and a document are counted where the document is, and only the first five leave the task."""
+    words = lambda df, key: df.select(key, F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    groups = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-t.documents.count() // DEALT))
+    documents = words(t.documents, "doc_id").repartition(groups, "doc_id")
+    items = written(words(t.benchmark, "item_id").select("item_id", F.explode("w").alias("w")), "items")
+    shared = documents.select("doc_id", F.explode("w").alias("w")).join(items, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
     return O.top_k(shared, ["item_id"], [F.desc("shared"), F.col("doc_id")], 5).select("item_id", "doc_id", "shared")
 
 

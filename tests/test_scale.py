@@ -100,3 +100,13 @@ def test_calls_keep_the_language_and_read_the_lines_once(spark):
     assert sorted(map(tuple, got.collect())) == [("f", "c", "g"), ("f", "c", "s"), ("f", "rust", "t"), ("f", "rust", "w")]
     plan = _plan(entry.queries()["calls_by_language"](spark, "/root/testdata/sf0.001"))
     assert plan.count("l_linenumber") and plan.count("Relation [l_orderkey") == 1
+
+
+def test_overlaps_are_counted_where_the_document_is(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from siltstone.plans import texts
+
+    monkeypatch.setattr(texts, "DEALT", 20)
+    plan = _plan(entry.queries()["overlap_score"](spark, "/root/testdata/sf0.001"), "executedPlan")
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(item_id#" in plan
+    assert not [x for x in plan.splitlines() if "hashpartitioning(item_id" in x and "doc_id" in x]  # pairs aren't shuffled
