@@ -1,7 +1,7 @@
 """Iterative graph operators on edge tables (src, dst).  Every round is written to the shared folder, so that plans stay
 short and a lost executor repeats one round at most; the driver sees only counts.
 
-Components, longest paths and layers don't cross the connected pieces of a graph.  Pieces of up to ``LOCAL`` edges are dealt
+Components, longest paths, layers and chains don't cross the connected pieces of a graph.  Pieces of up to ``LOCAL`` edges are dealt
 out and each is worked on in one task; larger ones go by rounds over all tasks."""
 
 from __future__ import annotations
@@ -44,6 +44,57 @@ def chains(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
     """(src, dst) between nodes that are reachable from a start and reach an end; ends have no way out.  Ends that no start
     reaches take no part."""
     edges = written(_edges(edges), "edges")
+    marks = starts.select("node", F.lit(1).alias("mark")).unionByName(ends.select("node", F.lit(2).alias("mark"))).distinct()
+    linked, large = _linked(edges)
+    marks = marks.join(linked.select(F.col("src").alias("node"), "piece").unionByName(linked.select(F.col("dst").alias("node"), "piece")).distinct(), "node")
+    some = not large.isEmpty()
+    small, theirs = (df.join(large, "piece", "left_anti") if some else df for df in (linked, marks))
+    groups = 1 + 3 * small.count() // max(LOCAL, 1)
+    rows = small.select("piece", "src", "dst", F.lit(0).alias("mark")).unionByName(theirs.select("piece", F.col("node").alias("src"), F.col("node").alias("dst"), "mark"))
+    kind = edges.schema["src"].dataType.simpleString()
+    out = rows.select(F.pmod(F.xxhash64("piece"), F.lit(groups)).alias("_g"), "src", "dst", "mark").groupBy("_g").applyInPandas(_chained, f"src {kind}, dst {kind}")
+    if some:
+        of = lambda mark: marks.filter(F.col("mark") == mark).join(large, "piece", "left_semi").select("node")
+        out = out.unionByName(_chain_rounds(linked.join(large, "piece", "left_semi").select("src", "dst"), of(1), of(2)))
+    return out
+
+
+def _chained(frame):
+    """The edges on chains of the graph in a frame (src, dst, mark): mark 0 is an edge, 1 a start, 2 an end."""
+    import numpy as np
+    import pandas as pd
+
+    codes, names = pd.factorize(pd.concat([frame["src"], frame["dst"]], ignore_index=True))
+    n, mark = len(names), frame["mark"].to_numpy()
+    src, dst = codes[: len(frame)], codes[len(frame) :]
+    begins, ends, edge = src[mark == 1], src[mark == 2], mark == 0
+    src, dst = src[edge], dst[edge]
+
+    def reached(a, b, front):
+        order = np.argsort(a, kind="stable")
+        to, first = b[order].tolist(), np.searchsorted(a[order], np.arange(n + 1)).tolist()
+        seen = np.zeros(n, dtype=bool)
+        seen[front] = True
+        stack, marked = list(set(front.tolist())), seen.tolist()
+        while stack:
+            v = stack.pop()
+            for w in to[first[v] : first[v + 1]]:
+                if not marked[w]:
+                    marked[w] = True
+                    stack.append(w)
+        return np.array(marked, dtype=bool)
+
+    forward = reached(src, dst, begins)
+    both = forward & reached(dst, src, ends[forward[ends]])
+    closed = np.zeros(n, dtype=bool)
+    closed[ends] = True
+    on = ~closed[src] & both[src] & both[dst]
+    return frame.loc[edge, ["src", "dst"]][on]
+
+
+def _chain_rounds(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """``chains`` by rounds."""
+    edges = written(_edges(edges), "edges")
     cut = written(edges.join(ends.select(F.col("node").alias("src")).distinct(), "src", "left_anti"), "cut")
     forward = written(reachable(edges, starts), "forward")
     back = reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ends.select("node").distinct().join(forward, "node", "left_semi"))
@@ -126,6 +177,13 @@ def _placed(frame):
     return pd.DataFrame({"node": names, "component": names[smallest[part]], "cyclic": cyclic[part], "late": np.array(late, dtype=bool)[part], "depth": np.array(depth, dtype="int32")[part]})
 
 
+def _linked(edges: DataFrame, member: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, piece) of the edges and (piece) of the pieces that are too large for one task, both written."""
+    member = pieces(edges) if member is None else member
+    linked = written(edges.join(member.withColumnRenamed("node", "src"), "src").select("src", "dst", "piece"), "linked")
+    return linked, written(linked.groupBy("piece").count().filter(F.col("count") > LOCAL).select("piece"), "large")
+
+
 def _by_pieces(nodes: DataFrame, edges: DataFrame, columns: list[str], rounds: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """node and columns of ``_placed`` for every node, written; ``rounds`` gives them for the nodes and edges of large pieces.
     Edges from or to what isn't among the nodes don't count."""
@@ -133,8 +191,7 @@ def _by_pieces(nodes: DataFrame, edges: DataFrame, columns: list[str], rounds: C
     known = _edges(edges).join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
     known = written(known.select("src", "dst"), "edges")
     member = pieces(known)
-    linked = written(known.join(member.withColumnRenamed("node", "src"), "src").select("src", "dst", "piece"), "linked")
-    large = written(linked.groupBy("piece").count().filter(F.col("count") > LOCAL).select("piece"), "large")
+    linked, large = _linked(known, member)
     some = not large.isEmpty()
     small = linked.join(large, "piece", "left_anti") if some else linked
     groups = 1 + 3 * small.count() // max(LOCAL, 1)

@@ -102,6 +102,34 @@ def test_calls_keep_the_language_and_read_the_lines_once(spark):
     assert plan.count("l_linenumber") and plan.count("Relation [l_orderkey") == 1
 
 
+def test_chains_of_small_pieces_need_no_rounds(spark, monkeypatch):
+    from siltstone.operators import graph as G
+
+    rng = random.Random(3)
+    edges = [(f"{p}:{rng.randrange(9)}", f"{p}:{rng.randrange(9)}") for p in range(40) for _ in range(12)] + [("line:%d" % i, "line:%d" % (i + 1)) for i in range(60)] + [(None, "0:1")]
+    nodes = sorted({x for e in edges for x in e if x})
+    starts, ends = [(x,) for x in nodes if x[-1] in "01"] + [("away",), (None,)], [(x,) for x in nodes if x[-1] in "57"] + [("0:1",)]
+
+    def reach(pairs, seen):
+        while new := {b for a, b in pairs if a in seen} - seen:
+            seen = seen | new
+        return seen
+
+    real = {(a, b) for a, b in edges if a and b and a != b}
+    forward = reach(real, {x for (x,) in starts})
+    both = forward & reach({(b, a) for a, b in real}, {x for (x,) in ends} & forward)
+    want = sorted((a, b) for a, b in real if (a,) not in ends and a in both and b in both)
+    assert len(want) > 50
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    args = table(edges, "src string, dst string"), table(starts, "node string"), table(ends, "node string")
+    rounds, ran = G._chain_rounds, []
+    monkeypatch.setattr(G, "_chain_rounds", lambda *a: ran.append(1) or rounds(*a))
+    assert sorted(map(tuple, G.chains(*args).collect())) == want and not ran
+    monkeypatch.setattr(G, "LOCAL", 11)
+    assert sorted(map(tuple, G.chains(*args).collect())) == want and ran
+    assert G.chains(args[0].filter("false"), *args[1:]).collect() == []
+
+
 def test_overlaps_are_counted_where_the_document_is(spark, monkeypatch):
     import __spark_entry__ as entry
     from siltstone.plans import texts
