@@ -36,6 +36,27 @@ def test_call_sites_form_each_pair_once(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def _shuffled(spark, since=-1):
+    """(last stage, rows that stages after ``since`` wrote for shuffles)."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, *none)
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return max((x.stageId() for x in stages), default=-1), sum(x.shuffleWriteRecords() for x in stages if x.stageId() > since)
+
+
+def test_hot_names_move_arrays_and_not_a_copy_for_each_task(spark, monkeypatch):
+    for name, value in (("DEALT", 36), ("RUN", 4), ("SOME", 3)):
+        monkeypatch.setattr(R, name, value)
+    sites = spark.createDataFrame([(i, "ab"[i % 20 == 0]) for i in range(80)], "caller int, name string")
+    definitions = spark.createDataFrame([(i, "a") for i in range(90)] + [(7, "b"), (300, "b")], "callee int, name string")
+    since, _ = _shuffled(spark)
+    got = sorted(map(tuple, R.resolve_call_sites(sites, definitions, []).collect()))
+    assert _shuffled(spark, since)[1] < 2500
+    want = {(i, j) for i in range(80) for j in ((7, 300) if i % 20 == 0 else range(90)) if i != j}
+    assert got == sorted(want)
+
+
 def test_supplemental_edges_share_no_edge(spark):
     sites, definitions, s, d = _names(spark, 2)
     exact, known = [(0, 3), (0, 3), (1, 1), (2, 99), (5, 4), (None, 4)], [(x,) for x in range(10)] * 2
